@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .kd_sharding import op3_kd_sharding
+from .repetition import OP8_SQL, op8_suffix_repetition
 from .source_mixing import OP2_SQL, op2_source_mixing
 
 
@@ -16,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_kd_sharding": op3_kd_sharding,
         "op6_chat_format": op6_chat_format,
+        "op8_suffix_repetition": op8_suffix_repetition,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_repetition": OP8_SQL}

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .kd_sharding import op3_kd_sharding
+from .media import op1_media_columns
 from .repetition import OP8_SQL, op8_suffix_repetition
 from .source_mixing import OP2_SQL, op2_source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": op1_media_columns,
         "op2_source_mixing": op2_source_mixing,
         "op3_kd_sharding": op3_kd_sharding,
         "op6_chat_format": op6_chat_format,

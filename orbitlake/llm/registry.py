@@ -11,6 +11,7 @@ from .kd_sharding import op3_kd_sharding
 from .media import op1_media_columns
 from .repetition import OP8_SQL, op8_suffix_repetition
 from .source_mixing import OP2_SQL, op2_source_mixing
+from .token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_kd_sharding": op3_kd_sharding,
         "op6_chat_format": op6_chat_format,
+        "op7_token_files": op7_token_files,
         "op8_suffix_repetition": op8_suffix_repetition,
     }
 

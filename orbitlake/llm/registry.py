@@ -10,6 +10,8 @@ from .chat_format import OP6_SQL, op6_chat_format
 from .kd_sharding import op3_kd_sharding
 from .media import op1_media_columns
 from .repetition import OP8_SQL, op8_suffix_repetition
+from .resampling import op4_importance_resampling
+from .sentencepiece import op5_sentencepiece
 from .source_mixing import OP2_SQL, op2_source_mixing
 from .token_files import op7_token_files
 
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_columns": op1_media_columns,
         "op2_source_mixing": op2_source_mixing,
         "op3_kd_sharding": op3_kd_sharding,
+        "op4_importance_resampling": op4_importance_resampling,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_chat_format": op6_chat_format,
         "op7_token_files": op7_token_files,
         "op8_suffix_repetition": op8_suffix_repetition,

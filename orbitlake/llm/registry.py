@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP6_SQL, op6_chat_format
 from .kd_sharding import op3_kd_sharding
 from .media import op1_media_columns
+from .near_duplicates import op10_near_duplicates
 from .repetition import OP8_SQL, op8_suffix_repetition
 from .resampling import op4_importance_resampling
 from .sentencepiece import op5_sentencepiece
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op7_token_files": op7_token_files,
         "op8_suffix_repetition": op8_suffix_repetition,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 

@@ -95,8 +95,8 @@ class Pieces:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.unknown_score = min([s for _, s, kind in pieces if kind == NORMAL], default=0.0) - UNKNOWN_PENALTY
-        inner = [p for p, _, kind in pieces if kind in (NORMAL, USER) and MARK in p.lstrip(MARK)]
-        #: Pieces that cross a blank forbid cutting a text at blanks.
+        inner = [p for p, _, kind in pieces if kind in (NORMAL, USER) and (MARK in p.lstrip(MARK) or "\n" in p)]
+        #: Pieces that cross a blank or a line feed forbid cutting a text there.
         self.cuts = not inner
         self.table = [self._bytes_of(p, kind) for p, _, kind in pieces]
         self.words = UnitCache(self._units, self._encode_units)
@@ -149,14 +149,14 @@ class Pieces:
         return out[::-1]
 
     def _units(self, text: str) -> list[str]:
-        """Marked text behind a blank, or, without one, words that a mark comes before."""
+        """Marked text behind a blank; without one, words that a mark comes before, or a line feed (which no piece holds) and a word."""
         if not self.cuts or text.startswith(" ") or "  " in text:
             marked = MARK + text.replace(" ", MARK)
             return [" " + u for u in _RUNS.findall(marked)] if self.cuts else [" " + marked]
-        return text.split(" ")
+        return text.replace("\n", " \n").split(" ")
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        ids = [self.viterbi(u[1:] if u.startswith(" ") else MARK + u) for u in units]
+        ids = [self.viterbi(u[1:] if u.startswith(" ") else u if u.startswith("\n") else MARK + u) for u in units]
         return [struct.pack(f"<{len(v)}I", *v) for v in ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -140,6 +140,12 @@ class Segment:
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next from U+0100."""
+    seen = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b) if seen[b] else chr(256 + sum(not s for s in seen[:b])) for b in range(256)]
+
+
 @cache
 def _tokenizer(path: str) -> UnitCache:
     """A byte-level BPE whose pattern never joins what stands before a blank to the blank and a word after it."""
@@ -150,17 +156,46 @@ def _tokenizer(path: str) -> UnitCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True  # control strings in a text are ordinary text
-    odd = re.compile(f" [{_SPACE}]|[{_SPACE}] \\Z")
+    other = _SPACE.replace(" ", "", 1)
+    odd = re.compile(f" [{_SPACE}]|[{_SPACE}] \\Z|\n[{other}]|[{other}]\n")
     units = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
     def split(text: str) -> list[str]:
+        """Units as they are behind a blank of their own; without one, words that a blank comes before, or a line feed and a word."""
         if odd.search(text):
-            return units.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]]
-
-    def encode_many(texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            return [" " + u for u in units.findall(text)]
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = " " + words[0]
+        return words
+
+    # The pattern takes a run of letters, with the blank before it, and a mark of punctuation behind it as pieces of
+    # their own; the library's model alone then gives their ids.  Everything else goes through the whole tokenizer.
+    plain = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.;:!?]?)").fullmatch
+    visible = {b: c for b, c in enumerate(_byte_characters())}
+    blank, feed = visible[32], model.encode("\n", add_special_tokens=False).ids
+    marks = {c: model.encode(c, add_special_tokens=False).ids for c in ",.;:!?"} | {"": []}
+    tokenize, pack = model.model.tokenize, struct.pack
+
+    def encode_many(keys: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        others: list[tuple[int, str]] = []
+        for k in keys:
+            found = plain(k)
+            if not found:
+                others.append((len(out), k[1:] if k.startswith(" ") else k if k.startswith("\n") else " " + k))
+                out.append(b"")
+                continue
+            line, word, mark = found.groups()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(visible)
+            ids = [t.id for t in tokenize(word if line else blank + word)]
+            if line or mark:
+                ids = [*(feed if line else ()), *ids, *marks[mark]]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        for (at, _), e in zip(others, model.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+            ids = e.ids
+            out[at] = pack(f"<{len(ids)}I", *ids)
+        return out
 
     return UnitCache(split, encode_many)
 

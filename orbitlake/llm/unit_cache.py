@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: Distinct units kept by one worker.  A full cache stays as it is while it serves most units, else starts afresh.
-MOST_UNITS = 400_000
+#: Distinct units kept by one worker (about 250 MB).  A full cache stays as it is while it serves most units, else starts afresh.
+MOST_UNITS = 1_500_000
 #: Characters of text whose new units are encoded together; a longer text goes alone.
 TOGETHER = 1 << 20
 
 
+class _Known(dict):
+    """Units and their ids; what is missing is noted, and None for now."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: dict[str, None] = {}
+
+    def __missing__(self, unit: str) -> None:
+        self.missing[unit] = None
+
+
 class UnitCache:
     """Maps units to the little-endian 32-bit ids that ``encode_many`` gives them.
 
@@ -18,8 +29,7 @@ class UnitCache:
     """
 
     def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[bytes]]):
-        self.split, self.encode_many = split, encode_many
-        self.known: dict[str, bytes] = {}
+        self.split, self.encode_many, self.known = split, encode_many, _Known()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -34,14 +44,22 @@ class UnitCache:
         return out + self._encode(waiting)
 
     def _encode(self, split: list[list[str]]) -> list[bytes]:
-        distinct = set().union(*split)
-        if len(distinct.difference(self.known)) > len(distinct) // 2 and len(self.known) >= MOST_UNITS:
-            self.known.clear()
-        new = list(distinct.difference(self.known))
+        known = self.known
+        found = [list(map(known.__getitem__, units)) for units in split]
+        if not known.missing:
+            return [b"".join(f) for f in found]
+        new, known.missing = list(known.missing), {}
         made = dict(zip(new, self.encode_many(new), strict=True))
-        if len(self.known) < MOST_UNITS:
-            self.known.update(made)
-            look = self.known
-        else:
-            look = {u: self.known[u] for u in distinct.intersection(self.known)} | made
-        return [b"".join(map(look.__getitem__, units)) for units in split]
+        gaps = 0
+        for ids, units in zip(found, split, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = made[units[at]]
+                gaps += 1
+        out = [b"".join(ids) for ids in found]
+        if len(known) < MOST_UNITS:
+            known.update(made)
+        elif 2 * gaps > sum(map(len, found)):
+            known.clear()
+        return out

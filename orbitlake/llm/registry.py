@@ -10,6 +10,7 @@ from .chat_format import OP6_SQL, op6_chat_format
 from .kd_sharding import op3_kd_sharding
 from .media import op1_media_columns
 from .near_duplicates import op10_near_duplicates
+from .passages import op9_repeated_passages
 from .repetition import OP8_SQL, op8_suffix_repetition
 from .resampling import op4_importance_resampling
 from .sentencepiece import op5_sentencepiece
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op7_token_files": op7_token_files,
         "op8_suffix_repetition": op8_suffix_repetition,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_near_duplicates": op10_near_duplicates,
     }
 

@@ -1,0 +1 @@
+"""Trajectory analytics on Spark: designs, simulations, timelines, features, clusters and their reports."""

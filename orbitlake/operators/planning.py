@@ -67,7 +67,7 @@ def gamma_axis(spec: Any, registry: dict[str, dict]) -> list[dict]:
 
 
 def axis_table(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """A design's own entries as a table: as many rows as its YAML lists."""
+    """A design's own entries as a table: as many rows as its YAML lists, so it may be broadcast."""
     rows = [(e["id"], json.dumps(e["params"]), e["rank"], None if e["rank_constraint"] is None else str(e["rank_constraint"]), e["differentiable"], e["is_composed"], e["weights"]) for e in entries]
     return spark.createDataFrame(rows, AXIS)
 
@@ -106,9 +106,10 @@ def design(spark: SparkSession, config: dict[str, Any], registries: dict[str, di
     modifiers = axis_table(spark, axis(config.get("modifier") or [{"id": "M0"}], registries["modifier"])).selectExpr("id modifier_id", "params modifier_params")
     sizes = spark.createDataFrame([(int(n),) for n in listed(config.get("n_dof"), [10])], "n_dof int")
     seeds = lambda name: spark.createDataFrame([(s,) for s in listed(config.get(name), [None])], f"{name} bigint")
-    runs = gammas.join(encodings, compatible(F.col("rank_constraint"), F.col("rank_eff")))
-    runs = runs.crossJoin(sizes).filter(small_enough(F.col("rank_eff"), F.col("n_dof")))
-    runs = runs.crossJoin(modifiers).crossJoin(seeds("seed_CI")).crossJoin(seeds("seed_run"))
+    runs = gammas.join(F.broadcast(encodings), compatible(F.col("rank_constraint"), F.col("rank_eff")))
+    runs = runs.crossJoin(F.broadcast(sizes)).filter(small_enough(F.col("rank_eff"), F.col("n_dof")))
+    for other in (modifiers, seeds("seed_CI"), seeds("seed_run")):
+        runs = runs.crossJoin(F.broadcast(other))
     return runs.withColumns({"phase": F.lit(config.get("phase")), "max_it": F.lit(int(max_it[0]))})
 
 

@@ -148,7 +148,7 @@ def autocorrelation(rows: DataFrame, lags: Column) -> DataFrame:
     centred = centred.withColumn("c", F.transform("x", lambda v: v - F.col("__mean"))).drop("__mean")
     centred = centred.withColumn("energy", _dot(F.col("c"), F.col("c")))
     n = F.size("c")
-    product = lambda k: _dot(F.slice("c", 1, n - k), F.slice("c", k + 1, n - k)) / F.col("energy")
+    product = lambda k: F.try_divide(_dot(F.slice("c", 1, n - k), F.slice("c", k + 1, n - k)), F.col("energy"))
     return centred.withColumn("ac", F.transform(lags, product))
 
 

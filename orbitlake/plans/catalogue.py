@@ -597,3 +597,103 @@ def percentile_rank_conf(spark, sf_dir):
     medians = rows.groupBy("label").agg(F.percentile("e0", 0.5).alias("x"))
     made = summaries.percentile_rank(rows, "e0", medians, "label")
     return rounded(made.select("label", "x", "rank", confidence(F.col("rank"), "upper").alias("upper"), confidence(F.col("rank"), "lower").alias("lower")))
+
+
+# Numerical kernels and iterative algorithms: no SQL; tests hold them against closed forms and brute force.
+
+
+@query("tensor_spectral_b")
+def tensor_spectral_b(spark, sf_dir):
+    """Layer B of every embedding as an 8 x 8 state."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import spectra
+    from ..functions.constants import TIMELINES_B
+
+    names = TIMELINES_B[:11]
+
+    def step(frames):
+        for frame in frames:
+            rows = [spectra.spectrum(np.asarray(x, float).reshape(8, 8)) for x in frame["embedding"]]
+            yield pd.concat([frame[["vec_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=list(names))], axis=1)
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("embedding is not null")
+    return rounded(rows.mapInPandas(step, "vec_id long, " + ", ".join(f"{n} double" for n in names)))
+
+
+@query("dmd_modes")
+def dmd_modes(spark, sf_dir):
+    """Dynamic modes of every user's events: the value and its step as observables."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import spectra
+    from ..functions.constants import DMD_SCALARS
+
+    rows = timelines.values_in_order(observations(spark, sf_dir), RUN)
+
+    def step(frames):
+        for frame in frames:
+            found = []
+            for x in frame["x"]:
+                x = np.asarray(x, float)
+                series = np.stack([x, np.append(0.0, np.diff(x))], axis=1)
+                found.append(spectra.dynamic_modes(series, len(x)))
+            yield pd.concat([frame[["run_id"]].reset_index(drop=True), pd.DataFrame(found, columns=list(DMD_SCALARS))], axis=1)
+
+    return rounded(rows.mapInPandas(step, "run_id long, " + ", ".join(f"{n} double" for n in DMD_SCALARS)), 4)
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).withColumn("strate", F.concat(F.lit("s"), (F.col("label") % 2).cast("string")))
+
+
+@query("peeling_clusters")
+def peeling_clusters(spark, sf_dir):
+    from ..operators import clustering
+
+    return clustering.peel_strata(_strata(spark, sf_dir), "strate", DIMS, "vec_id")
+
+
+@query("isolation_outliers")
+def isolation_outliers(spark, sf_dir):
+    from ..operators import clustering
+
+    return clustering.outliers_of_strata(_strata(spark, sf_dir), "strate", DIMS, "vec_id")
+
+
+@query("projection_2d")
+def projection_2d(spark, sf_dir):
+    from ..operators import clustering
+
+    return clustering.project_strata(_strata(spark, sf_dir), "strate", DIMS, "vec_id", method="pca")
+
+
+@query("feature_selection")
+def feature_selection(spark, sf_dir):
+    """Features in the order they are kept."""
+    kept = M.select_features(vectors(spark, sf_dir), DIMS, ("e3",))
+    return spark.createDataFrame(list(enumerate(kept)), "place int, feature string")
+
+
+DESIGN = {"phase": "demo", "gamma": [{"id": "GAM-001", "params": {"beta": [1.0, 3.0]}}, {"id": "GAM-003"}, {"id": "GAM-004"}, {"id": "GAM-005"}, {"id": "GAM-013", "params": {"eta": 0.5}}], "encoding": [{"id": "SYM-001"}, {"id": "ASY-001"}, {"id": "RN-001"}], "n_dof": [6], "max_it": 40, "seed_CI": [1], "seed_run": [2]}
+
+
+@query("simulate_phase")
+def simulate_phase(spark, sf_dir):
+    """A small design from end to end: every run with its status, regime and scalar features."""
+    from . import workflows
+
+    made = workflows.run_design(spark, DESIGN)
+    return made.drop("weights", *[c for c in made.columns if c.startswith("timeline_") or c == "mask_t_indices"])
+
+
+@query("cluster_names")
+def cluster_names(spark, sf_dir):
+    """Names of the clusters that the embeddings' labels make, by the rules of the slots."""
+    from ..operators import naming
+
+    rows = vectors(spark, sf_dir).select("label", F.col("e0").alias("f2_von_neumann_entropy_delta"), (F.col("e1") * 10).alias("f1_effective_rank_delta"), (1 + F.col("e2")).alias("f7_dmd_spectral_radius"))
+    named = naming.name_clusters(rows, "label", ["f2_von_neumann_entropy_delta", "f1_effective_rank_delta", "f7_dmd_spectral_radius"])
+    return spark.createDataFrame([(int(k), v["name"]) for k, v in named.items()], "label int, name string")

@@ -63,7 +63,7 @@ def select_features(df: DataFrame, columns: list[str], protected: tuple[str, ...
     pass gives all variances and correlations: columns squared numbers.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.var_pop(c).alias(f"v__{c}") for c in columns], *[F.corr(a, b).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[F.var_pop(c).alias(f"v__{c}") for c in columns], *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)]).first()
     corr = {}
     for i, (a, b) in enumerate(pairs):
         r = row[f"r__{i}"]

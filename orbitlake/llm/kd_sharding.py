@@ -115,7 +115,8 @@ def kd_shards(df: DataFrame, size: str, dims: list[str], shards: int, ties: list
     by one of their place in the stored table, so a value, source or group of
     copies that holds any share of the rows is split evenly.  Null and NaN
     metadata sort first, null sizes count as 0, an empty table has no rows in
-    any shard.  Helper columns start with two underscores.
+    any shard.  Other columns stay; a column ``shard`` is replaced, and the
+    names __d0, __d1 ..., __node and __tie are the operator's own.
     """
     keyed = df.withColumns({f"__d{i}": numeric(df, c) for i, c in enumerate(dims)})
     unit = lambda h, bits: F.shiftrightunsigned(h, 64 - bits) / F.lit(float(2**bits))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import free_name
 from .ordered import running_sums
 from .storage import stored
 
@@ -67,17 +68,20 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", source: str = "source", t
     base = df.drop(*[c for c in added if c in df.columns and c not in (doc_id, source, text)]).withColumn("size", words(F.col(text)))
     rates = stored(source_rates(base.select(F.col(source).alias("__source"), "size"), "__source", "size", weights, most), "rates")
     bound = rates.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 64), F.lit(0)).alias("b")).first()["b"]
+    own = {c: free_name(base, f"__mix_{c}") for c in rates.columns}
+    rates = rates.withColumnsRenamed(own)
     if bound <= BROADCAST_BYTES:
         rates = F.broadcast(rates)
-    joined = base.join(rates, F.col(source).eqNullSafe(F.col("__source")))
-    whole = F.floor("rate")
-    copies = whole + (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")
-    return joined.select(*base.columns, "source_size", "target", copies.alias("copies"))
+    joined = base.join(rates, F.col(source).eqNullSafe(F.col(own["__source"])))
+    rate = F.col(own["rate"])
+    copies = F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
+    return joined.select(*base.columns, F.col(own["source_size"]).alias("source_size"), F.col(own["target"]).alias("target"), copies.alias("copies"))
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document ``copies`` times."""
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    copy = free_name(mixed, "__copy")
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,15 @@ def batches(df: DataFrame, keys: list[str], order: list[str], size: int = C.BATC
     return df.withColumn("batch", F.floor((place - 1) / size))
 
 
-def peak_bytes(n_dof: Column, rank: Column, batch: Column, max_it: Column, element: int = 4, layers: int = 26) -> Column:
-    """A batch's memory: states with their copies, and the timelines of all layers."""
-    return batch * (F.pow(n_dof, rank) * 6 + max_it * layers) * element
+def peak_bytes(n_dof: Column, rank: Column, batch: Column, max_it: Column, differentiable: Column, element: int = 2, jvp: float = 4.0, density: float = 0.3) -> Column:
+    """What a batch holds at its peak: three states and the wider pass's timelines, masks, and products of differentiable operators."""
+    state = F.pow(n_dof.cast("double"), rank.cast("double")) * element
+    first, second = state * 3 + max_it * (4 * element), state * 3 + max_it * (26 * element) + 8
+    extra = F.when(differentiable, state * jvp * density).otherwise(0.0)
+    return batch * (F.greatest(first, second) + max_it * 4 + extra)
+
+
+def split_size(batch: Column, peak: Column, budget: float, least: int = 1) -> Column:
+    """The largest batch, by halving, whose share of ``peak`` fits the budget."""
+    halvings = F.greatest(F.ceil(F.log2(peak / F.lit(budget))), F.lit(0))
+    return F.greatest(F.floor(batch / F.pow(F.lit(2.0), halvings)), F.lit(least)).cast("int")

@@ -599,6 +599,85 @@ def percentile_rank_conf(spark, sf_dir):
     return rounded(made.select("label", "x", "rank", confidence(F.col("rank"), "upper").alias("upper"), confidence(F.col("rank"), "lower").alias("lower")))
 
 
+# Reading, choosing and planning
+
+
+@query("one_seed", "SELECT o_custkey, o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
+def one_seed(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
+    return relational.one_seed(rows, ("o_custkey", "o_orderstatus"), ("o_orderkey",))
+
+
+@query("triage_split", "SELECT status IN ('OK', 'OK_TRUNCATED') AS healthy, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'OK' WHEN 'P' THEN 'OK_TRUNCATED' ELSE 'EXPLOSION' END AS status FROM orders) GROUP BY 1")
+def triage_split(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "OK").when(F.col("o_orderstatus") == "P", "OK_TRUNCATED").otherwise("EXPLOSION")
+    good, bad = relational.triage(table(spark, sf_dir, "orders").select(status.alias("run_status")))
+    count = lambda df, healthy: df.agg(F.count("*").alias("n")).select(F.lit(healthy).alias("healthy"), "n").filter("n > 0")
+    return count(good, True).unionByName(count(bad, False))
+
+
+@query("nearest_rank", f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY run_id) AS n FROM obs) SELECT run_id, round(max(CASE WHEN k = least(floor(n * 0.25), n - 1) THEN v END), 6) AS q1, round(max(CASE WHEN k = least(floor(n * 0.75), n - 1) THEN v END), 6) AS q3 FROM r GROUP BY run_id")
+def nearest_rank(spark, sf_dir):
+    rows = observations(spark, sf_dir).groupBy("run_id").agg(F.sort_array(F.collect_list("v")).alias("x"))
+    return rounded(rows.select("run_id", classify.ranked(F.col("x"), 0.25).alias("q1"), classify.ranked(F.col("x"), 0.75).alias("q3")))
+
+
+@query("materialize_features", "SELECT round(value::FLOAT::DOUBLE, 3) AS value, NULL::DOUBLE AS absent FROM events")
+def materialize_features(spark, sf_dir):
+    from ..sources import tables
+
+    made = tables.features(table(spark, sf_dir, "events"), ["value", "absent"])
+    return rounded(made.select(F.col("value").cast("double").alias("value"), F.col("absent").cast("double").alias("absent")), 3)
+
+
+@query("materialize_timelines", "SELECT vec_id, (i - 1)::INT AS t, round((embedding[i])::DOUBLE, 6) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def materialize_timelines(spark, sf_dir):
+    from ..sources import tables
+
+    rows = table(spark, sf_dir, "embeddings")
+    full = rows.select("vec_id", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"))
+    assert tables.series(full, ["embedding"]).columns == ["embedding"]
+    return rounded(full.select("vec_id", F.posexplode("embedding").alias("t", "v")).withColumn("v", F.col("v").cast("double")))
+
+
+@query(
+    "strata",
+    "WITH r AS (SELECT o_orderkey, o_custkey % 5 AS gamma_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS rank_eff, CASE WHEN o_custkey % 5 = 4 THEN NULL ELSE o_totalprice END AS trace FROM orders), s AS (SELECT gamma_id, bool_or(trace IS NOT NULL) AS seen FROM r GROUP BY gamma_id) SELECT 'rank' || rank_eff || CASE WHEN CASE gamma_id WHEN 0 THEN true WHEN 1 THEN false ELSE seen END THEN '_diff' ELSE '_nodiff' END AS strate, count(*) AS n FROM r JOIN s USING (gamma_id) GROUP BY 1",
+)
+def strata(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("gamma_id"), F.when(F.col("o_orderkey") % 2 == 0, 2).otherwise(3).alias("rank_eff"), F.when(F.col("o_custkey") % 5 != 4, F.col("o_totalprice")).alias("trace"))
+    known = spark.range(2).select(F.col("id"), (F.col("id") == 0).alias("differentiable"))
+    return summaries.value_counts(M.strata(rows, known, "trace"), ["strate"])
+
+
+@query("weight_grid", "SELECT round(0.5 + a * 0.25, 6) AS w0, round(0.5 + b * 0.25, 6) AS w1, printf('w_%.2f-GAM-001-w_%.2f-GAM-004', 0.5 + a * 0.25, 0.5 + b * 0.25) AS id FROM range(3) x(a), range(3) y(b)")
+def weight_grid(spark, sf_dir):
+    from ..functions import atomics
+
+    entries = planning.gamma_axis({"sequence": [["GAM-001"], ["GAM-004"]], "weights": {"range": [0.5, 1.0], "step": 0.25}}, atomics.registries()["gamma"])
+    return rounded(planning.axis_table(spark, entries).select(F.get("weights", 0).alias("w0"), F.get("weights", 1).alias("w1"), "id"))
+
+
+@query("dry_run", "SELECT count(*) AS n_samples, count(DISTINCT (n_regionkey, n_nationkey % 2)) AS n_groups, 40 AS max_it FROM nation")
+def dry_run(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("gamma_id"), (F.col("n_nationkey") % 2).alias("rank_eff"), F.lit(10).alias("n_dof"), F.lit(40).alias("max_it"))
+    return planning.dry_run(rows)
+
+
+@query("runtime_null", f"WITH {OBS}, s AS (SELECT run_id, count(*) AS n, sum((v > 90)::INT) AS k, min(CASE WHEN v > 90 THEN t END) AS f FROM obs GROUP BY run_id) SELECT run_id, round(CASE WHEN k = 0 THEN NULL ELSE f / n END, 6) AS first_norm, round(CASE WHEN k < 2 THEN NULL ELSE k / n END, 6) AS spacing FROM s")
+def runtime_null(spark, sf_dir):
+    per = observations(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.sum((F.col("v") > 90).cast("int")).alias("k"), F.min(F.when(F.col("v") > 90, F.col("t"))).alias("f"))
+    made = per.select("run_id", "k", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("first_norm"), (F.col("k") / F.col("n")).alias("spacing"))
+    return rounded(relational.structural_null(made, {"first_norm": F.col("k") == 0, "spacing": F.col("k") < 2}).drop("k"))
+
+
+@query("inclusion_profile", f"WITH {VECTORS}, c AS (SELECT label, corr(e0, e1) AS r, count(*) AS n FROM vecs GROUP BY label) SELECT label, round(r, 6) AS r, n FROM c")
+def inclusion_profile(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    r = F.try_divide(F.covar_pop("e0", "e1"), F.stddev_pop("e0") * F.stddev_pop("e1"))
+    return rounded(rows.groupBy("label").agg(r.alias("r"), F.count("*").alias("n")))
+
+
 # Numerical kernels and iterative algorithms: no SQL; tests hold them against closed forms and brute force.
 
 

@@ -95,3 +95,27 @@ def write_runs(df: DataFrame, path: str, mode: str = "append", rows_per_file: in
     """Append runs, a folder for each phase; a job that fails leaves nothing behind."""
     out = df.write.mode(mode).partitionBy("phase")
     (out.option("maxRecordsPerFile", rows_per_file) if rows_per_file else out).parquet(path)
+
+
+def structural_null(name: str, rank: int, differentiable: bool) -> bool:
+    """Whether a column cannot apply to runs of a rank and differentiability."""
+    bare = name.removeprefix("timeline_").removeprefix("stat_delta_")
+    flat = ("frob_gradient", "f3_entanglement_entropy_mode1", "f3_inter_mode_sv_var")
+    return (rank == 2 and bare.startswith(flat)) or (not differentiable and bare.startswith("f4_"))
+
+
+def features_for(rank: int, differentiable: bool) -> list[str]:
+    """The features that apply to a stratum."""
+    return [c for c in feature_names() if not structural_null(c, rank, differentiable)]
+
+
+def apply_structural_null(df: DataFrame, rank: str = "rank_eff", differentiable: str = "differentiable") -> DataFrame:
+    """Columns overwritten with null where they cannot apply; timelines keep their length."""
+    from ..operators.relational import structural_null as overwrite
+
+    rules = {}
+    for c in df.columns:
+        flat, smooth = structural_null(c, 2, True), structural_null(c, 3, False)
+        if flat or smooth:
+            rules[c] = (F.col(rank) == 2) if flat else ~F.col(differentiable)
+    return overwrite(df, rules) if rules else df

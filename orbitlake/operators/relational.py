@@ -72,12 +72,12 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 #: What makes two runs the same: by ids, size and seeds, or by their parameters as well.
 DEDUP_KEYS = {
-    "reference": ["gamma_id", "encoding_id", "modifier_id", "n_dof", "max_it", "seed_CI", "seed_run"],
+    "ids": ["gamma_id", "encoding_id", "modifier_id", "n_dof", "max_it", "seed_CI", "seed_run"],
     "full": ["gamma_id", "encoding_id", "modifier_id", "n_dof", "max_it", "seed_CI", "seed_run", "gamma_params", "encoding_params", "modifier_params", "rank_eff"],
 }
 
 
-def dedup_runs(df: DataFrame, keys: str = "reference", order: list[Column] | None = None) -> DataFrame:
+def dedup_runs(df: DataFrame, keys: str = "ids", order: list[Column] | None = None) -> DataFrame:
     return first_by_key(df, [k for k in DEDUP_KEYS[keys] if k in df.columns], order or [F.lit(1)])
 
 

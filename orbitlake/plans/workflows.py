@@ -19,7 +19,7 @@ def run_design(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     return features.scalar_features(simulate.simulate(runs), ["run_id"])
 
 
-def pool(spark: SparkSession, paths: list[str], pool_config: dict[str, Any], scope: dict[str, Any], keys: str = "reference") -> DataFrame:
+def pool(spark: SparkSession, paths: list[str], pool_config: dict[str, Any], scope: dict[str, Any], keys: str = "ids") -> DataFrame:
     """Run tables united, without exclusions and duplicates, in scope."""
     runs = relational.exclude_ids(tables.read_runs(spark, *paths), pool_config.get("excluded", {}))
     limits = pool_config.get("n_dof", {})

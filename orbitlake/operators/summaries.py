@@ -32,7 +32,13 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     long = unpivot(df, [], columns) if columns else df
     v = F.when(_is("valid"), F.col("v"))
     n = lambda t: F.sum(F.coalesce(_is(t), F.lit(False)).cast("int"))
-    return long.groupBy("feature").agg(n("valid").alias("n_valid"), n("nan").alias("n_nan"), n("inf").alias("n_inf"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"))
+    made = long.groupBy("feature").agg(n("valid").alias("n_valid"), n("nan").alias("n_nan"), n("inf").alias("n_inf"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), _quartiles(v).alias("__q"))
+    return made.select("feature", "n_valid", "n_nan", "n_inf", "mean", F.get("__q", 1).alias("median"), "std", "min", "max", F.get("__q", 0).alias("q1"), F.get("__q", 2).alias("q3"))
+
+
+def _quartiles(v: Column) -> Column:
+    """Exact quartiles, from one count of the distinct values."""
+    return F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
 
 
 def flag_stats(df: DataFrame, flag: Column) -> DataFrame:
@@ -61,13 +67,14 @@ def cluster_profile(df: DataFrame, cluster: str, columns: list[str]) -> DataFram
     """Per cluster and feature: median, IQR, mean, population std, share of missing values and rows."""
     long = unpivot(df, [cluster], columns)
     v = F.when(_is("valid"), F.col("v"))
-    q = lambda p: F.percentile(v, p)
-    return long.groupBy(cluster, "feature").agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((~_is("valid")).cast("double")).alias("nan_frac"), F.count("*").alias("n"))
+    made = long.groupBy(cluster, "feature").agg(_quartiles(v).alias("__q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((~_is("valid")).cast("double")).alias("nan_frac"), F.count("*").alias("n"))
+    return made.select(cluster, "feature", F.get("__q", 1).alias("median"), (F.get("__q", 2) - F.get("__q", 0)).alias("iqr"), "mean", "std", "nan_frac", "n")
 
 
 def quartiles(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     long = unpivot(df, [by], columns)
-    return long.groupBy(by, "feature").agg(F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.75).alias("q3"), F.count("v").alias("n"))
+    made = long.groupBy(by, "feature").agg(_quartiles(F.col("v")).alias("__q"), F.count("v").alias("n"))
+    return made.select(by, "feature", F.get("__q", 1).alias("median"), F.get("__q", 0).alias("q1"), F.get("__q", 2).alias("q3"), "n")
 
 
 def distribution(df: DataFrame, group: str, item: str) -> DataFrame:

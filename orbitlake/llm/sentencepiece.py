@@ -24,6 +24,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: How far below the worst piece a character without a piece scores.
 UNKNOWN_PENALTY = 10.0
+#: Distinct words kept by one worker (about 60 MB): workers live on from stage to stage of a pipeline.
+MOST_WORDS = 300_000
 
 
 class DoubleArray:
@@ -99,7 +101,7 @@ class Pieces:
         #: Pieces that cross a blank or a line feed forbid cutting a text there.
         self.cuts = not inner
         self.table = [self._bytes_of(p, kind) for p, _, kind in pieces]
-        self.words = UnitCache(self._units, self._encode_units)
+        self.words = UnitCache(self._units, self._encode_units, MOST_WORDS)
 
     def _bytes_of(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:

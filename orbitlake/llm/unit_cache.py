@@ -28,8 +28,8 @@ class UnitCache:
     encoding of the text.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[bytes]]):
-        self.split, self.encode_many, self.known = split, encode_many, _Known()
+    def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[bytes]], most: int | None = None):
+        self.split, self.encode_many, self.known, self.most = split, encode_many, _Known(), most
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -58,7 +58,7 @@ class UnitCache:
                 ids[at] = made[units[at]]
                 gaps += 1
         out = [b"".join(ids) for ids in found]
-        if len(known) < MOST_UNITS:
+        if len(known) < (self.most or MOST_UNITS):
             known.update(made)
         elif 2 * gaps > sum(map(len, found)):
             known.clear()

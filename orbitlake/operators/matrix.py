@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +61,18 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 def select_features(df: DataFrame, columns: list[str], protected: tuple[str, ...] = (), limit: float = 0.98) -> list[str]:
     """Features in order of variance (protected ones first), each kept if it correlates below ``limit`` with all kept before.
 
-    Constant features go; a correlation that is not a number counts as 1.  One
-    pass gives all variances and correlations: columns squared numbers.
+    Constant features go; a correlation that is not a number counts as 1.  The
+    rows must have no nulls.  Correlations are sums that tasks gather and merge
+    as a tree; a matrix of features squared reaches the driver.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.var_pop(c).alias(f"v__{c}") for c in columns], *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)]).first()
-    corr = {}
-    for i, (a, b) in enumerate(pairs):
-        r = row[f"r__{i}"]
-        corr[a, b] = corr[b, a] = 1.0 if r is None or np.isnan(r) else abs(r)
-    spread = {c: row[f"v__{c}"] or 0.0 for c in columns}
+    row = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    spread = {c: row[c] or 0.0 for c in columns}
+    varied = [c for c in columns if spread[c] > 0]
+    corr: dict[tuple[str, str], float] = {}
+    if len(varied) > 1:
+        rows = VectorAssembler(inputCols=varied, outputCol="__x").transform(df.select(*varied)).select("__x")
+        found = np.abs(np.nan_to_num(Correlation.corr(rows, "__x").first()[0].toArray(), nan=1.0))
+        corr = {(a, b): float(found[i, j]) for i, a in enumerate(varied) for j, b in enumerate(varied)}
     kept = [c for c in protected if c in columns and spread[c] > 0]
     rest = sorted((c for c in columns if c not in kept and spread[c] > 0), key=lambda c: (-spread[c], columns.index(c)))
     for c in rest:

@@ -54,7 +54,7 @@ def group_stats(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return long.groupBy(by, "feature").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), rate("nan").alias("nan_rate"), rate("inf").alias("inf_rate"), F.count("*").alias("n"))
 
 
-#: Families of encodings by the head of their ids.
+# Families of encodings by the head of their ids.
 FAMILIES = ("SYM", "ASY", "R3", "RN")
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,17 +174,6 @@ def with_previous(doc: np.ndarray, ref: np.ndarray, pos: np.ndarray, ref_pos: np
     return np.append(doc[other], doc[own]), np.append(ref[other], doc[own]), np.append(pos[other], pos[own]), np.append(ref_pos[other], before[own])
 
 
-def outermost(found: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """The chains of a pair of documents whose words in the first are not all inside another chain's."""
-    spans = sorted(((c[0][0], -(c[-1][0] + c[-1][2]), i) for i, c in enumerate(found)))
-    kept, reach = [], -1
-    for _, end, i in spans:
-        if -end > reach:
-            kept.append(found[i])
-            reach = -end
-    return kept
-
-
 CHAINS = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc", "ref")], *[T.StructField(c, T.IntegerType()) for c in ("pos", "end", "ref_pos", "ref_end")], T.StructField("runs", T.ArrayType(T.IntegerType()))])
 
 
@@ -207,7 +196,7 @@ def chains(found: DataFrame) -> DataFrame:
                     out.append((d[lo], r[lo], [(int(p[lo]), int(q[lo]), int(n[lo]))]))
             else:
                 made = chain(list(zip(p[lo:hi].tolist(), q[lo:hi].tolist(), n[lo:hi].tolist(), strict=True)))
-                out += [(d[lo], r[lo], c) for c in outermost([c for c in made if c[-1][0] + c[-1][2] - c[0][0] >= LEAST_CHAIN])]
+                out += [(d[lo], r[lo], c) for c in made if c[-1][0] + c[-1][2] - c[0][0] >= LEAST_CHAIN]
         return {
             "doc": pa.array([x[0] for x in out], pa.int64()),
             "ref": pa.array([x[1] for x in out], pa.int64()),
@@ -236,15 +225,30 @@ def chains(found: DataFrame) -> DataFrame:
 # Alignment
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short pieces."""
+#: Steps of an alignment: a column takes a word of the document (1), of the other (2), or of both (3).
+OWN, OTHER, BOTH = 1, 2, 3
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, equal) of the columns of two short pieces with the fewest edits."""
     if not len(a) or not len(b):
-        return 0
-    row = np.zeros(len(b) + 1, np.int64)
+        return np.full(len(a) + len(b), OWN if len(a) else OTHER, np.int8), np.zeros(len(a) + len(b), bool)
+    across = np.arange(len(b) + 1)
+    rows = [across]
     for x in a:
-        took = np.append(0, row[:-1] + (b == x))
-        row = np.maximum.accumulate(np.maximum(row, took))
-    return int(row[-1])
+        best = np.append(rows[-1][0] + 1, np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + (b != x)))
+        rows.append(np.minimum.accumulate(best - across) + across)
+    i, j, steps, equal = len(a), len(b), [], []
+    while i or j:
+        same = bool(i and j and a[i - 1] == b[j - 1])
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (not same):
+            step = BOTH
+        else:
+            step = OWN if i and rows[i][j] == rows[i - 1][j] + 1 else OTHER
+        steps.append(step)
+        equal.append(same and step == BOTH)
+        i, j = i - (step & OWN), j - (step >> 1)
+    return np.array(steps[::-1], np.int8), np.array(equal[::-1], bool)
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -263,31 +267,67 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, int(same[:best].sum())
 
 
-def align(runs: np.ndarray, words: np.ndarray, at: int, ref_words: np.ndarray, ref_at: int) -> tuple[int, int, int, int, float]:
-    """(pos, end, ref_pos, ref_end, identity) of a chain; ``words`` are a document's from word ``at`` on.
+def similar_segments(equal: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches [lo, hi) of columns, LEAST_WORDS or more with SIMILAR of them equal: the longest one, then those left and right of it.
 
-    Words on a run's diagonal are compared one by one, gaps by their longest
-    common subsequence, and both ends go on while words agree.  Identity is the
-    share of equal words among all columns of the alignment.
+    Unequal words at the ends are left off, and so are ends in which equal
+    words are so rare that they look like chance, where enough words remain.
+    """
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST_WORDS:
+            continue
+        total = np.append(0.0, np.cumsum(np.where(equal[lo:hi], 1 - SIMILAR, -SIMILAR)))
+        high = np.maximum.accumulate(total[::-1])[::-1]
+        # For every beginning, the last end from which on the sum is never again as large.
+        ends = len(high) - 1 - np.searchsorted(high[::-1], total - 1e-9)
+        longest = int(np.argmax(ends - np.arange(len(total))))
+        i, j = longest, int(ends[longest])
+        if j - i < LEAST_WORDS:
+            continue
+        where = np.flatnonzero(equal[lo + i : lo + j])
+        i, j = lo + i + int(where[0]), lo + i + int(where[-1]) + 1
+        drift = np.append(0, np.cumsum(np.where(equal[i:j], 1, -2)))
+        end = int(drift.argmax())
+        begin = int(len(drift[: end + 1]) - 1 - drift[: end + 1][::-1].argmin())
+        if end - begin >= LEAST_WORDS:
+            i, j = i + begin, i + end
+        todo += [(lo, i), (j, hi)]
+        if j - i >= LEAST_WORDS:
+            out.append((i, j))
+    return sorted(out)
+
+
+def align(runs: np.ndarray, words: np.ndarray, at: int, ref_words: np.ndarray, ref_at: int) -> list[tuple[int, int, int, int, float]]:
+    """(pos, end, ref_pos, ref_end, identity) of the passages of a chain; ``words`` are a document's from word ``at`` on.
+
+    Words on a run's diagonal are compared one by one, gaps are aligned with
+    the fewest edits, and both ends go on while words agree.  The alignment is
+    then cut where too few words are equal: a passage's identity is the share
+    of equal words among its columns.
     """
     pos, ref = int(runs[0][0]) - at, int(runs[0][1]) - ref_at
-    left, equal = _extend(words[:pos][::-1], ref_words[:ref][::-1])
-    begin, ref_begin, columns = pos - left, ref - left, left
+    left, _ = _extend(words[:pos][::-1], ref_words[:ref][::-1])
+    begin, ref_begin = pos - left, ref - left
+    steps, equal = [np.full(left, BOTH, np.int8)], [words[begin:pos] == ref_words[ref_begin:ref]]
     for p, q, n in runs.tolist():
         p, q = p - at, q - ref_at
         cut = max(pos - p, ref - q, 0)  # what an earlier run has taken already
         if cut >= n:
             continue
         p, q, n = p + cut, q + cut, n - cut
-        columns += max(p - pos, q - ref)
-        equal += _common(words[pos:p], ref_words[ref:q])
+        taken, same = _gap(words[pos:p], ref_words[ref:q])
         n = min(n, len(words) - p, len(ref_words) - q)
-        equal += int((words[p : p + n] == ref_words[q : q + n]).sum())
-        columns += n
+        steps += [taken, np.full(n, BOTH, np.int8)]
+        equal += [same, words[p : p + n] == ref_words[q : q + n]]
         pos, ref = p + n, q + n
-    right, more = _extend(words[pos:], ref_words[ref:])
-    columns, equal = columns + right, equal + more
-    return begin + at, pos + right + at, ref_begin + ref_at, ref + right + ref_at, equal / max(columns, 1)
+    right, _ = _extend(words[pos:], ref_words[ref:])
+    step = np.concatenate([*steps, np.full(right, BOTH, np.int8)])
+    same = np.concatenate([*equal, words[pos : pos + right] == ref_words[ref : ref + right]])
+    own, other = np.append(0, np.cumsum(step & OWN)) + begin + at, np.append(0, np.cumsum(step >> 1)) + ref_begin + ref_at
+    found = [(int(own[i]), int(own[j]), int(other[i]), int(other[j]), float(same[i:j].mean())) for i, j in similar_segments(same)]
+    return [x for x in found if x[1] - x[0] >= LEAST_WORDS and x[4] >= SIMILAR]
 
 
 def _pieces(docs: DataFrame, needs: DataFrame) -> DataFrame:
@@ -352,12 +392,17 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     sides[x["side"]][x["piece"]] = x["words"]
                 words = [np.frombuffer(b"".join(s[k] for k in sorted(s)), "<u4") for s in sides]
                 first = [min(s) * PIECE for s in sides]
-                start, end, ref_start, ref_end, identity = align(runs.values.to_numpy().reshape(-1, 3), words[0], first[0], words[1], first[1])
-                if end - start >= LEAST_WORDS and identity >= SIMILAR:
-                    out.append((d, r, start, end, ref_start, ref_end, identity))
+                out += [(d, r, *passage) for passage in align(runs.values.to_numpy().reshape(-1, 3), words[0], first[0], words[1], first[1])]
             yield {f.name: pa.array([x[i] for x in out], k) for i, (f, k) in enumerate(zip(PASSAGES, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True))}
 
-    return rows_to_rows(ready, PASSAGES, step)
+    return outermost(rows_to_rows(ready, PASSAGES, step))
+
+
+def outermost(found: DataFrame) -> DataFrame:
+    """The passages of a pair of documents whose words in the first are not all inside another passage's."""
+    w = Window.partitionBy("doc_id", "ref_doc_id").orderBy("start", F.desc("end"), F.desc("identity"), "ref_start", "ref_end").rowsBetween(Window.unboundedPreceding, -1)
+    reach = found.withColumn("__reach", F.max("end").over(w))
+    return reach.filter("__reach is null or end > __reach").drop("__reach")
 
 
 def cut_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

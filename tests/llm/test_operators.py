@@ -429,6 +429,24 @@ def test_passages(spark, docs, corpus, empty):
     assert passages.repeated_passages(empty).count() == 0 and passages.cut_passages(empty).count() == 0
 
 
+def test_passages_around_a_gap(spark):
+    rng = np.random.default_rng(8)
+    two = [prose(rng, 60) for _ in range(2)]
+    stray = prose(rng, 6)
+    rows = [(i, f"{prose(rng, 30)} {two[0]} {prose(rng, 50)} {two[1]} {prose(rng, 30)}") for i in range(2)]
+    long = prose(rng, 55)
+    rows += [(10 + i, f"{prose(rng, 20)} {long} {prose(rng, 55)} {stray} {prose(rng, 20)}") for i in range(2)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["ref_doc_id"], r["start"], r["end"]) for r in found} == {(1, 0, 30, 90), (1, 0, 140, 200), (11, 10, 20, 75)}
+
+
+def test_similar_segments():
+    same = lambda *parts: np.concatenate([np.full(abs(n), n > 0) for n in parts])
+    assert passages.similar_segments(same(60, -50, 60)) == [(0, 60), (110, 170)]
+    assert passages.similar_segments(same(-9, 500, -31, 60, -5)) == [(9, 509), (540, 600)]
+    assert passages.similar_segments(same(30, -5, 30)) == [(0, 65)] and passages.similar_segments(same(49, -40, 49)) == []
+
+
 # 10
 
 

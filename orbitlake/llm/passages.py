@@ -4,7 +4,9 @@ Seeds are the minimizers of every WINDOW consecutive k-mers of words: any
 K + WINDOW - 1 equal words have a seed in common, wherever they stand.  All
 occurrences of a seed are matched with its first one (least document, then
 position), so a passage that many documents share gives one match an
-occurrence, not one a pair.  The matches of a document with one earlier
+occurrence, not one a pair.  Parts of a passage may occur first in different
+documents, so seeds of LONG words are matched too: their first occurrence is
+one of the whole copies.  The matches of a document with one earlier
 document are chained in order, with costs for gaps; a chain is a candidate
 passage, and aligning its words decides where it begins and ends and how
 similar it is.
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 
 from .arrow import add_columns, free_name, rows_to_rows
 from .storage import partitions, stored
-from .textscan import blocks
+from .textscan import Block, blocks
 
 #: Words of a seed, k-mers of a window, least words and similarity of a passage.
 K, WINDOW, LEAST_WORDS, SIMILAR = 6, 12, 50, 0.8
@@ -30,6 +32,8 @@ K, WINDOW, LEAST_WORDS, SIMILAR = 6, 12, 50, 0.8
 GAP_COST, WIDEST_GAP, MARGIN = 0.25, 64, 40
 #: A passage of LEAST_WORDS with a seed in every K + WINDOW - 1 words has a chain of this many words at least.
 LEAST_CHAIN = LEAST_WORDS - 2 * (WINDOW - 1) - 4
+#: Words of a long seed and of the pieces that choose it: any 2 * LONG - PART - 1 = 41 equal words have a long seed in common.
+LONG, PART = 24, 6
 #: Words of a piece of text that is fetched for alignments.
 PIECE = 64
 BLOCK_BYTES = 1 << 19
@@ -54,9 +58,27 @@ def minimizers(hashes: np.ndarray, first: np.ndarray, kmers: np.ndarray) -> np.n
     return np.unique(place)
 
 
+def long_seeds(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the windows of LONG words whose least piece of PART words is their first or last one.
+
+    The words of a window alone decide, so all copies of a passage choose the same ones.
+    """
+    hashes, at = b.shingles(LONG)
+    pieces, _ = b.shingles(PART)
+    if not len(hashes):
+        return hashes, at
+    windows, n = np.maximum(b.n_words - LONG + 1, 0), np.maximum(b.n_words - PART + 1, 0)
+    first = np.repeat(np.cumsum(n) - n - np.cumsum(windows) + windows, windows) + np.arange(len(hashes))
+    last, least = first + LONG - PART, pieces[first]
+    for i in range(1, LONG - PART + 1):
+        least = np.minimum(least, pieces[first + i])
+    chosen = (b.n_words[b.word_doc[at]] >= LEAST_WORDS) & (np.minimum(pieces[first], pieces[last]) == least)
+    return hashes[chosen], at[chosen]
+
+
 def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(seed, doc, pos) of all documents of LEAST_WORDS words or more; ``pos`` is a word's index."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType())])
+    """(seed, doc, pos, words) of all documents of LEAST_WORDS words or more; ``pos`` is a word's index, ``words`` K or LONG."""
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("words", T.ByteType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
@@ -68,18 +90,20 @@ def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 kmers = np.maximum(b.n_words - K + 1, 0)
                 first = np.cumsum(kmers) - kmers
                 found = minimizers(hashes, first, np.where(b.n_words >= LEAST_WORDS, kmers, 0))
-                word = at[found]
-                doc = b.word_doc[word]
-                yield {"seed": hashes[found].view(np.int64), "doc": ids[b.lo + doc], "pos": (word - b.word_bounds[doc]).astype(np.int32)}
+                for words, seed, word in ((K, hashes[found], at[found]), (LONG, *long_seeds(b))):
+                    doc = b.word_doc[word]
+                    yield {"seed": seed.view(np.int64), "doc": ids[b.lo + doc], "pos": (word - b.word_bounds[doc]).astype(np.int32), "words": np.full(len(seed), words, np.int8)}
 
     return rows_to_rows(df.select(F.col(doc_id).cast("long"), text).filter(F.col(doc_id).isNotNull()), schema, step)
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc, pos, ref, ref_pos): every occurrence of a repeated seed but the first, with the first."""
+    """(doc, pos, ref, ref_pos): every occurrence of a repeated seed but the first, with the first; its first and last K words if it is long."""
     first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = stored(first.select("seed", F.col("first.doc").alias("ref"), F.col("first.pos").alias("ref_pos")), "first")
-    return found.join(first, "seed").filter("doc <> ref or pos <> ref_pos").select("doc", "pos", "ref", "ref_pos")
+    pairs = found.join(first, "seed").filter("doc <> ref or pos <> ref_pos")
+    ends = F.explode(F.when(F.col("words") == LONG, F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))).alias("on")
+    return pairs.select("doc", "pos", "ref", "ref_pos", ends).select("doc", F.expr("pos + on").alias("pos"), "ref", F.expr("ref_pos + on").alias("ref_pos"))
 
 
 # Chains
@@ -185,7 +209,8 @@ def chains(found: DataFrame) -> DataFrame:
     dealt = found.repartition(partitions(found.sparkSession), "doc").sortWithinPartitions("doc")
 
     def of(*found: np.ndarray) -> dict[str, pa.Array]:
-        runs = diagonal_runs(*with_previous(*found))
+        new = np.unique(np.stack(found), axis=1)  # long and short seeds may give the same match
+        runs = diagonal_runs(*with_previous(*new))
         order = np.lexsort((runs[2], runs[1], runs[0]))
         d, r, p, q, n = (x[order] for x in runs)
         edge = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]))) if len(d) else np.zeros(0, np.int64)

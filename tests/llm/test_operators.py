@@ -440,6 +440,18 @@ def test_passages_around_a_gap(spark):
     assert {(r["doc_id"], r["ref_doc_id"], r["start"], r["end"]) for r in found} == {(1, 0, 30, 90), (1, 0, 140, 200), (11, 10, 20, 75)}
 
 
+def test_passages_of_common_lines(spark):
+    rng = np.random.default_rng(9)
+    lines = [prose(rng, 20) for _ in range(3)]
+    rows = [(i, f"{prose(rng, 40)} {lines[i]} {prose(rng, 40)}") for i in range(3)]
+    rows += [(10 + i, f"{prose(rng, 40)} {' '.join(lines)} {prose(rng, 40)}") for i in range(6)]
+    halves = [prose(rng, 30) for _ in range(2)]
+    rows += [(20 + i, f"{prose(rng, 40)} {halves[i]} {prose(rng, 40)}") for i in range(2)]
+    rows += [(30 + i, f"{prose(rng, 40)} {' '.join(halves)} {prose(rng, 40)}") for i in range(6)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["ref_doc_id"], r["start"], r["end"]) for r in found} == {(k + i, k, 40, 100) for k in (10, 30) for i in range(1, 6)}
+
+
 def test_similar_segments():
     same = lambda *parts: np.concatenate([np.full(abs(n), n > 0) for n in parts])
     assert passages.similar_segments(same(60, -50, 60)) == [(0, 60), (110, 170)]

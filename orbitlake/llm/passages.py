@@ -5,8 +5,8 @@ K + WINDOW - 1 equal words have a seed in common, wherever they stand.  All
 occurrences of a seed are matched with its first one (least document, then
 position), so a passage that many documents share gives one match an
 occurrence, not one a pair.  Parts of a passage may occur first in different
-documents, so seeds of LONG words are matched too: their first occurrence is
-one of the whole copies.  The matches of a document with one earlier
+documents, so seeds of LONG words are matched too: their first occurrence has
+more of the passage.  The matches of a document with one earlier
 document are chained in order, with costs for gaps; a chain is a candidate
 passage, and aligning its words decides where it begins and ends and how
 similar it is.
@@ -27,11 +27,11 @@ from .storage import partitions, stored
 from .textscan import Block, blocks
 
 #: Words of a seed, k-mers of a window, least words and similarity of a passage.
-K, WINDOW, LEAST_WORDS, SIMILAR = 6, 12, 50, 0.8
+K, WINDOW, LEAST_WORDS, SIMILAR = 5, 4, 50, 0.8
 #: Cost of a skipped word in a chain, widest gap inside a passage, words beyond a chain that the alignment looks at.
-GAP_COST, WIDEST_GAP, MARGIN = 0.25, 64, 40
-#: A passage of LEAST_WORDS with a seed in every K + WINDOW - 1 words has a chain of this many words at least.
-LEAST_CHAIN = LEAST_WORDS - 2 * (WINDOW - 1) - 4
+GAP_COST, WIDEST_GAP, MARGIN = 0.1, 64, 40
+#: Words of a chain that is aligned: more than a seed or two neighbours, little enough for passages that are full of edits.
+LEAST_CHAIN = 16
 #: Words of a long seed and of the pieces that choose it: any 2 * LONG - PART - 1 = 41 equal words have a long seed in common.
 LONG, PART = 24, 6
 #: Words of a piece of text that is fetched for alignments.
@@ -98,11 +98,17 @@ def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc, pos, ref, ref_pos): every occurrence of a repeated seed but the first, with the first; its first and last K words if it is long."""
-    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = stored(first.select("seed", F.col("first.doc").alias("ref"), F.col("first.pos").alias("ref_pos")), "first")
-    pairs = found.join(first, "seed").filter("doc <> ref or pos <> ref_pos")
-    ends = F.explode(F.when(F.col("words") == LONG, F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))).alias("on")
+    """(doc, pos, ref, ref_pos): every occurrence of a repeated seed but the first, with the first.
+
+    A document's first match of a long seed gives its first and last K words;
+    later ones repeat an earlier place of the document itself, which
+    ``with_previous`` sees (in periodic texts, on one diagonal).
+    """
+    w = Window.partitionBy("seed").orderBy("doc", "pos")
+    seen = found.withColumn("first", F.first(F.struct("doc", "pos")).over(w)).withColumn("again", F.lag("doc").over(w).eqNullSafe(F.col("doc")))
+    pairs = seen.select("doc", "pos", F.col("first.doc").alias("ref"), F.col("first.pos").alias("ref_pos"), (F.col("words") == LONG).alias("long"), "again")
+    pairs = pairs.filter("doc <> ref or pos <> ref_pos")
+    ends = F.explode(F.when(F.expr("long and not again"), F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))).alias("on")
     return pairs.select("doc", "pos", "ref", "ref_pos", ends).select("doc", F.expr("pos + on").alias("pos"), "ref", F.expr("ref_pos + on").alias("ref_pos"))
 
 

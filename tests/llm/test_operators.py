@@ -452,6 +452,17 @@ def test_passages_of_common_lines(spark):
     assert {(r["doc_id"], r["ref_doc_id"], r["start"], r["end"]) for r in found} == {(k + i, k, 40, 100) for k in (10, 30) for i in range(1, 6)}
 
 
+def test_passages_full_of_edits(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(60):
+        plain = prose(rng, 100).split()
+        edited = [f"e{i}_{k}" if (k + 1) % (6 if i < 30 else 10) == 0 else w for k, w in enumerate(plain)]
+        rows += [(2 * i + j, " ".join([prose(rng, 40), *x, prose(rng, 40)])) for j, x in enumerate((plain, edited))]
+    found = {r["doc_id"]: r["ref_doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(a == b + 1 for a, b in found.items()) and sum(a >= 60 for a in found) == 30 and sum(a < 60 for a in found) >= 24
+
+
 def test_similar_segments():
     same = lambda *parts: np.concatenate([np.full(abs(n), n > 0) for n in parts])
     assert passages.similar_segments(same(60, -50, 60)) == [(0, 60), (110, 170)]

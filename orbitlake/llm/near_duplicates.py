@@ -10,11 +10,12 @@ similarity.  ROWS samples form a band, and documents that share a band a bucket.
 In a bucket (dealt out in parts of bounded size) the first document leads those
 whose samples agree with its own often enough, the first of the others leads
 again, and so on: a link for each member.  Links are verified by the exact
-weighted Jaccard similarity.  Then, round by round until a round finds nothing
-new, every member of a part that still holds several components has its
-likeliest links to other components verified, so that documents which are like
-each other but not like their leaders are found too.  Every round asks for a few
-links a member, however large the group.
+weighted Jaccard similarity.  Then, round by round, every member of a bucket
+that still holds several components has its likeliest untested links to other
+components verified, so that documents which are like each other but not like
+their leaders are found too.  Members outside a bucket's largest component visit
+its other parts.  Rounds ask for more links and parts each time and end when no
+member has an untested candidate in another component, in any part.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ from .textscan import Block, blocks, mix
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 3
 IDF_BUCKETS = 1 << 16
 #: Samples that two documents must have in common to be compared (at similarity 0.8, 28.8 of 36 agree on average and
-#: fewer than 18 once in 20,000 times), members of a part of a bucket, and links a member tries in a part and round.
-AGREE, PART, TRIED = 18, 512, 2
+#: fewer than 18 once in 20,000 times), members of a part of a bucket, links a member tries in a part and parts that it
+#: visits in the first round, and how much more of both the next round allows.
+AGREE, PART, TRIED, VISITED, MORE = 18, 512, 2, 4, 4
 #: Names of texts to fetch are broadcast up to this many (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_NODES = 500_000
 #: Bytes of text handled at once: its arrays stay in a core's cache.
@@ -234,23 +236,38 @@ def _led(samples: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(samples: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """For every member of a group, the TRIED likeliest links to members of other components."""
+def _across(samples: np.ndarray, component: np.ndarray, home: np.ndarray, name: np.ndarray, failed: pa.Array, tried: int) -> list[tuple[int, int]]:
+    """For every member of a group, its ``tried`` likeliest links to members at home in it, of other components and not among its failed ones."""
     out = []
-    rows = max(1, (1 << 21) // (len(samples) * BANDS * ROWS))
-    for lo in range(0, len(samples), rows):
-        agree = (samples[lo : lo + rows, None, :] == samples[None, :, :]).sum(axis=2)
-        agree[component[lo : lo + rows, None] == component[None, :]] = 0
-        for _ in range(TRIED):
+    at = np.flatnonzero(home)
+    order = np.argsort(name[at])
+    sorted_names = name[at][order]
+    rows = max(1, (1 << 21) // (max(len(at), 1) * BANDS * ROWS))
+    for lo in range(0, len(samples) if len(at) else 0, rows):
+        agree = (samples[lo : lo + rows, None, :] == samples[at][None, :, :]).sum(axis=2)
+        agree[component[lo : lo + rows, None] == component[at][None, :]] = 0
+        part = failed.slice(lo, len(agree))
+        who, whom = np.repeat(np.arange(len(agree)), part.value_lengths().fill_null(0).to_numpy()), part.flatten().to_numpy()
+        if len(whom):
+            place = np.minimum(np.searchsorted(sorted_names, whom), len(at) - 1)
+            hit = sorted_names[place] == whom
+            agree[who[hit], order[place[hit]]] = 0
+        for _ in range(min(tried, len(at))):
             best = agree.argmax(axis=1)
             i = np.flatnonzero(agree[np.arange(len(agree)), best] >= AGREE)
-            out += list(zip((i + lo).tolist(), best[i].tolist(), strict=True))
+            if not len(i):
+                break
+            out += list(zip((i + lo).tolist(), at[best[i]].tolist(), strict=True))
             agree[np.arange(len(agree)), best] = 0
     return out
 
 
-def candidates(members: DataFrame, keys: list[str], component: str | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, worth verifying among the members (node, samples) of each group."""
+def candidates(members: DataFrame, keys: list[str], tried: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, worth verifying among the members (node, samples) of each group.
+
+    Without ``tried``, those of leaders; with it, those across components of
+    members (..., c, home, name, failed).
+    """
     schema = T.StructType([T.StructField("a", members.schema["node"].dataType), T.StructField("b", members.schema["node"].dataType)])
     dealt = members.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
@@ -258,12 +275,14 @@ def candidates(members: DataFrame, keys: list[str], component: str | None = None
         for table, cut in groups(batches, keys):
             found: list[tuple[int, int]] = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if component is None:
+                if tried is None:
                     pairs = _led(_samples(table, lo, hi))
                 else:
-                    of = table.column(component).slice(lo, hi - lo).combine_chunks().dictionary_encode()
-                    of = of.combine_chunks() if isinstance(of, pa.ChunkedArray) else of
-                    pairs = _across(_samples(table, lo, hi), of.indices.to_numpy())
+                    one = lambda c: table.column(c).slice(lo, hi - lo).combine_chunks()  # noqa: B023, E731
+                    of, failed = one("c").dictionary_encode(), one("failed")
+                    of, failed = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (of, failed))
+                    home, name = (table.column(c).slice(lo, hi - lo).to_numpy() for c in ("home", "name"))
+                    pairs = _across(_samples(table, lo, hi), of.indices.to_numpy(), home, name, failed, tried)
                 found += [(lo + i, lo + j) for i, j in pairs]
             nodes = table.column("node")
             yield {"a": nodes.take(pa.array([i for i, _ in found], pa.int64())).combine_chunks(), "b": nodes.take(pa.array([j for _, j in found], pa.int64())).combine_chunks()}
@@ -272,6 +291,20 @@ def candidates(members: DataFrame, keys: list[str], component: str | None = None
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def visits(placed: DataFrame, visited: int) -> DataFrame:
+    """(band, key, part, home, node, c): the members of buckets of several components, at home and in the parts that they visit.
+
+    Members of a bucket's largest component stay at home; any other one is in
+    up to ``visited`` parts, its own first, and so meets all members in the end.
+    """
+    bucket = ["band", "key"]
+    sizes = placed.groupBy(*bucket, "c").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
+    mixed = sizes.groupBy(*bucket).agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("k")).filter("k > 1").select(*bucket, "most")
+    last = F.when(F.col("c") == F.col("most"), F.lit(0)).otherwise(F.least(F.col("parts"), F.lit(visited)) - 1).cast("int")
+    out = placed.join(stored(mixed, "mixed"), bucket).withColumn("on", F.explode(F.sequence(F.lit(0), last)))
+    return out.select(*bucket, F.pmod(F.col("part") + F.col("on"), F.col("parts")).alias("part"), (F.col("on") == 0).alias("home"), "node", "c")
+
+
 def near_duplicate_components(df: DataFrame, text: str, node: str, doc: str) -> DataFrame:
     """(node, c) for every text with a verified link to another; ``node`` names a text (equal texts, equal names)."""
     docs = df.select(F.col(node).alias("node"), F.col(doc).alias("doc"), F.col(text).alias("text"))
@@ -283,23 +316,34 @@ def near_duplicate_components(df: DataFrame, text: str, node: str, doc: str) ->
     banded = signed.select("node", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "key"))
     many = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = banded.join(many, ["band", "key"])
-    # Parts are drawn anew for each band, so two members of a large bucket meet in some.
-    members = stored(members.select("band", "key", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / PART)).alias("part"), "node"), "members")
+    # Parts are drawn anew for each band, so leaders meet other members of a large bucket in each.
+    parts = F.ceil(F.col("n") / PART).cast("long")
+    members = stored(members.select("band", "key", F.pmod(F.xxhash64("node", "band"), parts).alias("part"), parts.alias("parts"), "node"), "members")
     group, firsts = ["band", "key", "part"], signed.select("node", "doc")
+    most = members.agg(F.max("parts")).first()[0] or 1
     sampled = members.join(signed.select("node", "samples"), "node").select(*group, "node", "samples")
     tested = stored(candidates(sampled, group), "pairs")
-    linked = components(_verify(tested, docs, firsts, idf), "a", "b").withColumnRenamed("component", "c")
+    found = _verify(tested, docs, firsts, idf)
+    linked = components(found, "a", "b").withColumnRenamed("component", "c")
+    failed = tested.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    tried, visited = TRIED, VISITED
     while True:
         # A text without a link is a component of its own.
         placed = stored(members.join(linked, "node", "left").withColumn("c", F.coalesce("c", "node")), "placed")
-        mixed = placed.groupBy(*group).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select(*group)
-        again = placed.join(stored(mixed, "mixed"), group).join(signed.select("node", "samples"), "node").select(*group, "node", "samples", "c")
-        more = stored(candidates(again, group, "c").join(tested, ["a", "b"], "left_anti"), "more")
+        both = failed.select(F.col("a").alias("node"), F.xxhash64("b").alias("other")).union(failed.select("b", F.xxhash64("a")))
+        lists = stored(both.groupBy("node").agg(F.collect_list("other").alias("failed")), "failed")  # as many as the tests of a text
+        again = visits(placed, visited).join(signed.select("node", "samples"), "node").join(lists, "node", "left")
+        again = again.select(*group, "home", "node", F.xxhash64("node").alias("name"), "samples", "c", F.coalesce("failed", F.array().cast("array<bigint>")).alias("failed"))
+        more = stored(candidates(again, group, tried), "more")
+        complete, tried, visited = visited >= most, tried * MORE, visited * MORE
         if more.isEmpty():
-            return linked
+            if complete:
+                return linked
+            continue
         found = _verify(more, docs, firsts, idf)
+        failed = stored(failed.unionByName(more.join(found.select("a", "b"), ["a", "b"], "left_anti")), "misses")
         if found.isEmpty():
-            return linked
+            continue
         # The new links join components; texts that had none come in with a name of their own.
         names = linked.select("node", "c")
         side = lambda x: names.withColumnsRenamed({"node": x, "c": f"c{x}"})
@@ -307,7 +351,6 @@ def near_duplicate_components(df: DataFrame, text: str, node: str, doc: str) ->
         merged = components(joined, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("to"))
         fresh = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(names, "node", "left_anti").withColumn("c", F.col("node"))
         linked = stored(names.unionByName(fresh).join(merged, "c", "left").select("node", F.coalesce("to", "c").alias("c")), "linked")
-        tested = tested.unionByName(more)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, idf: np.ndarray) -> DataFrame:

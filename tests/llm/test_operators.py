@@ -521,6 +521,19 @@ def test_near_duplicates(docs, corpus, empty):
     assert near_duplicates.near_duplicate_classes(empty).count() == 0 and near_duplicates.keep_one(empty).count() == 0
 
 
+def test_every_candidate_is_tried():
+    rng = np.random.default_rng(4)
+    samples = np.tile(rng.integers(0, 1 << 32, 36, np.uint64).astype("<u4"), (6, 1))
+    for i in range(1, 6):
+        samples[i, : 2 * i] = i  # the later, the less like the first
+    component, name = np.arange(6), np.arange(100, 106)
+    failed = pa.array([[101, 102, 103, 104], [], [], [], [], []], pa.list_(pa.int64()))
+    pairs = near_duplicates._across(samples, component, np.ones(6, bool), name, failed, 2)
+    assert [j for i, j in pairs if i == 0] == [5]
+    home = np.array([False, True, False, False, False, False])
+    assert {j for _, j in near_duplicates._across(samples, component, home, name, pa.array([[]] * 6, pa.list_(pa.int64())), 9)} == {1}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(i, i + 1) for i in range(300, 330)]

@@ -534,6 +534,34 @@ def test_every_candidate_is_tried():
     assert {j for _, j in near_duplicates._across(samples, component, home, name, pa.array([[]] * 6, pa.list_(pa.int64())), 9)} == {1}
 
 
+def test_members_of_all_parts_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PART", 8)
+    monkeypatch.setattr(near_duplicates, "VISITED", 1)
+    rng = np.random.default_rng(6)
+    base = prose(rng, 100).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):  # like the base, seldom like each other
+        words = list(base)
+        for k in rng.choice(100, 2, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    for i in range(200, 260):  # a template: not like each other, but for the last two
+        words = list(prose(np.random.default_rng(7), 100).split())
+        words[40:48] = [f"y{i}_{k}" for k in range(8)]
+        rows.append((i, " ".join(words)))
+    twin = rows[-1][1].split()
+    twin[5] = "z"
+    rows.append((260, " ".join(twin)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows, near_duplicates.word_idf(df, "text"))
+    least = {}
+    for (i, _), c in zip(rows, want, strict=True):
+        least.setdefault(c, i)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(df).collect()}
+    assert got == {i: least[c] for (i, _), c in zip(rows, want, strict=True)}
+    assert len(least) > 2 and got[260] == 259
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(i, i + 1) for i in range(300, 330)]

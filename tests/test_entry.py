@@ -1,6 +1,8 @@
-import importlib
 import os
+import shutil
+import subprocess
 import sys
+import zipfile
 
 import duckdb
 import pytest
@@ -21,22 +23,31 @@ def test_every_sql_belongs_to_a_query():
     assert set(catalogue.QUERIES) <= set(entry.queries())
 
 
-def test_the_library_does_not_need_the_training_operators(monkeypatch):
-    for name in [m for m in sys.modules if m.startswith("orbitlake.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
-        monkeypatch.delitem(sys.modules, name)
-
-    class Gone:
-        def find_spec(self, name, path=None, target=None):
-            if name in ("orbitlake.llm", "corpus_pipeline"):
-                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
-
-    monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
-    import orbitlake
-
-    monkeypatch.delattr(orbitlake, "llm", raising=False)
-    alone = importlib.import_module("__spark_entry__")
-    assert set(alone.queries()) == set(catalogue.QUERIES) and set(alone.oracle_sql()) == set(catalogue.SQL)
-    monkeypatch.delitem(sys.modules, "__spark_entry__")
+LEFT_ALONE = """
+import __spark_entry__ as entry
+from orbitlake.plans import catalogue
+assert entry.__file__.startswith({root!r}), entry.__file__
+assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.SQL)
+"""
+
+
+@pytest.mark.parametrize("pipeline_too", [False, True])
+def test_the_library_does_not_need_the_training_operators(tmp_path, pipeline_too):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = str(tmp_path / "copy")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for folder in ("orbitlake/llm", "tests/llm"):
+        shutil.rmtree(os.path.join(copy, folder), ignore_errors=True)
+    if pipeline_too and os.path.exists(os.path.join(copy, "corpus_pipeline.py")):
+        os.remove(os.path.join(copy, "corpus_pipeline.py"))
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-B", "-c", LEFT_ALONE.format(root=copy)], cwd=copy, env=environment, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
+def test_modules_are_sent_to_the_workers(spark):
+    with zipfile.ZipFile(entry._archive()) as z:
+        assert "orbitlake/__init__.py" in z.namelist() and "orbitlake/operators/simulate.py" in z.namelist()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

@@ -1,21 +1,18 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is a weighted set of five-word shingles; a shingle weighs its count
-times its IDF, which is the mean IDF of its words (document frequencies of
-words hashed into IDF_BUCKETS: a table of fixed size, where counting shingles
-would shuffle one row for every five words of the corpus).  Two documents agree
-in one consistent sample with probability equal to their weighted Jaccard
+times its IDF over all documents (``weighted_sets``).  Two documents agree in
+one consistent sample with probability equal to their weighted Jaccard
 similarity.  ROWS samples form a band, and documents that share a band a bucket.
 
-In a bucket (dealt out in parts of bounded size) the first document leads those
-whose samples agree with its own often enough, the first of the others leads
-again, and so on: a link for each member.  Links are verified by the exact
-weighted Jaccard similarity.  Then, round by round, every member of a bucket
-that still holds several components has its likeliest untested links to other
-components verified, so that documents which are like each other but not like
-their leaders are found too.  Members outside a bucket's largest component visit
-its other parts.  Rounds ask for more links and parts each time and end when no
-member has an untested candidate in another component, in any part.
+Links are looked for in two steps.  In a bucket (dealt out in parts of bounded
+size) the first document leads those whose samples agree with its own often
+enough, the first of the others leads again, and so on: a link for each member,
+verified by the exact weighted Jaccard similarity.  Of buckets that then still
+hold several components, every member outside the largest one is compared with
+all members of other components, by the exact similarity, in blocks of bounded
+size; a block gives at most one link less than it has components.  So every
+pair that shares a bucket is either in one component already or compared.
 """
 
 from __future__ import annotations
@@ -30,171 +27,49 @@ from pyspark.sql import types as T
 
 from .arrow import free_name, rows_to_rows
 from .components import components
-from .storage import partitions, stored
-from .textscan import Block, blocks, mix
-
-#: Words of a shingle, the similarity from which documents are near duplicates, bands and samples of a band.
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 3
-IDF_BUCKETS = 1 << 16
-#: Samples that two documents must have in common to be compared (at similarity 0.8, 28.8 of 36 agree on average and
-#: fewer than 18 once in 20,000 times), members of a part of a bucket, links a member tries in a part and parts that it
-#: visits in the first round, and how much more of both the next round allows.
-AGREE, PART, TRIED, VISITED, MORE = 18, 512, 2, 4, 4
-#: Names of texts to fetch are broadcast up to this many (about 100 bytes each); beyond it the join shuffles.
-BROADCAST_NODES = 500_000
-#: Bytes of text handled at once: its arrays stay in a core's cache.
-BLOCK_BYTES = 1 << 18
-
-
-def _gamma_quantiles(u: np.ndarray) -> np.ndarray:
-    """Quantiles of Gamma(2, 1): the x with 1 - (1 + x) exp(-x) = u, by Newton's method in log x."""
-    x = np.sqrt(2 * u) + u - np.log1p(-u) * u
-    for _ in range(60):
-        value = -np.expm1(-x) - x * np.exp(-x) - u
-        x = np.maximum(x - np.clip(value / np.maximum(x * np.exp(-x), 1e-300), -0.5 * x, 2.0), 1e-12)
-    return x
-
-
-class Sampler:
-    """The random numbers of all samples: r and c from Gamma(2, 1), beta uniform, each a function of shingle and sample."""
-
-    LEVELS = 1 << 16
-
-    def __init__(self, samples: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.first = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.second = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
-        quantiles = _gamma_quantiles((np.arange(self.LEVELS) + 0.5) / self.LEVELS)
-        self.r, self.ln_c = quantiles.astype(np.float32), np.log(quantiles).astype(np.float32)
-
-    def sample(self, shingles: np.ndarray, ln_weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, d: int) -> np.ndarray:
-        """Sample ``d`` of every document: a hash of the shingle with the least ln a and of its level t."""
-        z = shingles * self.first[d]
-        z ^= z >> np.uint64(32)
-        z *= self.second[d]
-        r = self.r[(z >> np.uint64(48)).view(np.int64)]
-        beta = ((z >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
-        place = ((z >> np.uint64(16)) & np.uint64(0xFFFF)).view(np.int64)
-        ln_c = self.ln_c[place]
-        low = np.flatnonzero(place < 64)  # the tail, where levels are coarse: c is about sqrt(2 u)
-        if len(low):
-            u = (place[low] + ((z[low] & np.uint64(0xFFFF)).astype(np.float64) + 0.5) / 65536) / self.LEVELS
-            ln_c[low] = 0.5 * np.log(2 * u) + np.sqrt(2 * u) / 3
-        t = np.floor(ln_weight / r + beta)
-        ln_a = ln_c - r * (t - beta + np.float32(1))
-        least = np.minimum.reduceat(ln_a, starts)
-        at = np.flatnonzero(ln_a == np.repeat(least, sizes))
-        first = at[np.searchsorted(at, starts)]
-        return mix(shingles[first] ^ (t[first].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-
-def weighted_shingles(b: Block, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a block in order of document and hash: document, hash, TF-IDF weight."""
-    hashes, at = b.shingles(SHINGLE)
-    if not len(hashes):
-        return np.zeros(0, np.int64), hashes, np.zeros(0, np.float32)
-    of_word = np.concatenate([[0.0], np.cumsum(idf[(b.word_hash >> np.uint64(48)).astype(np.int64)])])
-    mean = (of_word[at + SHINGLE] - of_word[at]) / SHINGLE
-    doc = b.word_doc[at]
-    order = np.lexsort((hashes, doc))
-    doc, hashes, mean = doc[order], hashes[order], mean[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(doc)))
-    # Rounded, as sums of a running total may differ in their last digits from one place to another.
-    return doc[first], hashes[first], (count * np.round(mean[first], 4)).astype(np.float32)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets of (sorted hashes, weights); 0 if both are empty."""
+from .storage import partitions, scratch, stored
+from .weighted_sets import document_id, weighted_sets
+
+#: Similarity from which documents are near duplicates, bands and samples of a band.
+SIMILAR, BANDS, ROWS = 0.8, 12, 3
+#: Samples that a member must have in common with its leader (at similarity 0.8, 28.8 of 36 agree on average).
+AGREE = 22
+#: Members of a part of a bucket when leaders are chosen; members and bytes of shingles of one side of a block.
+PART, SIDE, SIDE_BYTES = 512, 1024, 8 << 20
+#: Shingles of a block that are compared at once, and pairs up to which they are compared one by one.
+LAYERS, FEW = 4096, 16
+#: A text with more than this part of all rows as its copies is looked up by broadcast (at most as many texts as its inverse).
+HOT_COPIES = 0.001
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size_a: float | None = None, size_b: float | None = None) -> float:
+    """Weighted Jaccard similarity of two sets of (sorted hashes, weights) and sizes (the sums of weights, where not given); 0 if both are empty."""
     at = np.searchsorted(b[0], a[0])
     inside = at < len(b[0])
     same = np.flatnonzero(inside)[b[0][at[inside]] == a[0][inside]]
     common = float(np.minimum(a[1][same], b[1][at[same]]).sum(dtype=np.float64))
-    whole = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - common
+    whole = (float(a[1].sum(dtype=np.float64)) if size_a is None else size_a) + (float(b[1].sum(dtype=np.float64)) if size_b is None else size_b) - common
     return common / whole if whole > 0 else 0.0
 
 
-def word_idf(df: DataFrame, text: str) -> np.ndarray:
-    """IDF of every word bucket over all documents: ln((N + 1) / (documents with it + 1)) + 1."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        counts, n = np.zeros(IDF_BUCKETS, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for b in blocks(batch.column(0), BLOCK_BYTES):
-                key = b.word_doc * IDF_BUCKETS + (b.word_hash >> np.uint64(48)).astype(np.int64)
-                seen = np.unique(key)
-                counts += np.bincount(seen % IDF_BUCKETS, minlength=IDF_BUCKETS)
-        at = np.flatnonzero(counts)
-        yield {"bucket": np.append(at, -1).astype(np.int32), "n": np.append(counts[at], n)}
-
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
-    table = rows_to_rows(df.select(text), schema, step).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most IDF_BUCKETS + 1 rows
-    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
-    total = int(n[bucket < 0].sum())
-    seen = np.zeros(IDF_BUCKETS, np.int64)
-    seen[bucket[bucket >= 0]] = n[bucket >= 0]
-    return np.log((total + 1) / (seen + 1)) + 1
-
-
-def signatures(df: DataFrame, idf: np.ndarray, node: str, text: str) -> DataFrame:
-    """(node, doc, samples) of every document with shingles: 32 bits of each sample."""
-    shared = df.sparkSession.sparkContext.broadcast(idf)  # IDF_BUCKETS doubles
-    schema = T.StructType([df.schema[node], df.schema["doc"], T.StructField("samples", T.BinaryType())])
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-        sampler = Sampler(BANDS * ROWS)
-        for batch in batches:
-            for b in blocks(batch.column(text), BLOCK_BYTES):
-                doc, shingle, weight = weighted_shingles(b, shared.value)
-                if not len(doc):
-                    continue
-                starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                sizes, ln_weight = np.diff(np.append(starts, len(doc))), np.log(weight)
-                samples = np.zeros((len(starts), BANDS * ROWS), "<u4")
-                for d in range(BANDS * ROWS):
-                    samples[:, d] = sampler.sample(shingle, ln_weight, starts, sizes, d) >> np.uint64(32)
-                of = pa.array(doc[starts] + b.lo)
-                yield {node: batch.column(node).take(of), "doc": batch.column("doc").take(of), "samples": pa.array([row.tobytes() for row in samples], pa.binary())}
-
-    return rows_to_rows(df.select(node, "doc", text), schema, step)
-
-
-def shingle_sets(df: DataFrame, idf: np.ndarray, node: str, text: str) -> DataFrame:
-    """(node, shingles): the weighted shingles of every document as bytes, the high 32 bits of the sorted hashes and then the weights."""
-    shared = df.sparkSession.sparkContext.broadcast(idf)
-    schema = T.StructType([T.StructField(node, df.schema[node].dataType), T.StructField("shingles", T.BinaryType())])
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-        for batch in batches:
-            for b in blocks(batch.column(text), BLOCK_BYTES):
-                doc, shingle, weight = weighted_shingles(b, shared.value)
-                cuts = np.searchsorted(doc, np.arange(len(b) + 1)).tolist()
-                short = (shingle >> np.uint64(32)).astype("<u4")
-                made = [short[i:j].tobytes() + weight[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield {node: batch.column(node).slice(b.lo, len(b)), "shingles": pa.array(made, pa.binary())}
-
-    return rows_to_rows(df.select(node, text), schema, step)
-
-
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 8
-    return np.frombuffer(data, "<u4", n), np.frombuffer(data, np.float32, n, 4 * n)
+    return np.frombuffer(data, "<u4", n), np.frombuffer(data, "<f4", n, 4 * n)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) plus ``similarity``; ``sets`` has the weighted shingles by node."""
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+    """The ``pairs`` (a, b) with at least the similarity asked for."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"of_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b", "size_a", "size_b")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         for batch in batches:
-            found = [similarity(_unpack(x.as_py()), _unpack(y.as_py())) for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True)]
-            yield {"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(found, pa.float64())}
+            sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist(), strict=True)
+            alike = [similarity(_unpack(x.as_py()), _unpack(y.as_py()), *s) >= SIMILAR for x, y, s in zip(batch.column("of_a"), batch.column("of_b"), sizes, strict=True)]
+            found = batch.filter(pa.array(alike, pa.bool_()))
+            yield {"a": found.column("a"), "b": found.column("b")}
 
-    return rows_to_rows(both, T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())]), step)
+    return rows_to_rows(both, T.StructType([pairs.schema["a"], pairs.schema["b"]]), step)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -221,10 +96,6 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield held, bounds(held).tolist()
 
 
-def _samples(table: pa.Table, lo: int, hi: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("samples").slice(lo, hi - lo).to_pylist()), "<u4").reshape(hi - lo, BANDS * ROWS)
-
-
 def _led(samples: np.ndarray) -> list[tuple[int, int]]:
     """(leader, member) within a group."""
     left, out = np.arange(len(samples)), []
@@ -236,162 +107,201 @@ def _led(samples: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(samples: np.ndarray, component: np.ndarray, home: np.ndarray, name: np.ndarray, failed: pa.Array, tried: int) -> list[tuple[int, int]]:
-    """For every member of a group, its ``tried`` likeliest links to members at home in it, of other components and not among its failed ones."""
-    out = []
-    at = np.flatnonzero(home)
-    order = np.argsort(name[at])
-    sorted_names = name[at][order]
-    rows = max(1, (1 << 21) // (max(len(at), 1) * BANDS * ROWS))
-    for lo in range(0, len(samples) if len(at) else 0, rows):
-        agree = (samples[lo : lo + rows, None, :] == samples[at][None, :, :]).sum(axis=2)
-        agree[component[lo : lo + rows, None] == component[at][None, :]] = 0
-        part = failed.slice(lo, len(agree))
-        who, whom = np.repeat(np.arange(len(agree)), part.value_lengths().fill_null(0).to_numpy()), part.flatten().to_numpy()
-        if len(whom):
-            place = np.minimum(np.searchsorted(sorted_names, whom), len(at) - 1)
-            hit = sorted_names[place] == whom
-            agree[who[hit], order[place[hit]]] = 0
-        for _ in range(min(tried, len(at))):
-            best = agree.argmax(axis=1)
-            i = np.flatnonzero(agree[np.arange(len(agree)), best] >= AGREE)
-            if not len(i):
-                break
-            out += list(zip((i + lo).tolist(), at[best[i]].tolist(), strict=True))
-            agree[np.arange(len(agree)), best] = 0
+def common_weight(rows: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sums of the lesser weights of all sets ``left`` with all sets ``right``.
+
+    A shingle with weights w1 < w2 < ... becomes layers that weigh w1, w2 - w1,
+    ..., and a set has all layers up to its own weight; the lesser weight is the
+    sum of the layers that both have, so blocks of layers are multiplied as
+    matrices.  Layers of a single set have nothing in common with others.
+    """
+    lengths = [len(x[0]) for x in rows]
+    row = np.repeat(np.arange(len(rows)), lengths)
+    name, weight = (np.concatenate([x[i] for x in rows]) for i in (0, 1))
+    order = np.lexsort((weight, name))
+    row, name, weight = row[order], name[order], weight[order].astype(np.float64)
+    out = np.zeros((len(left), len(right)))
+    if not len(row):
+        return out
+    new_name = np.append(True, name[1:] != name[:-1])
+    new = new_name | np.append(True, weight[1:] != weight[:-1])
+    layer = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    adds = np.where(new_name[at], weight[at], weight[at] - np.append(0.0, weight[at][:-1]))
+    base = np.maximum.accumulate(np.where(new_name, layer, 0))
+    times = layer - base + 1
+    flat = np.repeat(np.arange(len(row)), times)
+    layer = layer[flat] - (np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times))
+    row = row[flat]
+    shared = np.bincount(layer, minlength=len(adds)) > 1
+    kept = shared[layer]
+    row, layer, adds = row[kept], (np.cumsum(shared) - 1)[layer[kept]], adds[shared]
+    order = np.argsort(layer, kind="stable")
+    row, layer = row[order], layer[order]
+    for lo in range(0, len(adds), LAYERS):
+        i, j = np.searchsorted(layer, (lo, lo + LAYERS))
+        has = np.zeros((len(rows), min(LAYERS, len(adds) - lo)), np.float32)
+        has[row[i:j], layer[i:j] - lo] = 1
+        out += (has[left] * adds[lo : lo + LAYERS].astype(np.float32)) @ has[right].T
     return out
 
 
-def candidates(members: DataFrame, keys: list[str], tried: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, worth verifying among the members (node, samples) of each group.
+def links(rows: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, component: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs of a visiting and a resident set of a block, as few as join the same components."""
+    left, right = np.flatnonzero(~home), np.flatnonzero(home)
+    if len(left) * len(right) <= FEW:
+        pairs = [(i, j) for i in left.tolist() for j in right.tolist() if component[i] != component[j] and similarity(rows[i], rows[j], sizes[i], sizes[j]) >= SIMILAR]
+    else:
+        common = common_weight(rows, left, right)
+        alike = common / np.maximum(sizes[left][:, None] + sizes[right][None, :] - common, 1e-300)
+        alike[component[left][:, None] == component[right][None, :]] = 0
+        x, y = np.nonzero(alike >= SIMILAR - 1e-4)
+        near = alike[x, y] < SIMILAR + 1e-4  # the matrices are in single precision
+        sure = [not n or similarity(rows[left[i]], rows[right[j]], sizes[left[i]], sizes[right[j]]) >= SIMILAR for i, j, n in zip(x.tolist(), y.tolist(), near.tolist(), strict=True)]
+        x, y = left[x[sure]], right[y[sure]]
+        _, first = np.unique(component[x] * (int(component.max(initial=0)) + 1) + component[y], return_index=True)
+        pairs = list(zip(x[first].tolist(), y[first].tolist(), strict=True))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
 
-    Without ``tried``, those of leaders; with it, those across components of
-    members (..., c, home, name, failed).
-    """
+    out = []
+    for i, j in pairs:
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def _pairs(members: DataFrame, keys: list[str], order: list[str], of) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that ``of`` finds in each group of members: pairs of rows of a table from lo to hi."""
     schema = T.StructType([T.StructField("a", members.schema["node"].dataType), T.StructField("b", members.schema["node"].dataType)])
-    dealt = members.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "node")
+    dealt = members.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, *order)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         for table, cut in groups(batches, keys):
-            found: list[tuple[int, int]] = []
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if tried is None:
-                    pairs = _led(_samples(table, lo, hi))
-                else:
-                    one = lambda c: table.column(c).slice(lo, hi - lo).combine_chunks()  # noqa: B023, E731
-                    of, failed = one("c").dictionary_encode(), one("failed")
-                    of, failed = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (of, failed))
-                    home, name = (table.column(c).slice(lo, hi - lo).to_numpy() for c in ("home", "name"))
-                    pairs = _across(_samples(table, lo, hi), of.indices.to_numpy(), home, name, failed, tried)
-                found += [(lo + i, lo + j) for i, j in pairs]
+            found = [(lo + i, lo + j) for lo, hi in zip(cut[:-1], cut[1:], strict=True) for i, j in of(table.slice(lo, hi - lo))]
             nodes = table.column("node")
-            yield {"a": nodes.take(pa.array([i for i, _ in found], pa.int64())).combine_chunks(), "b": nodes.take(pa.array([j for _, j in found], pa.int64())).combine_chunks()}
+            yield {c: nodes.take(pa.array([p[k] for p in found], pa.int64())).combine_chunks() for k, c in enumerate("ab")}
 
     made = rows_to_rows(dealt, schema, step)
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def visits(placed: DataFrame, visited: int) -> DataFrame:
-    """(band, key, part, home, node, c): the members of buckets of several components, at home and in the parts that they visit.
+def led_pairs(members: DataFrame) -> DataFrame:
+    """Every member (band, key, part, node, samples) with the leader whose samples are like its own."""
+
+    def of(group: pa.Table) -> list[tuple[int, int]]:
+        return _led(np.frombuffer(b"".join(group.column("samples").to_pylist()), "<u4").reshape(len(group), BANDS * ROWS))
 
-    Members of a bucket's largest component stay at home; any other one is in
-    up to ``visited`` parts, its own first, and so meets all members in the end.
+    return _pairs(members, ["band", "key", "part"], ["node"], of)
+
+
+def crossing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs between the components of a bucket; ``members`` (band, key, node, c) are all of those buckets with several.
+
+    Members of a bucket's largest component stay at home; every other one also
+    visits all parts of the bucket.  Parts and the blocks of visitors to one are
+    bounded by SIDE members and about SIDE_BYTES.
     """
     bucket = ["band", "key"]
-    sizes = placed.groupBy(*bucket, "c").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
-    mixed = sizes.groupBy(*bucket).agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("k")).filter("k > 1").select(*bucket, "most")
-    last = F.when(F.col("c") == F.col("most"), F.lit(0)).otherwise(F.least(F.col("parts"), F.lit(visited)) - 1).cast("int")
-    out = placed.join(stored(mixed, "mixed"), bucket).withColumn("on", F.explode(F.sequence(F.lit(0), last)))
-    return out.select(*bucket, F.pmod(F.col("part") + F.col("on"), F.col("parts")).alias("part"), (F.col("on") == 0).alias("home"), "node", "c")
-
-
-def near_duplicate_components(df: DataFrame, text: str, node: str, doc: str) -> DataFrame:
-    """(node, c) for every text with a verified link to another; ``node`` names a text (equal texts, equal names)."""
-    docs = df.select(F.col(node).alias("node"), F.col(doc).alias("doc"), F.col(text).alias("text"))
-    idf = word_idf(docs, "text")
-    # Exact copies are one text from here on, fetched from the document with the least id.
-    signed = signatures(docs, idf, "node", "text").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value("samples").alias("samples"))
-    signed = stored(signed, "signatures")
-    band = lambda i: F.xxhash64(F.substr("samples", F.lit(i * 4 * ROWS + 1), F.lit(4 * ROWS)), F.lit(i))
-    banded = signed.select("node", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "key"))
-    many = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = banded.join(many, ["band", "key"])
-    # Parts are drawn anew for each band, so leaders meet other members of a large bucket in each.
-    parts = F.ceil(F.col("n") / PART).cast("long")
-    members = stored(members.select("band", "key", F.pmod(F.xxhash64("node", "band"), parts).alias("part"), parts.alias("parts"), "node"), "members")
-    group, firsts = ["band", "key", "part"], signed.select("node", "doc")
-    most = members.agg(F.max("parts")).first()[0] or 1
-    sampled = members.join(signed.select("node", "samples"), "node").select(*group, "node", "samples")
-    tested = stored(candidates(sampled, group), "pairs")
-    found = _verify(tested, docs, firsts, idf)
-    linked = components(found, "a", "b").withColumnRenamed("component", "c")
-    failed = tested.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    tried, visited = TRIED, VISITED
-    while True:
+    weighed = members.join(sets.select("node", F.length("shingles").cast("long").alias("bytes")), "node")
+    sizes = weighed.groupBy(*bucket, "c").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    mixed = sizes.groupBy(*bucket).agg(F.max_by(F.struct("c", "m", "bytes"), F.struct("m", "c")).alias("most"), F.count("*").alias("k"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes")).filter("k > 1")
+    sides = lambda m, n: F.greatest(F.ceil(m / SIDE), F.ceil(n / SIDE_BYTES), F.lit(1)).cast("int")
+    mixed = mixed.select(*bucket, F.col("most.c").alias("most"), sides(F.col("m"), F.col("bytes")).alias("parts"), sides(F.col("m") - F.col("most.m"), F.col("bytes") - F.col("most.bytes")).alias("blocks"))
+    placed = members.join(stored(mixed, "mixed"), bucket)
+    own = lambda n, seed: F.pmod(F.xxhash64("node", "band", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = placed.select(*bucket, own("parts", 0).alias("part"), every("blocks").alias("block"), F.lit(True).alias("home"), "node", "c")
+    away = placed.filter("c <> most").select(*bucket, every("parts").alias("part"), own("blocks", 1).alias("block"), F.lit(False).alias("home"), "node", "c")
+    rows = home.unionByName(away).join(sets.select("node", "size", "shingles"), "node")
+
+    def of(group: pa.Table) -> list[tuple[int, int]]:
+        sides = group.column("home").to_numpy()
+        if sides.all() or not sides.any():
+            return []
+        component = group.column("c").combine_chunks().dictionary_encode()
+        component = (component.combine_chunks() if isinstance(component, pa.ChunkedArray) else component).indices.to_numpy().astype(np.int64)
+        return links([_unpack(x) for x in group.column("shingles").to_pylist()], group.column("size").to_numpy(), component, sides)
+
+    return _pairs(rows, [*bucket, "part", "block"], ["home", "node"], of)
+
+
+def near_duplicate_components(texts: DataFrame, total: int, n_bytes: int) -> DataFrame:
+    """(node, c) for every text with a verified link to another; ``texts`` has a row (node, text) for each of ``total`` documents."""
+    spark = texts.sparkSession
+    with scratch(spark):
+        sets = weighted_sets(texts, "node", "text", total, n_bytes, SIMILAR, BANDS * ROWS)
+        band = lambda i: F.xxhash64(F.substr("samples", F.lit(i * 4 * ROWS + 1), F.lit(4 * ROWS)), F.lit(i))
+        banded = sets.select("node", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "key"))
+        many = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+        # Parts are drawn anew for each band, so leaders meet other members of a large bucket in each.
+        part = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / PART).cast("long")).cast("int")
+        members = stored(banded.join(many, ["band", "key"]).select("band", "key", part.alias("part"), "node"), "members")
+        found = stored(verified(led_pairs(members.join(sets.select("node", "samples"), "node")), sets), "links")
+        linked = components(found, "a", "b").withColumnRenamed("component", "c")
         # A text without a link is a component of its own.
-        placed = stored(members.join(linked, "node", "left").withColumn("c", F.coalesce("c", "node")), "placed")
-        both = failed.select(F.col("a").alias("node"), F.xxhash64("b").alias("other")).union(failed.select("b", F.xxhash64("a")))
-        lists = stored(both.groupBy("node").agg(F.collect_list("other").alias("failed")), "failed")  # as many as the tests of a text
-        again = visits(placed, visited).join(signed.select("node", "samples"), "node").join(lists, "node", "left")
-        again = again.select(*group, "home", "node", F.xxhash64("node").alias("name"), "samples", "c", F.coalesce("failed", F.array().cast("array<bigint>")).alias("failed"))
-        more = stored(candidates(again, group, tried), "more")
-        complete, tried, visited = visited >= most, tried * MORE, visited * MORE
-        if more.isEmpty():
-            if complete:
-                return linked
-            continue
-        found = _verify(more, docs, firsts, idf)
-        failed = stored(failed.unionByName(more.join(found.select("a", "b"), ["a", "b"], "left_anti")), "misses")
-        if found.isEmpty():
-            continue
+        placed = members.drop("part").join(linked, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        crossing = stored(crossing_links(stored(placed, "placed"), sets), "crossing")
+        if crossing.isEmpty():
+            return stored(linked, "linked", keep=True)
         # The new links join components; texts that had none come in with a name of their own.
-        names = linked.select("node", "c")
-        side = lambda x: names.withColumnsRenamed({"node": x, "c": f"c{x}"})
-        joined = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        side = lambda x: linked.withColumnsRenamed({"node": x, "c": f"c{x}"})
+        joined = crossing.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         merged = components(joined, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("to"))
-        fresh = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(names, "node", "left_anti").withColumn("c", F.col("node"))
-        linked = stored(names.unionByName(fresh).join(merged, "c", "left").select("node", F.coalesce("to", "c").alias("c")), "linked")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs of at least the similarity asked for; one copy of each text that occurs in them is fetched."""
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(firsts, "node"), "wanted")
-    small = wanted.count() <= BROADCAST_NODES
-    right = F.broadcast(wanted) if small else wanted
-    rows = docs.alias("x").join(right.alias("w"), (F.col("x.node") == F.col("w.node")) & F.col("x.doc").eqNullSafe(F.col("w.doc")), "left_semi")
-    sets = stored(shingle_sets(rows, idf, "node", "text"), "shingles")
-    return stored(verified(pairs, sets).filter(F.col("similarity") >= SIMILAR).distinct(), "links")
+        fresh = crossing.select(F.col("a").alias("node")).union(crossing.select("b")).distinct().join(linked, "node", "left_anti").withColumn("c", F.col("node"))
+        return stored(linked.unionByName(fresh).join(merged, "c", "left").select("node", F.coalesce("to", "c").alias("c")), "linked", keep=True)
 
 
 def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, node) for every row of ``df``: documents linked by chains of near duplicates share a class.
+    """(doc_id, class_id, node, component) for every row of ``df``: documents linked by chains of near duplicates share a component.
 
-    ``class_id`` is the least id in the class, ``node`` the MD5 of the text.
-    Equal texts are one class (null counts as empty), also those of fewer than
-    five words, which have no shingles and so no other links.  Rows that repeat
-    an id are classed by their own texts; null ids are kept (a class of null
-    ids only has a null class id).  Extra columns are left out.
+    ``class_id`` is the least id in the component, ``node`` the MD5 of the text.
+    Equal texts are one component (null counts as empty), also those of fewer
+    than five words, which have no shingles and so no other links.  Rows that
+    repeat an id are classed by their own texts; null ids are kept (a component
+    of null ids only has a null class id).  Extra columns are left out.
     """
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node"), F.col(text).alias("text"))
-    ids = rows.select("doc_id", "node")
-    parts = near_duplicate_components(rows, "text", "node", "doc_id")
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = stored(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c"), "nodes")
-    least = nodes.groupBy("component").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(least, "component")
-    nodes = stored(nodes.select("node", "class_id"), "classes")
-    return ids.join(nodes, "node").select("doc_id", "class_id", "node")
+    spark = df.sparkSession
+    with scratch(spark):
+        rows = df.select(F.col(doc_id).alias("doc_id"), document_id(F.col(text)).alias("node"), F.col(text).alias("text"))
+        ids = stored(rows.select("doc_id", "node", F.octet_length("text").cast("long").alias("bytes")), "ids", keep=True)
+        total, n_bytes = ids.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        parts = near_duplicate_components(rows.select("node", "text"), total, n_bytes)
+        nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(parts, "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+        nodes = stored(nodes, "nodes")
+        least = nodes.groupBy("component").agg(F.min("least").alias("class_id"))
+        nodes = stored(nodes.join(least, "component").select("node", "class_id", "component", "copies"), "classes", keep=True)
+    # All copies of one text would meet in one task; the few texts with many are looked up beside their rows.
+    hot = nodes.filter(F.col("copies") > F.lit(HOT_COPIES * total)).select("node", F.struct("class_id", "component").alias("often"))
+    marked = ids.select("doc_id", "node").join(F.broadcast(hot), "node", "left")  # at most 1 / HOT_COPIES rows
+    spread = F.when(F.col("often").isNotNull(), F.unhex(F.md5(F.concat(F.lit("spread "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))).otherwise(F.col("node"))
+    rest = nodes.filter(F.col("copies") <= F.lit(HOT_COPIES * total)).select(F.col("node").alias("__node"), F.struct("class_id", "component").alias("found"))
+    joined = marked.withColumn("__at", spread).join(rest, F.col("__at") == F.col("__node"), "left").withColumn("found", F.coalesce("often", "found"))
+    return joined.select("doc_id", F.col("found.class_id").alias("class_id"), "node", F.col("found.component").alias("component"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each class: the one with the least id (of rows that repeat it, one)."""
-    classes = stored(near_duplicate_classes(df, doc_id, text), "classes")
+    """``df`` with one row of each class: the one with the least id (of null ids, and of rows that repeat an id, one)."""
     name, key = free_name(df, "__node"), free_name(df, "__id")
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias(key)).agg(F.min("node").alias(name))
-    rows = df.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn(key, F.col(doc_id))
-    joined = rows.filter(F.col(key).isNotNull()).join(kept.filter(F.col(key).isNotNull()), [key, name], "left_semi")
-    nulls = rows.filter(F.col(key).isNull()).join(classes.filter("class_id is null").select(F.col("node").alias(name)).distinct(), name, "left_semi")
-    return joined.unionByName(nulls).dropDuplicates([key, name]).select(*df.columns)
+    with scratch(df.sparkSession):
+        classes = stored(near_duplicate_classes(df, doc_id, text), "classes")
+        kept = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.node").alias(name))
+        copies = classes.groupBy(F.col("doc_id").alias("i"), F.col("node").alias("n")).agg(F.count("*").alias("rows")).filter("rows > 1")
+        kept = kept.join(copies, F.col(key).eqNullSafe(F.col("i")) & (F.col(name) == F.col("n")), "left").select(key, name, F.coalesce("rows", F.lit(1)).alias("rows"))
+        kept = stored(kept, "kept", keep=True)
+    rows = df.withColumn(name, document_id(F.col(text))).withColumn(key, F.col(doc_id))
+    of = lambda k: rows.alias("x").join(k.alias("k"), F.col(f"x.{key}").eqNullSafe(F.col(f"k.{key}")) & (F.col(f"x.{name}") == F.col(f"k.{name}")), "left_semi")
+    repeated = kept.filter("rows > 1")
+    if repeated.isEmpty():
+        return of(kept).select(*df.columns)
+    again = of(repeated).dropDuplicates([key, name])
+    return of(kept.filter("rows = 1")).unionByName(again).select(*df.columns)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import free_name
 from .storage import partitions, stored
 
-PART = "__part"
-
 
 def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
     """``df`` plus, for each ``out: value`` of ``sums``, the sum of ``value`` over all rows before this one.
@@ -19,11 +18,13 @@ def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str])
     partition (at most the number of shuffle partitions) is broadcast.
     """
     spark = df.sparkSession
-    ranged = stored(df.repartitionByRange(partitions(spark), *order).withColumn(PART, F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy(PART).agg(*[F.sum(v).alias(f"__t_{o}") for o, v in sums.items()])
-    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(PART, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in sums])
-    local = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = ranged.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"__l_{o}") for o, v in sums.items()])
-    joined = within.join(F.broadcast(offsets), PART)
-    return joined.select(*df.columns, *[(F.col(f"__l_{o}") + F.col(f"__b_{o}")).alias(o) for o in sums])
+    part = free_name(df, "__part")
+    total, local_sum, offset = ({o: free_name(df, f"__{kind}_{i}") for i, o in enumerate(sums)} for kind in ("total", "local", "offset"))
+    ranged = stored(df.repartitionByRange(partitions(spark), *order).withColumn(part, F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(part).agg(*[F.sum(v).alias(total[o]) for o, v in sums.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, *[F.coalesce(F.sum(total[o]).over(before), F.lit(0)).alias(offset[o]) for o in sums])
+    local = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(local_sum[o]) for o, v in sums.items()])
+    joined = within.join(F.broadcast(offsets), part)
+    return joined.select(*df.columns, *[(F.col(local_sum[o]) + F.col(offset[o])).alias(o) for o in sums])

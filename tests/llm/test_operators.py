@@ -164,7 +164,7 @@ def test_shards(spark, docs, empty):
     assert len(got) == 3000 and len(total) == 24 and total.max() - total.min() <= 2 * 59 + 0.002 * total.mean()
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     # Each node's cut parts its rows on its widest dimension.
-    assert tree.dim == "__d0" and tree.children[0].leaves == 12
+    assert tree.dim == "a" and tree.children[0].leaves == 12
     same = spark.range(480).select(F.lit(1).alias("doc_id"), F.lit(None).cast("double").alias("a"), F.lit(9).alias("size"))
     even, _ = kd_sharding.kd_shards(same, "size", ["a"], 24, ["doc_id"])
     counts = [r["count"] for r in even.groupBy("shard").count().collect()]
@@ -175,6 +175,57 @@ def test_shards(spark, docs, empty):
     assert nothing.count() == 0
 
 
+def order_key(value):
+    """Null and NaN first, then numbers by value and texts by UTF-8 bytes."""
+    if value is None or value != value:
+        return (0, 0.0)
+    return (1, value.encode() if isinstance(value, str) else float(value))
+
+
+def check_tree(rows, tree, dims, size, spans, tolerance):
+    """Every node of a K-d tree against its rows (with their shard): widest dimension, order across the cut, bytes left of it."""
+    mine = [r for r in rows if tree.first <= r["shard"] < tree.first + tree.leaves]
+    if tree.leaves == 1 or not mine:
+        return
+    widths = [max(v, default=0) - min(v, default=0) for v in ([x for x in (spans[d][0](r[d]) for r in mine) if x is not None] for d in dims)]
+    shares = [w / (spans[d][1] or 1) for w, d in zip(widths, dims, strict=True)]
+    assert shares[dims.index(tree.dim)] == pytest.approx(max(shares))
+    middle = tree.first + (tree.leaves + 1) // 2
+    left, right = [r for r in mine if r["shard"] < middle], [r for r in mine if r["shard"] >= middle]
+    if left and right:
+        assert max(order_key(r[tree.dim]) for r in left) <= min(order_key(r[tree.dim]) for r in right)
+    goal = sum(r[size] for r in mine) * ((tree.leaves + 1) // 2) / tree.leaves
+    assert abs(sum(r[size] for r in left) - goal) <= tolerance
+    for child in tree.children:
+        check_tree(rows, child, dims, size, spans, tolerance)
+
+
+def test_kd_tree_against_its_rows(spark):
+    """Values over 280 decades, texts with a long common beginning, nulls, NaN and a hot value."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        wide = None if i % 17 == 0 else float("nan") if i % 23 == 0 else float(10.0 ** rng.uniform(-140, 140)) * (-1 if i % 5 == 0 else 1)
+        text = None if i % 29 == 0 else "https://example.org/some/where/" + ("hot" if i % 3 == 0 else f"{int(rng.integers(0, 60)):x}" * int(rng.integers(1, 5)))
+        rows.append((i, wide, text, int(rng.integers(1, 30)), "kept"))
+    df = spark.createDataFrame(rows, "doc_id long, wide double, text string, size long, `__tie` string").repartition(5)
+    for dims in (["wide"], ["text"], ["wide", "text", "doc_id"]):
+        made, tree = kd_sharding.kd_shards(df, "size", dims, 5, ["doc_id"])
+        got = [r.asDict() for r in made.collect()]
+        assert len(got) == 900 and {r["__tie"] for r in got} == {"kept"} and sorted(r["doc_id"] for r in got) == list(range(900))
+        same = len("https://example.org/some/where/")
+        texts = [t for _, _, t, _, _ in rows if t is not None]
+        number = lambda t: None if t is None else int.from_bytes(t.encode()[same : same + 6].ljust(6, b"\0"), "big")
+        finite = lambda x: None if x is None or x != x else float(x)
+        spans = {}
+        for d, f in (("wide", finite), ("text", number), ("doc_id", finite)):
+            values = [f(r[d]) for r in got if f(r[d]) is not None]
+            spans[d] = (f, max(values) - min(values))
+        check_tree(got, tree, dims, "size", spans, 30)
+        total = [sum(r["size"] for r in got if r["shard"] == k) for k in range(5)]
+        assert max(total) - min(total) <= 130 and len(texts) > 800
+
+
 # 4
 
 
@@ -195,6 +246,51 @@ def test_resampling(spark):
     assert resampling.resample(docs.limit(0), labels).count() == 0
 
 
+def test_log_ratios_by_counting(spark):
+    """Every document's log weight from counts of its hashed n-grams in plain Python."""
+    rng = np.random.default_rng(3)
+    rows = [(i, prose(rng, int(rng.integers(1, 60)), 50)) for i in range(60)] + [(7, "w1 w2"), (90, None), (91, ""), (None, "w3 w4 w5"), (92, prose(rng, 40000, 50))]
+    docs = spark.createDataFrame([(i, t, 5.0, "x") for i, t in rows], "doc_id long, text string, key double, `__doc` string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(60)] + [(7, 1, 0)], "doc_id long, quality int, toxic int")
+    sample = resampling._sample(labels, "doc_id", 1000).cache()
+    target = {r["__label_id"] for r in sample.filter("__fit and __clean").collect()}
+
+    def counted(text):
+        b = next(textscan.blocks(pa.array([text or ""])))
+        return Counter(resampling.ngrams(b)[0].tolist())
+
+    raw, wanted = Counter(), Counter()
+    for i, t in rows:
+        raw.update(counted(t))
+        if i in target:
+            wanted.update(counted(t))
+    share = wanted.total() / raw.total()
+    got = resampling.score(docs, resampling.fit(docs, sample, "doc_id", "text")).collect()
+    assert len(got) == len(rows) and target
+    for r in got:
+        want = sum(n * np.log((wanted[b] + resampling.PRIOR) / (raw[b] * share + resampling.PRIOR)) for b, n in counted(r["text"]).items())
+        assert r["log_weight"] == (None if not (r["text"] or "").strip() else pytest.approx(want, rel=1e-4, abs=1e-3))
+    drawn = resampling.resample(docs, labels)
+    assert len(drawn.columns) == len(set(drawn.columns)) and {"key", "__doc"} <= set(drawn.columns)
+
+
+def test_sampled_shares_follow_the_weights(spark):
+    """Gumbel top-k draws in proportion to weights, and ranges find the k-th key exactly."""
+    rows = spark.range(30000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("double").alias("log_weight"))
+    keyed = rows.withColumn("key", F.col("log_weight") + resampling.gumbel(F.col("doc_id"), 7)).cache()
+    k = 1500
+    least = resampling.least_of_largest(keyed, "key", k)
+    assert keyed.filter(F.col("key") >= least).count() == k
+    drawn = {r["log_weight"]: r["count"] for r in keyed.filter(F.col("key") >= least).groupBy("log_weight").count().collect()}
+    whole = sum(np.exp(w) for w in range(3))
+    for w in range(3):
+        assert drawn[w] / k == pytest.approx(np.exp(w) / whole, abs=0.05)
+    assert resampling.least_of_largest(keyed, "key", 10**9) == keyed.agg(F.min("key")).first()[0]
+    assert resampling.least_of_largest(keyed.limit(0), "key", 3) is None
+    same = keyed.withColumn("key", F.lit(2.5))
+    assert resampling.least_of_largest(same, "key", 7) == 2.5
+
+
 def test_ratios_by_hand():
     b = next(textscan.blocks(pa.array(["a b a", "", "c"])))
     bucket, doc = resampling.ngrams(b)

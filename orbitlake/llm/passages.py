@@ -4,9 +4,11 @@ Seeds are the minimizers of every WINDOW consecutive k-mers of words: any
 K + WINDOW - 1 equal words have a seed in common, wherever they stand.  All
 occurrences of a seed are matched with its first one (least document, then
 position), so a passage that many documents share gives one match an
-occurrence, not one a pair.  Parts of a passage may occur first in different
-documents, so seeds of LONG words are matched too: their first occurrence has
-more of the passage.  The matches of a document with one earlier
+occurrence, not one a pair.  Those of a seed that is frequent in one task's
+documents are matched with the first one there, so a seed of a third of all
+documents sends few rows to the task that matches it.  Parts of a passage may
+occur first in different documents, so seeds of LONG words are matched too:
+their first occurrence has more of the passage.  The matches of a document with one earlier
 document are chained in order, with costs for gaps; a chain is a candidate
 passage, and aligning its words decides where it begins and ends and how
 similar it is.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import add_columns, free_name, rows_to_rows
-from .storage import partitions, stored
-from .textscan import Block, blocks
+from .storage import partitions, scratch, stored
+from .textscan import Block, blocks, mix
 
 #: Words of a seed, k-mers of a window, least words and similarity of a passage.
 K, WINDOW, LEAST_WORDS, SIMILAR = 5, 4, 50, 0.8
@@ -36,6 +38,10 @@ LEAST_CHAIN = 16
 LONG, PART = 24, 6
 #: Words of a piece of text that is fetched for alignments.
 PIECE = 64
+#: Seeds that a task looks at together, and occurrences among them from which a seed is matched there and then.
+TOGETHER, FREQUENT = 1 << 21, 16
+#: Unequal words of a run, less than CLOSE equal ones apart, that are aligned anew if there are more than FEW of them.
+CLOSE, FEW = 3, 3
 BLOCK_BYTES = 1 << 19
 
 
@@ -76,11 +82,44 @@ def long_seeds(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return hashes[chosen], at[chosen]
 
 
+def matched_here(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same rows, but for seeds with FREQUENT occurrences or more: of these the first, and every other one with a copy of the first under a seed of their own."""
+    order = np.argsort(seed, kind="stable")
+    seed, doc, pos, words = seed[order], doc[order], pos[order], words[order]
+    start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
+    often = np.diff(np.append(start, len(seed)))
+    frequent = np.repeat(often >= FREQUENT, often)
+    if not frequent.any():
+        return seed, doc, pos, words
+    at = np.flatnonzero(frequent)
+    at = at[np.lexsort((pos[at], doc[at], seed[at]))]
+    new = np.append(True, seed[at][1:] != seed[at][:-1])
+    first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    again = np.append(False, doc[at][1:] == doc[at][:-1]) & ~new
+    at, first, again = at[~new], first[~new], again[~new]
+    own = mix(seed[at] ^ mix(doc[at].astype(np.int64).view(np.uint64)) ^ (pos[at].astype(np.uint64) << np.uint64(20)))
+    kind = np.where(again, K, words[at]).astype(np.int8)  # only a document's first match of a long seed gives both its ends
+    alone = np.flatnonzero(~frequent)
+    under_own_name = np.concatenate([alone, first[np.append(True, first[1:] != first[:-1])]])
+    return (
+        np.concatenate([seed[under_own_name], own, own]),
+        np.concatenate([doc[under_own_name], doc[first], doc[at]]),
+        np.concatenate([pos[under_own_name], pos[first], pos[at]]),
+        np.concatenate([words[under_own_name], kind, kind]),
+    )
+
+
 def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(seed, doc, pos, words) of all documents of LEAST_WORDS words or more; ``pos`` is a word's index, ``words`` K or LONG."""
     schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("words", T.ByteType())])
 
+    def of(held: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
+        seed, doc, pos, words = matched_here(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return {"seed": seed.view(np.int64), "doc": doc, "pos": pos, "words": words}
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for b in blocks(batch.column(1), BLOCK_BYTES):
@@ -92,9 +131,15 @@ def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 found = minimizers(hashes, first, np.where(b.n_words >= LEAST_WORDS, kmers, 0))
                 for words, seed, word in ((K, hashes[found], at[found]), (LONG, *long_seeds(b))):
                     doc = b.word_doc[word]
-                    yield {"seed": seed.view(np.int64), "doc": ids[b.lo + doc], "pos": (word - b.word_bounds[doc]).astype(np.int32), "words": np.full(len(seed), words, np.int8)}
+                    held.append((seed, ids[b.lo + doc], (word - b.word_bounds[doc]).astype(np.int32), np.full(len(seed), words, np.int8)))
+                    rows += len(seed)
+                if rows >= TOGETHER:
+                    yield of(held)
+                    held, rows = [], 0
+        if held:
+            yield of(held)
 
-    return rows_to_rows(df.select(F.col(doc_id).cast("long"), text).filter(F.col(doc_id).isNotNull()), schema, step)
+    return rows_to_rows(df.select(doc_id, text), schema, step)
 
 
 def matches(found: DataFrame) -> DataFrame:
@@ -105,11 +150,10 @@ def matches(found: DataFrame) -> DataFrame:
     ``with_previous`` sees (in periodic texts, on one diagonal).
     """
     w = Window.partitionBy("seed").orderBy("doc", "pos")
-    seen = found.withColumn("first", F.first(F.struct("doc", "pos")).over(w)).withColumn("again", F.lag("doc").over(w).eqNullSafe(F.col("doc")))
-    pairs = seen.select("doc", "pos", F.col("first.doc").alias("ref"), F.col("first.pos").alias("ref_pos"), (F.col("words") == LONG).alias("long"), "again")
-    pairs = pairs.filter("doc <> ref or pos <> ref_pos")
-    ends = F.explode(F.when(F.expr("long and not again"), F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))).alias("on")
-    return pairs.select("doc", "pos", "ref", "ref_pos", ends).select("doc", F.expr("pos + on").alias("pos"), "ref", F.expr("ref_pos + on").alias("ref_pos"))
+    seen = found.withColumn("first", F.first(F.struct("doc", "pos")).over(w)).withColumn("before", F.lag("doc").over(w)).filter("before is not null")
+    ends = F.when((F.col("words") == LONG) & (F.col("before") != F.col("doc")), F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))
+    pairs = seen.select("doc", "pos", F.col("first.doc").alias("ref"), F.col("first.pos").alias("ref_pos"), F.explode(ends).alias("on"))
+    return pairs.select("doc", F.expr("pos + on").alias("pos"), "ref", F.expr("ref_pos + on").alias("ref_pos"))
 
 
 # Chains
@@ -282,20 +326,35 @@ def _gap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(steps[::-1], np.int8), np.array(equal[::-1], bool)
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How many words to go on along the diagonal, and how many of them are equal: the best sum of +1 and -2, given up 6 below it."""
+def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many words to go on along the diagonal, and the sum over them: the best one of +1 and -2, given up 6 below it."""
     n = min(len(a), len(b))
     if not n:
         return 0, 0
-    same = a[:n] == b[:n]
-    total = np.cumsum(np.where(same, 1, -2))
-    top = np.maximum.accumulate(np.maximum(total, 0))
-    stop = np.flatnonzero(total < top - 6)
+    total = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
+    stop = np.flatnonzero(total < np.maximum.accumulate(np.maximum(total, 0)) - 6)
     until = int(stop[0]) if len(stop) else n
     if not until or total[:until].max() <= 0:
         return 0, 0
-    best = int(total[:until].argmax()) + 1
-    return best, int(same[:best].sum())
+    best = int(total[:until].argmax())
+    return best + 1, int(total[best])
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, equal) of the columns by which an alignment goes on: along the diagonal, and along a near one where that is worth the words left out."""
+    steps, equal, i, j = [], [], 0, 0
+    while True:
+        best = (0, 0, 0, 0)  # gain, words left out of a, of b, words along the diagonal
+        for left, right in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2)):
+            n, gain = _reach(a[i + left :], b[j + right :])
+            best = max(best, (gain - 2 * (left + right), left, right, n))
+        gain, left, right, n = best
+        if gain <= 0:
+            break
+        steps += [np.full(left + right, OWN if left else OTHER, np.int8), np.full(n, BOTH, np.int8)]
+        equal += [np.zeros(left + right, bool), a[i + left : i + left + n] == b[j + right : j + right + n]]
+        i, j = i + left + n, j + right + n
+    return (np.concatenate(steps), np.concatenate(equal)) if steps else (np.zeros(0, np.int8), np.zeros(0, bool))
 
 
 def similar_segments(equal: np.ndarray) -> list[tuple[int, int]]:
@@ -330,18 +389,40 @@ def similar_segments(equal: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _along(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, equal) of the columns of two equally long pieces on one diagonal.
+
+    Words that were put in and left out move what is between them to other
+    diagonals; unequal words close to each other are aligned with the fewest edits.
+    """
+    same = a == b
+    differ = np.flatnonzero(~same)
+    if len(differ) <= FEW:
+        return np.full(len(a), BOTH, np.int8), same
+    steps, equal, done = [], [], 0
+    edge = np.flatnonzero(np.append(True, np.diff(differ) > CLOSE))
+    for lo, hi in zip(differ[edge].tolist(), (differ[np.append(edge[1:], len(differ)) - 1] + 1).tolist(), strict=True):
+        if hi - lo <= FEW:
+            continue
+        taken, alike = _gap(a[lo:hi], b[lo:hi])
+        steps += [np.full(lo - done, BOTH, np.int8), taken]
+        equal += [same[done:lo], alike]
+        done = hi
+    return np.concatenate([*steps, np.full(len(a) - done, BOTH, np.int8)]), np.concatenate([*equal, same[done:]])
+
+
 def align(runs: np.ndarray, words: np.ndarray, at: int, ref_words: np.ndarray, ref_at: int) -> list[tuple[int, int, int, int, float]]:
     """(pos, end, ref_pos, ref_end, identity) of the passages of a chain; ``words`` are a document's from word ``at`` on.
 
-    Words on a run's diagonal are compared one by one, gaps are aligned with
-    the fewest edits, and both ends go on while words agree.  The alignment is
+    Words on a run's diagonal are compared one by one, gaps (and stretches of
+    unequal words) are aligned with the fewest edits, and both ends go on while words agree.  The alignment is
     then cut where too few words are equal: a passage's identity is the share
     of equal words among its columns.
     """
     pos, ref = int(runs[0][0]) - at, int(runs[0][1]) - ref_at
-    left, _ = _extend(words[:pos][::-1], ref_words[:ref][::-1])
-    begin, ref_begin = pos - left, ref - left
-    steps, equal = [np.full(left, BOTH, np.int8)], [words[begin:pos] == ref_words[ref_begin:ref]]
+    back, same = (x[::-1] for x in _extend(words[:pos][::-1], ref_words[:ref][::-1]))
+    begin, ref_begin = pos - int((back & OWN).sum()), ref - int((back >> 1).sum())
+    steps, equal = [back], [same]
     for p, q, n in runs.tolist():
         p, q = p - at, q - ref_at
         cut = max(pos - p, ref - q, 0)  # what an earlier run has taken already
@@ -350,12 +431,12 @@ def align(runs: np.ndarray, words: np.ndarray, at: int, ref_words: np.ndarray, r
         p, q, n = p + cut, q + cut, n - cut
         taken, same = _gap(words[pos:p], ref_words[ref:q])
         n = min(n, len(words) - p, len(ref_words) - q)
-        steps += [taken, np.full(n, BOTH, np.int8)]
-        equal += [same, words[p : p + n] == ref_words[q : q + n]]
+        along, alike = _along(words[p : p + n], ref_words[q : q + n])
+        steps += [taken, along]
+        equal += [same, alike]
         pos, ref = p + n, q + n
-    right, _ = _extend(words[pos:], ref_words[ref:])
-    step = np.concatenate([*steps, np.full(right, BOTH, np.int8)])
-    same = np.concatenate([*equal, words[pos : pos + right] == ref_words[ref : ref + right]])
+    on, same = _extend(words[pos:], ref_words[ref:])
+    step, same = np.concatenate([*steps, on]), np.concatenate([*equal, same])
     own, other = np.append(0, np.cumsum(step & OWN)) + begin + at, np.append(0, np.cumsum(step >> 1)) + ref_begin + ref_at
     found = [(int(own[i]), int(own[j]), int(other[i]), int(other[j]), float(same[i:j].mean())) for i, j in similar_segments(same)]
     return [x for x in found if x[1] - x[0] >= LEAST_WORDS and x[4] >= SIMILAR]
@@ -387,23 +468,47 @@ def _pieces(docs: DataFrame, needs: DataFrame) -> DataFrame:
 PASSAGES = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc_id", "ref_doc_id")], *[T.StructField(c, T.IntegerType()) for c in ("start", "end", "ref_start", "ref_end")], T.StructField("identity", T.DoubleType())])
 
 
+def keyed(df: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
+    """``df`` plus ``key``, a number for each document: its id, or from 2**62 on a hash of id and text where the id is null or names several texts."""
+    own, digest = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    ids = df.select(own.alias("id"), digest.alias("h")).groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    its, many = free_name(df, f"__{key}_its"), free_name(df, f"__{key}_many")
+    several = stored(ids.filter("id is null or lo <> hi").select(F.col("id").alias(its), F.lit(True).alias(many)), "several")
+    if several.isEmpty():
+        return df.withColumn(key, own)
+    marked = df.join(several, own.eqNullSafe(F.col(its)), "left")
+    hashed = F.xxhash64(F.coalesce(own, F.lit(0)), F.coalesce(F.col(text), F.lit("")))
+    named = F.when(F.col(many), F.shiftrightunsigned(hashed, 2).bitwiseOR(F.lit(1 << 62))).otherwise(own)
+    return marked.withColumn(key, named).drop(its, many)
+
+
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ref_doc_id, start, end, ref_start, ref_end, identity): passages that repeat an earlier document's, or an earlier place.
 
     Positions count words; a passage has LEAST_WORDS words or more and an
     identity of SIMILAR or more.  "Earlier" means a smaller id, or the same
     document and an earlier place, so of all copies the first is never listed.
-    Null and short texts have no passages; rows without an id are left out;
-    rows that repeat an id with the same text are one document, and an id that
-    names different texts is left out, as positions in it would mean nothing.
+    Null and short texts have no passages; rows that repeat an id with the same
+    text are one document.  Where an id is null or names different texts, each
+    text is a document, named by that id in the result, that comes after all others.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
-    named = docs.groupBy("doc").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"), F.count("*").alias("n"))
-    named = stored(named.filter("n > 1"), "named")
-    if not named.isEmpty():
-        once = docs.join(named.select("doc"), "doc", "left_anti")
-        again = docs.join(named.filter("lo = hi").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-        docs = once.unionByName(again)
+    docs = keyed(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "doc")
+    found = _passages(docs)
+    names = docs.filter("doc_id is null or doc <> doc_id").select(F.col("doc").alias("key"), F.col("doc_id").alias("id")).distinct()
+    names = stored(names, "names")
+    if names.isEmpty():
+        return found
+    for c in ("doc_id", "ref_doc_id"):
+        found = found.join(names.withColumn("named", F.lit(True)), F.col(c) == F.col("key"), "left").withColumn(c, F.when(F.col("named"), F.col("id")).otherwise(F.col(c))).drop("key", "id", "named")
+    return found
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """The passages of ``docs`` (doc, text), where ``doc`` names one text."""
+    repeated = stored(docs.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "repeated")
+    docs = docs.select("doc", "text")
+    if not repeated.isEmpty():
+        docs = docs.join(repeated, "doc", "left_anti").unionByName(docs.join(repeated, "doc", "left_semi").dropDuplicates(["doc"]))
     found = stored(chains(matches(seeds(docs, "doc", "text"))).withColumn("chain", F.monotonically_increasing_id()), "chains")
     span = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / PIECE).cast("int"), F.floor((F.col(hi) + MARGIN) / PIECE).cast("int"))
     own = found.select("chain", F.lit(0).alias("side"), "doc", F.explode(span("pos", "end")).alias("piece"))
@@ -440,11 +545,15 @@ def cut_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """``df`` with repeated passages cut out of its texts; a document of which no word is left is dropped.
 
     A cut takes the words of the passage and the white space behind them.
-    Documents without an id, and those that had no words before, stay as they are.
+    Documents that had no words before stay as they are; an id that is null or
+    names different texts is no hindrance.
     """
-    key, cut = free_name(df, "__cut_id"), free_name(df, "__cuts")
-    spans = repeated_passages(df, doc_id, text).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cut))
-    joined = df.join(stored(spans, "cuts"), F.col(doc_id).cast("long") == F.col(key), "left").drop(key)
+    key, own, cut = free_name(df, "__cut_key"), free_name(df, "__cut_id"), free_name(df, "__cuts")
+    docs = keyed(df, doc_id, text, key)
+    with scratch(df.sparkSession):
+        spans = _passages(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "end")).alias(cut))
+        spans = stored(spans, "cuts", keep=True)
+    joined = docs.join(spans, F.col(key) == F.col(own), "left").drop(own, key)
     left = free_name(joined, "__left")
     added = T.StructType([T.StructField(text, T.StringType()), T.StructField(left, T.BooleanType())])
 

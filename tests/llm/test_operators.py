@@ -511,11 +511,11 @@ def test_passages(spark, docs, corpus, empty):
     found = passages.repeated_passages(docs).collect()
     hit = {(r["doc_id"], r["ref_doc_id"]) for r in found}
     assert {(100 + i, 0) for i in range(4)} <= hit and {(301 + i, 300) for i in range(7)} <= hit and (320, 300) in hit
-    assert {i for i, _ in hit} <= set(range(100, 104)) | set(range(200, 206)) | set(range(301, 308)) | {320, 400}
+    assert {i for i, _ in hit} <= set(range(100, 104)) | set(range(200, 206)) | set(range(301, 308)) | {320, 400, None}
     words = {i: WORD.findall(t or "") for i, t in corpus}
     for r in found:
         assert r["end"] - r["start"] >= 50 and r["identity"] >= 0.8
-        if r["identity"] == 1:
+        if r["identity"] == 1 and r["doc_id"] is not None:
             assert words[r["doc_id"]][r["start"] : r["end"]] == words[r["ref_doc_id"]][r["ref_start"] : r["ref_end"]]
         if r["doc_id"] in range(301, 308):
             assert (r["start"], r["end"]) == (60, 130)
@@ -583,6 +583,82 @@ def test_samples_estimate_weighted_jaccard():
         assert np.mean(hits) == pytest.approx(true, abs=0.05)
 
 
+def edit_identity(a, b):
+    """Equal words among the columns of an alignment with the fewest edits."""
+    rows = [[(j, 0) for j in range(len(b) + 1)]]
+    for i, x in enumerate(a):
+        row = [(i + 1, 0)]
+        for j, y in enumerate(b):
+            edits, equal = rows[-1][j]
+            row.append(min((edits + (x != y), -(-equal + (x == y))), (rows[-1][j + 1][0] + 1, rows[-1][j + 1][1]), (row[j][0] + 1, row[j][1])))
+        rows.append(row)
+    edits, equal = rows[-1][-1]
+    return -equal / (edits - equal)
+
+
+def test_whole_passages_against_brute_force(spark):
+    """Every window of 50 words that an earlier document has lies in a passage found, and passages are as similar as they say."""
+    rng = np.random.default_rng(21)
+    lines = [prose(rng, 20) for _ in range(6)]
+    shared = [prose(rng, int(n)) for n in rng.integers(50, 120, 6)]
+    rows = [(i, " ".join([prose(rng, 30), lines[int(rng.integers(6))], prose(rng, 30)])) for i in range(40)]
+    for i in range(100, 160):
+        rows.append((i, " ".join([prose(rng, int(rng.integers(5, 50))), shared[int(rng.integers(6))], prose(rng, int(rng.integers(5, 50)))])))
+    for i in range(200, 212):  # made of three lines that occur first in different documents
+        pick = rng.permutation(6)[:3]
+        rows += [(i + 20 * k, " ".join([prose(rng, 20), *[lines[j] for j in pick], prose(rng, 20)])) for k in range(2)]
+    for i in range(300, 330):  # edited copies of a passage
+        words = shared[i % 6].split()
+        for k in rng.choice(len(words), len(words) // 12, replace=False):
+            words[k] = f"x{i}_{k}" if k % 3 else f"{words[k]} y{i}_{k}" if k % 2 else ""
+        rows.append((i, " ".join([prose(rng, 25), *words, prose(rng, 25)])))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    texts = {i: t.split() for i, t in rows}
+    spans = defaultdict(set)
+    for r in found:
+        spans[r["doc_id"]] |= set(range(r["start"], r["end"]))
+        a, b = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["ref_doc_id"]][r["ref_start"] : r["ref_end"]]
+        assert r["ref_doc_id"] < r["doc_id"] and len(a) >= 50 and edit_identity(a, b) >= r["identity"] - 1e-9 >= 0.8 - 1e-9
+    windows, want, hit = set(), 0, 0
+    for i, words in sorted(texts.items()):
+        own = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        due = {w for k, x in enumerate(own) if x in windows for w in range(k, k + 50)}
+        want, hit = want + len(due), hit + len(due & spans[i])
+        windows |= set(own)
+    # A passage whose halves occur first in two different documents, with neither of which it shares 50 words, can be missed.
+    assert want > 3000 and hit >= 0.97 * want
+    assert sum(bool(spans[i]) for i in range(300, 330)) >= 28
+
+
+def test_frequent_seeds_are_matched_by_the_task():
+    rng = np.random.default_rng(2)
+    seed = np.concatenate([np.full(40, 7), np.full(3, 8), rng.integers(100, 10**9, 30)]).astype(np.uint64)
+    doc, pos = np.append(rng.integers(0, 25, 43), np.arange(30)), rng.integers(0, 1000, 73).astype(np.int32)
+    words = np.full(73, passages.LONG, np.int8)
+    got = list(zip(*(x.tolist() for x in passages.matched_here(seed, doc, pos, words)), strict=True))
+    by = defaultdict(list)
+    for s, d, p, w in got:
+        by[s].append((d, p, w))
+    frequent = sorted(zip(doc[:40].tolist(), pos[:40].tolist(), strict=True))
+    assert by.pop(7) == [(*frequent[0], passages.LONG)] and len(by.pop(8)) == 3
+    pairs = [v for v in by.values() if len(v) == 2]
+    assert sorted(v[1][:2] for v in pairs) == frequent[1:] and all(v[0][:2] == frequent[0] and v[0][2] == v[1][2] for v in pairs)
+    assert sum(v[0][2] == passages.LONG for v in pairs) == len({d for d, _ in frequent} - {frequent[0][0]})
+    assert len([v for v in by.values() if len(v) == 1]) == 30
+
+
+def test_passages_of_documents_with_one_id(spark):
+    """Ids that are null or name several texts: each text is a document, and is cut."""
+    rng = np.random.default_rng(31)
+    passage = prose(rng, 80)
+    rows = [(1, f"{prose(rng, 20)} {passage}"), (2, f"{prose(rng, 20)} {passage}"), (2, f"{passage} {prose(rng, 30)}"), (None, f"{passage} {prose(rng, 20)}"), (None, f"{passage} {prose(rng, 20)}"), (3, prose(rng, 60)), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    assert len(found) >= 4 and {r["doc_id"] for r in found} | {r["ref_doc_id"] for r in found} == {1, 2, None}
+    cut = passages.cut_passages(df)
+    assert cut.columns == ["doc_id", "text"] and sum(passage in (r["text"] or "") for r in cut.collect()) == 1 and cut.count() == 7
+
+
 def brute_sets(texts):
     """Weighted five-word shingles of every text by counting words, and the IDF of all documents; nothing of the operator's is used."""
     counts = []

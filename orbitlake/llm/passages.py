@@ -84,11 +84,11 @@ def long_seeds(b: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def matched_here(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same rows, but for seeds with FREQUENT occurrences or more: of these the first, and every other one with a copy of the first under a seed of their own."""
-    order = np.argsort(seed, kind="stable")
-    seed, doc, pos, words = seed[order], doc[order], pos[order], words[order]
-    start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
-    often = np.diff(np.append(start, len(seed)))
-    frequent = np.repeat(often >= FREQUENT, often)
+    order = np.argsort(seed)
+    ranked = seed[order]
+    often = np.diff(np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(seed)))
+    frequent = np.zeros(len(seed), bool)
+    frequent[order] = np.repeat(often >= FREQUENT, often)
     if not frequent.any():
         return seed, doc, pos, words
     at = np.flatnonzero(frequent)
@@ -96,11 +96,10 @@ def matched_here(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, words: np.n
     new = np.append(True, seed[at][1:] != seed[at][:-1])
     first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
     again = np.append(False, doc[at][1:] == doc[at][:-1]) & ~new
+    under_own_name = np.concatenate([np.flatnonzero(~frequent), at[new]])  # rows stay in order of documents, which compresses better
     at, first, again = at[~new], first[~new], again[~new]
     own = mix(seed[at] ^ mix(doc[at].astype(np.int64).view(np.uint64)) ^ (pos[at].astype(np.uint64) << np.uint64(20)))
     kind = np.where(again, K, words[at]).astype(np.int8)  # only a document's first match of a long seed gives both its ends
-    alone = np.flatnonzero(~frequent)
-    under_own_name = np.concatenate([alone, first[np.append(True, first[1:] != first[:-1])]])
     return (
         np.concatenate([seed[under_own_name], own, own]),
         np.concatenate([doc[under_own_name], doc[first], doc[at]]),

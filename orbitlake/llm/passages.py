@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 
 from .arrow import add_columns, free_name, rows_to_rows
 from .storage import partitions, scratch, stored
-from .textscan import Block, blocks, mix
+from .textscan import Block, blocks
+from .weighted_sets import planes, unplanes
 
 #: Words of a seed, k-mers of a window, least words and similarity of a passage.
-K, WINDOW, LEAST_WORDS, SIMILAR = 5, 4, 50, 0.8
+K, WINDOW, LEAST_WORDS, SIMILAR = 5, 2, 50, 0.8
 #: Cost of a skipped word in a chain, widest gap inside a passage, words beyond a chain that the alignment looks at.
 GAP_COST, WIDEST_GAP, MARGIN = 0.1, 64, 40
 #: Words of a chain that is aligned: more than a seed or two neighbours, little enough for passages that are full of edits.
@@ -38,8 +39,9 @@ LEAST_CHAIN = 16
 LONG, PART = 24, 6
 #: Words of a piece of text that is fetched for alignments.
 PIECE = 64
-#: Seeds that a task looks at together, and occurrences among them from which a seed is matched there and then.
-TOGETHER, FREQUENT = 1 << 21, 16
+#: Seeds that a task packs together, occurrences among them from which a seed is matched there and then, matches of a row,
+#: seeds of a bucket (sorted in memory).
+TOGETHER, FREQUENT, READY_ROWS, BUCKET = 1 << 21, 256, 1 << 16, 1 << 22
 #: Unequal words of a run, less than CLOSE equal ones apart, that are aligned anew if there are more than FEW of them.
 CLOSE, FEW = 3, 3
 BLOCK_BYTES = 1 << 19
@@ -82,42 +84,70 @@ def long_seeds(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return hashes[chosen], at[chosen]
 
 
-def matched_here(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same rows, but for seeds with FREQUENT occurrences or more: of these the first, and every other one with a copy of the first under a seed of their own."""
+def occurrences(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int, long: bool) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which rows belong to seeds that occur less than ``least`` times, or come first; and (doc, pos, ref, ref_pos) of all others with the first.
+
+    A document's first match of a long seed gives its first and last K words;
+    later ones repeat an earlier place of the document itself, which
+    ``with_previous`` sees (in periodic texts, on one diagonal).
+    """
     order = np.argsort(seed)
     ranked = seed[order]
     often = np.diff(np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(seed)))
     frequent = np.zeros(len(seed), bool)
-    frequent[order] = np.repeat(often >= FREQUENT, often)
-    if not frequent.any():
-        return seed, doc, pos, words
+    frequent[order] = np.repeat(often >= least, often)
     at = np.flatnonzero(frequent)
     at = at[np.lexsort((pos[at], doc[at], seed[at]))]
-    new = np.append(True, seed[at][1:] != seed[at][:-1])
+    new = np.append(True, seed[at][1:] != seed[at][:-1])[: len(at)]
     first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-    again = np.append(False, doc[at][1:] == doc[at][:-1]) & ~new
-    under_own_name = np.concatenate([np.flatnonzero(~frequent), at[new]])  # rows stay in order of documents, which compresses better
+    again = np.append(False, doc[at][1:] == doc[at][:-1])[: len(at)]
+    frequent[at[new]] = False
     at, first, again = at[~new], first[~new], again[~new]
-    own = mix(seed[at] ^ mix(doc[at].astype(np.int64).view(np.uint64)) ^ (pos[at].astype(np.uint64) << np.uint64(20)))
-    kind = np.where(again, K, words[at]).astype(np.int8)  # only a document's first match of a long seed gives both its ends
-    return (
-        np.concatenate([seed[under_own_name], own, own]),
-        np.concatenate([doc[under_own_name], doc[first], doc[at]]),
-        np.concatenate([pos[under_own_name], pos[first], pos[at]]),
-        np.concatenate([words[under_own_name], kind, kind]),
-    )
+    found = [doc[at], pos[at], doc[first], pos[first]]
+    if long:
+        ends = np.flatnonzero(~again)
+        found = [np.append(x, x[ends] + (LONG - K) * (k % 2)) for k, x in enumerate(found)]
+    return ~frequent, tuple(found)
 
 
-def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(seed, doc, pos, words) of all documents of LEAST_WORDS words or more; ``pos`` is a word's index, ``words`` K or LONG."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("words", T.ByteType())])
+#: Rows on their way to buckets: seeds (of K or of LONG words) with their documents and places, or matches already made.
+ROWS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.ByteType()), *[T.StructField(c, T.BinaryType()) for c in ("seed", "doc", "pos", "ref", "ref_pos")]])
+MATCHES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("ref", T.LongType()), T.StructField("ref_pos", T.IntegerType())])
+_READY = 2
 
-    def of(held: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
-        seed, doc, pos, words = matched_here(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return {"seed": seed.view(np.int64), "doc": doc, "pos": pos, "words": words}
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        held: list[tuple[np.ndarray, ...]] = []
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers as differences from the one before, byte by byte: those of neighbouring rows compress well."""
+    values = values.astype(np.int64).view(np.uint64)
+    return planes(values - np.append(np.zeros(1, np.uint64), values[:-1]))
+
+
+def _sums(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data), dtype=np.uint64).view(np.int64)
+
+
+def seed_rows(df: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
+    """The seeds of all documents of LEAST_WORDS words or more, packed by bucket of their hash."""
+
+    def of(held: list[list[tuple[np.ndarray, ...]]]) -> dict[str, pa.Array]:
+        out: dict[str, list] = {f.name: [] for f in ROWS}
+        for kind, rows in enumerate(held):
+            seed, doc, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
+            keep, ready = occurrences(seed, doc, pos, FREQUENT, kind == 1)
+            seed, doc, pos = seed[keep], doc[keep], pos[keep]
+            bucket = (((seed >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")  # in order of documents within a bucket
+            bucket = bucket[order]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            parts = [(int(bucket[i]), kind, seed[order[i:j]].astype("<u8").tobytes(), _steps(doc[order[i:j]]), _steps(pos[order[i:j]]), b"", b"") for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True)]
+            parts += [(int(ready[0][i] % buckets), _READY, b"", *(_steps(x[i : i + READY_ROWS]) for x in ready)) for i in range(0, len(ready[0]), READY_ROWS)]
+            for part in parts:
+                for name, x in zip(out, part, strict=True):
+                    out[name].append(x)
+        return {f.name: pa.array(out[f.name], t) for f, t in zip(ROWS, (pa.int32(), pa.int8(), *[pa.binary()] * 5), strict=True)}
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+        held: list[list[tuple[np.ndarray, ...]]] = [[], []]
         rows = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -128,31 +158,48 @@ def seeds(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 kmers = np.maximum(b.n_words - K + 1, 0)
                 first = np.cumsum(kmers) - kmers
                 found = minimizers(hashes, first, np.where(b.n_words >= LEAST_WORDS, kmers, 0))
-                for words, seed, word in ((K, hashes[found], at[found]), (LONG, *long_seeds(b))):
+                for kind, (seed, word) in enumerate(((hashes[found], at[found]), long_seeds(b))):
                     doc = b.word_doc[word]
-                    held.append((seed, ids[b.lo + doc], (word - b.word_bounds[doc]).astype(np.int32), np.full(len(seed), words, np.int8)))
+                    held[kind].append((seed, ids[b.lo + doc], word - b.word_bounds[doc]))
                     rows += len(seed)
                 if rows >= TOGETHER:
                     yield of(held)
-                    held, rows = [], 0
-        if held:
+                    held, rows = [[], []], 0
+        if held[0]:
             yield of(held)
 
-    return rows_to_rows(df.select(doc_id, text), schema, step)
+    return rows_to_rows(df.select(doc_id, text), ROWS, step)
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """(doc, pos, ref, ref_pos): every occurrence of a repeated seed but the first, with the first.
+def matches(rows: DataFrame) -> DataFrame:
+    """(doc, pos, ref, ref_pos): every occurrence of a repeated seed but the first, with the first one of its bucket or task."""
+    tasks = partitions(rows.sparkSession)
+    dealt = rows.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket", "kind")
 
-    A document's first match of a long seed gives its first and last K words;
-    later ones repeat an earlier place of the document itself, which
-    ``with_previous`` sees (in periodic texts, on one diagonal).
-    """
-    w = Window.partitionBy("seed").orderBy("doc", "pos")
-    seen = found.withColumn("first", F.first(F.struct("doc", "pos")).over(w)).withColumn("before", F.lag("doc").over(w)).filter("before is not null")
-    ends = F.when((F.col("words") == LONG) & (F.col("before") != F.col("doc")), F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))
-    pairs = seen.select("doc", "pos", F.col("first.doc").alias("ref"), F.col("first.pos").alias("ref_pos"), F.explode(ends).alias("on"))
-    return pairs.select("doc", F.expr("pos + on").alias("pos"), "ref", F.expr("ref_pos + on").alias("ref_pos"))
+    def table(found: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+        return {f.name: x.astype(np.int32 if "pos" in f.name else np.int64) for f, x in zip(MATCHES, found, strict=True)}
+
+    def of(held: list[tuple[np.ndarray, ...]], kind: int) -> dict[str, np.ndarray]:
+        return table(occurrences(*(np.concatenate(x) for x in zip(*held, strict=True)), 2, kind == 1)[1])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        held: list[tuple[np.ndarray, ...]] = []
+        now = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, kind, seed, *rest = (batch.column(c)[i].as_py() for c in range(7))
+                if kind == _READY:
+                    yield table(tuple(_sums(x) for x in rest))
+                    continue
+                if held and now != (bucket, kind):
+                    yield of(held, now[1])
+                    held = []
+                now = (bucket, kind)
+                held.append((np.frombuffer(seed, "<u8"), _sums(rest[0]), _sums(rest[1])))
+        if held:
+            yield of(held, now[1])
+
+    return rows_to_rows(dealt, MATCHES, step)
 
 
 # Chains
@@ -508,7 +555,10 @@ def _passages(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc", "text")
     if not repeated.isEmpty():
         docs = docs.join(repeated, "doc", "left_anti").unionByName(docs.join(repeated, "doc", "left_semi").dropDuplicates(["doc"]))
-    found = stored(chains(matches(seeds(docs, "doc", "text"))).withColumn("chain", F.monotonically_increasing_id()), "chains")
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = partitions(docs.sparkSession)
+    buckets = tasks * -(-max(tasks, 64, n_bytes // 8 // BUCKET) // tasks)
+    found = stored(chains(matches(seed_rows(docs, "doc", "text", buckets))).withColumn("chain", F.monotonically_increasing_id()), "chains")
     span = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / PIECE).cast("int"), F.floor((F.col(hi) + MARGIN) / PIECE).cast("int"))
     own = found.select("chain", F.lit(0).alias("side"), "doc", F.explode(span("pos", "end")).alias("piece"))
     other = found.select("chain", F.lit(1).alias("side"), F.col("ref").alias("doc"), F.explode(span("ref_pos", "ref_end")).alias("piece"))

@@ -633,18 +633,16 @@ def test_whole_passages_against_brute_force(spark):
 def test_frequent_seeds_are_matched_by_the_task():
     rng = np.random.default_rng(2)
     seed = np.concatenate([np.full(40, 7), np.full(3, 8), rng.integers(100, 10**9, 30)]).astype(np.uint64)
-    doc, pos = np.append(rng.integers(0, 25, 43), np.arange(30)), rng.integers(0, 1000, 73).astype(np.int32)
-    words = np.full(73, passages.LONG, np.int8)
-    got = list(zip(*(x.tolist() for x in passages.matched_here(seed, doc, pos, words)), strict=True))
-    by = defaultdict(list)
-    for s, d, p, w in got:
-        by[s].append((d, p, w))
+    doc, pos = np.append(rng.integers(0, 25, 43), np.arange(30)), rng.integers(0, 1000, 73)
     frequent = sorted(zip(doc[:40].tolist(), pos[:40].tolist(), strict=True))
-    assert by.pop(7) == [(*frequent[0], passages.LONG)] and len(by.pop(8)) == 3
-    pairs = [v for v in by.values() if len(v) == 2]
-    assert sorted(v[1][:2] for v in pairs) == frequent[1:] and all(v[0][:2] == frequent[0] and v[0][2] == v[1][2] for v in pairs)
-    assert sum(v[0][2] == passages.LONG for v in pairs) == len({d for d, _ in frequent} - {frequent[0][0]})
-    assert len([v for v in by.values() if len(v) == 1]) == 30
+    for long in (False, True):
+        keep, found = passages.occurrences(seed, doc, pos, 16, long)
+        assert sorted(zip(doc[keep].tolist(), pos[keep].tolist(), strict=True)) == sorted([frequent[0], *zip(doc[40:].tolist(), pos[40:].tolist(), strict=True)])
+        got = list(zip(*(x.tolist() for x in found), strict=True))
+        want = [(*f, *frequent[0]) for f in frequent[1:]]
+        ends = [(d, p + 19, frequent[0][0], frequent[0][1] + 19) for k, (d, p) in enumerate(frequent[1:]) if d != frequent[k][0]]
+        assert sorted(got) == sorted(want + ends * long)
+    assert passages._sums(passages._steps(doc)).tolist() == doc.tolist() and not len(passages.occurrences(seed[:0], doc[:0], pos[:0], 2, True)[0])
 
 
 def test_passages_of_documents_with_one_id(spark):

@@ -41,7 +41,7 @@ LONG, PART = 24, 6
 PIECE = 64
 #: Seeds that a task packs together, occurrences among them from which a seed is matched there and then, matches of a row,
 #: seeds of a bucket (sorted in memory).
-TOGETHER, FREQUENT, READY_ROWS, BUCKET = 1 << 21, 256, 1 << 16, 1 << 22
+TOGETHER, FREQUENT, READY_ROWS, BUCKET = 1 << 19, 64, 1 << 16, 1 << 20
 #: Unequal words of a run, less than CLOSE equal ones apart, that are aligned anew if there are more than FEW of them.
 CLOSE, FEW = 3, 3
 BLOCK_BYTES = 1 << 19
@@ -557,7 +557,7 @@ def _passages(docs: DataFrame) -> DataFrame:
         docs = docs.join(repeated, "doc", "left_anti").unionByName(docs.join(repeated, "doc", "left_semi").dropDuplicates(["doc"]))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = partitions(docs.sparkSession)
-    buckets = tasks * -(-max(tasks, 64, n_bytes // 8 // BUCKET) // tasks)
+    buckets = tasks * -(-max(tasks, 128, n_bytes // 8 // BUCKET) // tasks)
     found = stored(chains(matches(seed_rows(docs, "doc", "text", buckets))).withColumn("chain", F.monotonically_increasing_id()), "chains")
     span = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / PIECE).cast("int"), F.floor((F.col(hi) + MARGIN) / PIECE).cast("int"))
     own = found.select("chain", F.lit(0).alias("side"), "doc", F.explode(span("pos", "end")).alias("piece"))

@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie, byte fallback, whitespace markers.
 
-Pieces and their log scores come from a SentencePiece model file (whatever its
-own algorithm); segmentation is the one with the largest sum of scores.
+Pieces come from a SentencePiece model file.  A unigram model's scores are log
+probabilities; a BPE model's are merge ranks, and become log probabilities by
+Zipf's law (merges are found in order of frequency).  Nothing is trained.  The
+segmentation is the likeliest one, with the largest sum of log scores.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from .unit_cache import UnitCache
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-#: How far below the worst piece a character without a piece scores.
+#: How far below the worst piece a byte (or, without byte pieces, a character) without a piece scores.
 UNKNOWN_PENALTY = 10.0
+#: Added to ranks: the most frequent piece is not likelier than all of the next ones together.
+ZIPF_SHIFT = 2.7
+#: A model file's type of merges.
+_BPE = 2
 #: Distinct words kept by one worker (about 60 MB): workers live on from stage to stage of a pipeline.
 MOST_WORDS = 300_000
 
@@ -83,7 +89,17 @@ def _read_model(path: str) -> list[tuple[str, float, int]]:
     model = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
-    return [(p.piece, p.score, p.type) for p in model.pieces]
+    pieces = [(p.piece, p.score, p.type) for p in model.pieces]
+    return zipf_scores(pieces) if model.trainer_spec.model_type == _BPE else pieces
+
+
+def zipf_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """The pieces with scores ln(1 / (rank + ZIPF_SHIFT)) less the ln of their sum: the better the old score, the lower the rank; of equals the first."""
+    normal = sorted((i for i, (_, _, kind) in enumerate(pieces) if kind == NORMAL), key=lambda i: (-pieces[i][1], i))
+    logs = -np.log(np.arange(len(normal)) + ZIPF_SHIFT)
+    logs -= np.log(np.exp(logs).sum()) if len(normal) else 0.0
+    scores = dict(zip(normal, logs.tolist(), strict=True))
+    return [(p, scores.get(i, score), kind) for i, (p, score, kind) in enumerate(pieces)]
 
 
 class Pieces:
@@ -93,10 +109,11 @@ class Pieces:
         self.pieces = pieces
         usable = [(p.encode(), i) for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)]
         self.trie = DoubleArray(usable)
-        self.scores = [s for _, s, _ in pieces]
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.unknown_score = min([s for _, s, kind in pieces if kind == NORMAL], default=0.0) - UNKNOWN_PENALTY
+        #: Byte pieces score as unknown bytes do, so the score of a segmentation is the sum over its ids.
+        self.scores = [self.unknown_score if kind in (BYTE, UNKNOWN) else s for _, s, kind in pieces]
         inner = [p for p, _, kind in pieces if kind in (NORMAL, USER) and (MARK in p.lstrip(MARK) or "\n" in p)]
         #: Pieces that cross a blank or a line feed forbid cutting a text there.
         self.cuts = not inner
@@ -134,7 +151,7 @@ class Pieces:
                     if score > best[end + 1] or start[end + 1] < 0:
                         best[end + 1], start[end + 1], piece[end + 1] = score, at, found
             if not alone:
-                score = here + self.unknown_score
+                score = here + self.unknown_score * (width if self.byte_ids else 1)
                 if score > best[at + width] or start[at + width] < 0:
                     best[at + width], start[at + width], piece[at + width] = score, at, -1
             at += width

@@ -310,7 +310,7 @@ def best_score(pieces, text):
     for end in range(1, len(text) + 1):
         known[end] = max((known[a] + table[text[a:end]] for a in range(max(0, end - 48), end) if text[a:end] in table), default=float("-inf"))
         if text[end - 1] not in table:
-            known[end] = max(known[end], known[end - 1] + pieces.unknown_score)
+            known[end] = max(known[end], known[end - 1] + pieces.unknown_score * (len(text[end - 1].encode()) if pieces.byte_ids else 1))
     return known[len(text)]
 
 
@@ -319,6 +319,14 @@ def pieces():
     return sentencepiece.load(sentencepiece.default_model())
 
 
+def test_scores_are_log_probabilities(pieces):
+    logs = np.array([s for _, s, kind in pieces.pieces if kind == 1])
+    assert np.exp(logs).sum() == pytest.approx(1) and (logs < 0).all()
+    made = sentencepiece.zipf_scores([("a", -5.0, 1), ("b", -1.0, 1), ("<0x41>", 0.0, 6), ("c", -1.0, 1)])
+    assert made[1][1] > made[3][1] > made[0][1] and made[2] == ("<0x41>", 0.0, 6)
+    assert made[1][1] - made[0][1] == pytest.approx(np.log((2 + sentencepiece.ZIPF_SHIFT) / sentencepiece.ZIPF_SHIFT))
+
+
 def test_trie_holds_every_piece(pieces):
     for text, _, kind in pieces.pieces[::97]:
         if kind == 1:
@@ -337,7 +345,7 @@ def test_viterbi_is_the_best(pieces):
         text = "".join(rng.choice(parts, int(rng.integers(1, 9)))).replace("▁", "")
         marked = "▁" + text.replace(" ", "▁")
         ids = pieces.viterbi(marked)
-        score = sum(pieces.scores[i] for i in ids if pieces.pieces[i][2] != 6) + pieces.unknown_score * sum(c not in {p for p, _, _ in pieces.pieces} for c in marked)
+        score = sum(pieces.scores[i] for i in ids)
         assert score == pytest.approx(best_score(pieces, marked))
         assert pieces.encode([text])[0] == (struct.pack(f"<{len(ids)}I", *ids) if text else b"")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from task to task, and what their allocators hold counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def add_columns(df: DataFrame, schema: T.StructType, compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` plus the columns of ``schema``, computed batch by batch; a column of the same name is replaced."""
     names = {f.name.lower() for f in schema}
@@ -29,6 +39,7 @@ def add_columns(df: DataFrame, schema: T.StructType, compute: Callable[[pa.Recor
             made = [a.cast(f.type) if a.type != f.type else a for a, f in zip(compute(batch), target, strict=True)]
             columns = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n.lower() not in names]
             yield pa.RecordBatch.from_arrays([*[c for _, c in columns], *made], names=[*[n for n, _ in columns], *target.names])
+        give_back()
 
     return df.mapInArrow(run, out)
 
@@ -41,5 +52,6 @@ def rows_to_rows(df: DataFrame, schema: T.StructType, step: Callable[[Iterator[p
         for made in step(batches):
             arrays = [made[f.name] if isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(made[f.name]) for f in target]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, target, strict=True)], names=target.names)
+        give_back()
 
     return df.mapInArrow(run, schema)

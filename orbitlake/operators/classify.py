@@ -21,6 +21,27 @@ def ranked(values: Column, q: float) -> Column:
     return F.get(values, F.floor(F.size(values) * F.lit(q)).cast("int"))
 
 
+def _statuses(obs: DataFrame, by: list[str]) -> DataFrame:
+    """``obs`` plus the run's ``steps``, ``run_status`` and ``t_effective`` in every row; all windows share one exchange by run."""
+    whole = Window.partitionBy(*by)
+    rows = obs.withColumn("steps", F.count("*").over(whole).cast("int"))
+    rows = rows.withColumn("__base", F.percentile(F.when(F.col("t") < F.floor(F.col("steps") / 2), F.col("frob")), 0.5).over(whole))
+    grew = F.coalesce((F.col("frob") - F.lag("frob").over(along(by)) > 0).cast("int"), F.lit(0))
+    rows = rows.withColumn("__grew", grew)
+    rows = rows.withColumn("__last", F.sum("__grew").over(along(by).rowsBetween(1 - C.MONOTONE_STEPS, 0)))
+    over = F.col("frob") > F.col("__base") * C.TRUNCATION_FACTOR
+    rows = rows.withColumns({"__bad": F.min(F.when(~F.col("fin"), F.col("t"))).over(whole), "__over": F.min(F.when(over, F.col("t"))).over(whole)})
+    monotone = F.col("__last") >= F.least(F.lit(C.MONOTONE_STEPS), F.col("steps") - 1)
+    grown = F.max((monotone & (F.col("t") == F.greatest(F.col("__over"), F.lit(1)))).cast("int")).over(whole)
+    truncated = F.col("__over").isNotNull() & (F.coalesce(grown, F.lit(0)) == 1)
+    collapsed = F.coalesce(F.first("spread").over(whole) < C.COLLAPSE_VARIATION, F.lit(False))
+    rows = rows.withColumns({"__truncated": truncated, "__collapsed": collapsed})
+    bad = F.col("__bad").isNotNull()
+    status = F.when(bad, "EXPLOSION").when(F.col("__collapsed"), "COLLAPSED").when(F.col("__truncated"), "OK_TRUNCATED").otherwise("OK")
+    until = F.when(bad, F.col("__bad")).when(~F.col("__collapsed") & F.col("__truncated"), F.col("__over")).otherwise(F.col("steps"))
+    return rows.withColumns({"run_status": status, "t_effective": until.cast("int")}).drop("__base", "__grew", "__last", "__bad", "__over", "__truncated", "__collapsed")
+
+
 def statuses(obs: DataFrame, by: list[str]) -> DataFrame:
     """(run, steps, run_status, t_effective).
 
@@ -28,35 +49,15 @@ def statuses(obs: DataFrame, by: list[str]) -> DataFrame:
     state is almost constant; OK_TRUNCATED from the first norm far over the
     median of the first half, if the norm had been growing; else OK.
     """
-    whole = Window.partitionBy(*by)
-    rows = obs.withColumn("__n", F.count("*").over(whole))
-    rows = rows.withColumn("__base", F.percentile(F.when(F.col("t") < F.floor(F.col("__n") / 2), F.col("frob")), 0.5).over(whole))
-    grew = F.coalesce((F.col("frob") - F.lag("frob").over(along(by)) > 0).cast("int"), F.lit(0))
-    rows = rows.withColumn("__grew", grew)
-    rows = rows.withColumn("__last", F.sum("__grew").over(along(by).rowsBetween(1 - C.MONOTONE_STEPS, 0)))
-    over = F.col("frob") > F.col("__base") * C.TRUNCATION_FACTOR
-    monotone = F.col("__last") >= F.least(F.lit(C.MONOTONE_STEPS), F.col("__n") - 1)
-    per = rows.groupBy(*by).agg(
-        F.count("*").cast("int").alias("steps"),
-        F.min(F.when(~F.col("fin"), F.col("t"))).alias("__bad"),
-        F.min(F.when(over, F.col("t"))).alias("__over"),
-        F.collect_list(F.when(monotone, F.col("t"))).alias("__monotone"),
-        F.first("spread").alias("__spread"),
-    )
-    truncated = F.col("__over").isNotNull() & F.array_contains("__monotone", F.greatest(F.col("__over"), F.lit(1)))
-    collapsed = F.col("__spread") < C.COLLAPSE_VARIATION
-    status = F.when(F.col("__bad").isNotNull(), "EXPLOSION").when(collapsed, "COLLAPSED").when(truncated, "OK_TRUNCATED").otherwise("OK")
-    until = F.when(F.col("__bad").isNotNull(), F.col("__bad")).when(~F.coalesce(collapsed, F.lit(False)) & truncated, F.col("__over")).otherwise(F.col("steps"))
-    return per.select(*by, "steps", status.alias("run_status"), until.cast("int").alias("t_effective"))
+    return _statuses(obs, by).groupBy(*by).agg(*[F.first(c).alias(c) for c in ("steps", "run_status", "t_effective")])
 
 
 def _changes(x: Column, by: list[str]) -> Column:
     return (F.abs(x - F.lag(x).over(along(by))) > 0).cast("int")
 
 
-def _valid(obs: DataFrame, by: list[str], found: DataFrame) -> DataFrame:
+def _valid(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows with steps beyond the run's end marked, values there set to 0, and differences to the next step."""
-    rows = obs.join(found, by)
     w = along(by)
     ok = F.col("t") < F.col("t_effective")
     clean = lambda c: F.when(ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c)).otherwise(0.0)
@@ -68,50 +69,63 @@ def _valid(obs: DataFrame, by: list[str], found: DataFrame) -> DataFrame:
 
 
 def _fences(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows plus whether the step to the next is an outlier: over q3 + 2 (q3 - q1)."""
-    per = rows.groupBy(*by).agg(*[F.sort_array(F.collect_list(c)).alias(f"__{c}") for c in ("dc", "dd")])
-    fence = lambda c: ranked(F.col(f"__{c}"), 0.75) + C.TUKEY * (ranked(F.col(f"__{c}"), 0.75) - ranked(F.col(f"__{c}"), 0.25))
-    per = per.select(*by, fence("dc").alias("__fc"), fence("dd").alias("__fd"))
-    far = lambda c, f: F.coalesce(F.col(c) > F.col(f), F.lit(False))
-    return rows.join(per, by).withColumns({"far_c": far("dc", "__fc"), "far_d": far("dd", "__fd")}).drop("__fc", "__fd")
+    """Rows plus whether the step to the next is an outlier: over q3 + 2 (q3 - q1).
+
+    The quartiles are found by the rows' places in the run: no list of a run is made.
+    """
+    whole = Window.partitionBy(*by)
+    for c in ("dc", "dd"):
+        rows = rows.withColumns({f"__at_{c}": F.row_number().over(whole.orderBy(F.asc_nulls_last(c))), f"__n_{c}": F.count(c).over(whole)})
+        rank = lambda q, c=c: F.max(F.when(F.col(f"__at_{c}") == F.floor(F.col(f"__n_{c}") * F.lit(q)) + 1, F.col(c))).over(whole)
+        rows = rows.withColumns({f"__low_{c}": rank(0.25), f"__high_{c}": rank(0.75)})
+    far = lambda c: F.coalesce(F.col(c) > F.col(f"__high_{c}") + C.TUKEY * (F.col(f"__high_{c}") - F.col(f"__low_{c}")), F.lit(False))
+    return rows.withColumns({"far_c": far("dc"), "far_d": far("dd")}).drop(*[f"__{k}_{c}" for k in ("at", "n", "low", "high") for c in ("dc", "dd")])
+
+
+def _steps(obs: DataFrame, by: list[str]) -> DataFrame:
+    """Every step with its run's status and what regime and mask are made of."""
+    return _fences(_valid(_statuses(obs, by), by), by)
 
 
 def regimes(obs: DataFrame, by: list[str]) -> DataFrame:
     """Statuses plus cos_dissim's mean, std and cv, the period, zero crossings and the regime class."""
-    found = statuses(obs, by)
-    rows = _fences(_valid(obs, by, found), by)
-    mean = F.sum(F.when(F.col("ok"), F.col("cz")))
-    per = rows.groupBy(*by).agg((F.coalesce(mean, F.lit(0.0)) / (F.sum(F.col("ok").cast("int")) + EPS)).alias("p1_cos_dissim_mean"), F.max(F.col("far_c").cast("int")).alias("__far"))
-    rows = rows.join(per, by)
+    return _regimes(_steps(obs, by), by)
+
+
+def _regimes(rows: DataFrame, by: list[str]) -> DataFrame:
+    whole = Window.partitionBy(*by)
+    n = F.sum(F.col("ok").cast("int")).over(whole)
+    mean = F.coalesce(F.sum(F.when(F.col("ok"), F.col("cz"))).over(whole), F.lit(0.0)) / (n + EPS)
     sign = F.when((F.abs(F.lead("cz").over(along(by)) - F.col("cz")) < EPS) | ~F.col("pair"), 0.0).otherwise(F.signum(F.lead("cz").over(along(by)) - F.col("cz")))
-    rows = rows.withColumn("__sign", F.when(F.col("t") < F.col("steps") - 1, sign))
+    rows = rows.withColumns({"__mean": mean, "__sign": F.when(F.col("t") < F.col("steps") - 1, sign)})
     rows = rows.withColumn("__turn", _changes(F.col("__sign"), by))
-    spread = F.sqrt(F.coalesce(F.sum(F.when(F.col("ok"), (F.col("cz") - F.col("p1_cos_dissim_mean")) ** 2)), F.lit(0.0)) / (F.sum(F.col("ok").cast("int")) + EPS))
-    out = rows.groupBy(*by, "steps", "run_status", "t_effective", "p1_cos_dissim_mean", "__far").agg(spread.alias("p1_cos_dissim_std"), (F.coalesce(F.sum("__turn"), F.lit(0)) / 2).alias("p1_n_zero_crossings"))
+    spread = F.sqrt(F.coalesce(F.sum(F.when(F.col("ok"), (F.col("cz") - F.col("__mean")) ** 2)), F.lit(0.0)) / (F.sum(F.col("ok").cast("int")) + EPS))
+    series = F.transform(F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("t", "cz")))), lambda p: p["cz"])
+    once = [F.first(c).alias(c) for c in ("steps", "run_status", "t_effective")]
+    out = rows.groupBy(*by).agg(*once, F.first("__mean").alias("p1_cos_dissim_mean"), F.max(F.col("far_c").cast("int")).alias("__far"), spread.alias("p1_cos_dissim_std"), (F.coalesce(F.sum("__turn"), F.lit(0)) / 2).alias("p1_n_zero_crossings"), series.alias("x"))
     out = out.withColumn("p1_cos_dissim_cv", F.col("p1_cos_dissim_std") / (F.col("p1_cos_dissim_mean") + EPS))
-    out = out.join(_periods(rows, by), by, "left")
+    out = _with_period(out)
     regime = F.when(F.col("run_status") == "OK_TRUNCATED", "EXPLOSIVE").when(F.col("p1_estimated_period").isNull() & (F.col("p1_cos_dissim_cv") < C.FLAT_CV), "FLAT").when(F.col("p1_estimated_period").isNotNull(), "OSCILLATING").when(F.col("__far") == 1, "TRANSITIONAL").otherwise("MIXED")
     return out.withColumn("p1_regime_class", regime).drop("__far")
 
 
-def _periods(rows: DataFrame, by: list[str]) -> DataFrame:
-    """First peak of the autocorrelation of cos_dissim among lags under a quarter of the valid length."""
-    kept = rows.filter("ok").groupBy(*by, "steps", "t_effective").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "cz"))), lambda p: p["cz"]).alias("x"))
+def _with_period(runs: DataFrame) -> DataFrame:
+    """``runs`` plus the first peak of the autocorrelation of ``x`` among lags under a quarter of the valid length."""
     lags = F.floor(F.col("t_effective") / 4).cast("int")
-    made = autocorrelation(kept, F.when(lags >= 1, F.sequence(F.lit(0), lags - 1)))
+    columns = [c for c in runs.columns if c != "x"]
+    made = autocorrelation(runs, F.when(lags >= 1, F.sequence(F.lit(0), lags - 1)))
     made = made.withColumn("ac", F.transform("ac", lambda v: F.when(F.col("energy") > 0, v * F.col("energy") / (F.col("energy") + EPS)).otherwise(0.0)))
     # Lags beyond the run's own quarter count as -1, up to a quarter of the design's length.
     room = F.floor(F.col("steps") / 4).cast("int")
     at = lambda i: F.when(i < lags, F.get("ac", i)).otherwise(-1.0)
     peak = F.filter(F.when(room >= 3, F.sequence(F.lit(1), room - 2)), lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) > C.PERIOD_CORRELATION))
-    return made.select(*by, F.get(peak, 0).cast("double").alias("p1_estimated_period"))
+    return made.select(*columns, F.get(peak, 0).cast("double").alias("p1_estimated_period"))
 
 
 def masks(obs: DataFrame, by: list[str]) -> DataFrame:
-    """``obs`` plus the run's regime columns and ``mask``: the steps worth a closer look."""
-    found = regimes(obs, by)
-    rows = _fences(_valid(obs, by, found.select(*by, "steps", "t_effective")), by)
-    rows = rows.join(found.select(*by, "run_status", "p1_estimated_period"), by)
+    """``obs`` plus the run's status, length and period and ``mask``: the steps worth a closer look."""
+    rows = _steps(obs, by)
+    rows = rows.join(_regimes(rows, by).select(*by, "p1_estimated_period"), by)
     w = along(by)
     count = F.greatest(F.lit(C.MASK_LEAST), (F.col("steps") * C.MASK_FLOOR).cast("int"))
     floor_points = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.floor(i * (F.col("steps") - 1) / (count - 1)).cast("int"))

@@ -1,8 +1,9 @@
 """Density clustering, peeling, outliers and projections of a stratum's feature matrix.
 
 These algorithms look at all rows of a stratum together, so each stratum is one
-group of an Arrow function; strata run in parallel.  A stratum over MOST_ROWS is
-refused rather than sampled: distances of all pairs would not fit a task.
+group of an Arrow function; strata run in parallel.  Distances are computed a
+block of rows at a time, so memory grows with the rows of a stratum and not with
+their square (time does).
 """
 
 from __future__ import annotations
@@ -16,27 +17,51 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import cluster_size, core_size, level_threshold
 
-#: Rows of a stratum that a task can hold the distances of (float32: 1.6 GB).
-MOST_ROWS = 20_000
+#: Rows whose distances to all others are computed at once.
+BLOCK = 256
+#: Rows of a stratum that are projected by t-SNE, and silhouettes are taken of, drawn with this seed.
+TSNE_ROWS, SILHOUETTE_ROWS, SEED = 5000, 2000, 42
+
+
+class Space:
+    """Distances between rows, without a matrix of all of them."""
+
+    def __init__(self, x: np.ndarray, metric: str = "euclidean"):
+        self.cosine = metric == "cosine"
+        x = np.asarray(x, float)
+        self.x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12) if self.cosine else x
+        self.square = np.sum(self.x * self.x, axis=1)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def of(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Distances of ``rows`` to all rows."""
+        products = self.x[rows] @ self.x.T
+        if self.cosine:
+            return np.clip(1 - products, 0, 2)
+        return np.sqrt(np.maximum(self.square[rows][:, None] + self.square[None, :] - 2 * products, 0))
 
 
 def distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    x = x.astype(np.float32)
-    if metric == "cosine":
-        unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
-        return np.clip(1 - unit @ unit.T, 0, 2)
-    square = np.sum(x * x, axis=1)
-    return np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0))
+    return Space(x, metric).of(slice(None))
+
 
+def core_distances(space: Space, k: int) -> np.ndarray:
+    """Distance of every row to its ``k``-th nearest other row."""
+    n = len(space)
+    k = min(k, n - 1)
+    return np.concatenate([np.partition(space.of(slice(i, i + BLOCK)), k, axis=1)[:, k] for i in range(0, n, BLOCK)])
 
-def spanning_tree(d: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (a, b, weight) of the minimum spanning tree under mutual reachability, in order of weight (Prim's method)."""
-    n = len(d)
+
+def spanning_tree(space: Space, core: np.ndarray) -> np.ndarray:
+    """Edges (a, b, weight) of the minimum spanning tree under mutual reachability, in order of weight (Prim's method, a row of distances at a time)."""
+    n = len(space)
     out, done = np.zeros((n - 1, 3)), np.zeros(n, bool)
     near, source, at = np.full(n, np.inf), np.zeros(n, int), 0
     for i in range(n - 1):
         done[at] = True
-        reach = np.maximum(np.maximum(d[at], core), core[at])
+        reach = np.maximum(np.maximum(space.of(slice(at, at + 1))[0], core), core[at])
         closer = ~done & (reach < near)
         near[closer], source[closer] = reach[closer], at
         at = int(np.argmin(np.where(done, np.inf, near)))
@@ -93,15 +118,16 @@ def hdbscan(x: np.ndarray, smallest: int, core_neighbours: int, metric: str = "e
     n = len(x)
     if n < max(smallest, 3):
         return np.full(n, -1), np.zeros(n)
-    d = distances(x, metric)
-    core = np.partition(d, min(core_neighbours, n - 1), axis=1)[:, min(core_neighbours, n - 1)]
-    rows = condense(spanning_tree(d, core), n, smallest)
+    space = Space(x, metric)
+    rows = condense(spanning_tree(space, core_distances(space, core_neighbours)), n, smallest)
     born, kids, members = {n: 0.0}, {}, {}
     for p, c, level, _ in rows:
         (kids if c > n else members).setdefault(p, []).append((c, level))
         if c > n:
             born[c] = level
-    weight = {c: sum((min(level, 1e12) - min(born[c], 1e12)) * s for p, _, level, s in rows if p == c) for c in born}
+    weight = dict.fromkeys(born, 0.0)
+    for p, _, level, many in rows:
+        weight[p] += (min(level, 1e12) - min(born[p], 1e12)) * many
     chosen: set[int] = set()
     if selection == "leaf":
         chosen = {c for c in born if c not in kids and c != n}
@@ -133,81 +159,101 @@ def hdbscan(x: np.ndarray, smallest: int, core_neighbours: int, metric: str = "e
     return labels, strength
 
 
-def silhouette(d: np.ndarray, mine: np.ndarray, others: list[np.ndarray]) -> float:
-    """Mean silhouette of one cluster against the nearest of the others; 0.5 if there is none."""
-    if not others or len(mine) < 2:
-        return 0.5
-    a = d[np.ix_(mine, mine)].sum(axis=1) / (len(mine) - 1)
-    b = np.min([d[np.ix_(mine, o)].mean(axis=1) for o in others], axis=0)
-    return float(np.mean((b - a) / np.maximum(np.maximum(a, b), 1e-12)))
+def silhouette(x: np.ndarray, mine: np.ndarray, others: np.ndarray, most: int = SILHOUETTE_ROWS) -> float | None:
+    """Mean silhouette, in [-1, 1], of two groups of rows against each other (of ``most`` of them, drawn with a fixed seed); None without two rows in each.
+
+    A row alone in its group counts 0.
+    """
+    if len(mine) < 2 or len(others) < 2:
+        return None
+    rows, group = np.append(mine, others), np.repeat([0, 1], [len(mine), len(others)])
+    if len(rows) > most:
+        drawn = np.random.RandomState(SEED).choice(len(rows), most, replace=False)
+        rows, group = rows[drawn], group[drawn]
+    sizes = np.bincount(group, minlength=2)
+    if not sizes.all():
+        return None
+    d = distances(x[rows])
+    np.fill_diagonal(d, 0)
+    sums = np.stack([d[:, group == k].sum(axis=1) for k in (0, 1)])
+    at = np.arange(len(rows))
+    a, b = sums[group, at] / np.maximum(sizes[group] - 1, 1), sums[1 - group, at] / sizes[1 - group]
+    return float(np.where(sizes[group] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
 
 
-def homogeneity(d: np.ndarray, labels: np.ndarray, strength: np.ndarray, label: int, most: int = 2000) -> float:
-    """Cohesion of a cluster in [0, 1] from membership strength and silhouette (of at most ``most`` rows, drawn with a fixed seed)."""
-    rng = np.random.default_rng(42)
-    pick = lambda i: np.sort(rng.choice(i, most, replace=False)) if len(i) > most else i
-    mine = np.flatnonzero(labels == label)
-    others = [pick(np.flatnonzero(labels == k)) for k in np.unique(labels) if k not in (label, -1)]
-    s = silhouette(d, pick(mine), others)
-    return float(np.clip((0.5 * strength[mine].mean() + 0.3 * (s + 1) / 2) / 0.8, 0, 1))
+def homogeneity(x: np.ndarray, labels: np.ndarray, strength: np.ndarray, label: int) -> float:
+    """Cohesion of a cluster in [0, 1]: 5 parts its mean membership, 3 parts its silhouette against all other clusters, scaled to [0, 1] (0.5 if there are none)."""
+    s = silhouette(x, np.flatnonzero(labels == label), np.flatnonzero((labels != label) & (labels != -1)))
+    return float(np.clip((0.5 * strength[labels == label].mean() + 0.3 * (0.5 if s is None else (s + 1) / 2)) / 0.8, 0, 1))
 
 
 @dataclass(frozen=True)
 class Peeling:
-    """Levels, thresholds of cohesion and the configurations tried at every level."""
+    """Levels, thresholds of cohesion and configurations (metric, selection, components) of the first and the later levels."""
 
     levels: int = 6
     base: float = 0.55
     step: float = 0.05
-    most: float = 0.85
+    most: float = 0.80
     retries: int = 3
     residual_share: float = 0.30
-    configs: tuple[tuple[str, str], ...] = (("euclidean", "eom"), ("cosine", "eom"), ("euclidean", "leaf"))
+    least: int = 8
+    first: tuple[tuple[str, str, int | None], ...] = (("cosine", "eom", None),)
+    residual: tuple[tuple[str, str, int | None], ...] = (("cosine", "eom", None), ("euclidean", "leaf", 20), ("cosine", "leaf", None))
 
 
 def _level(x: np.ndarray, level: int, smallest: int, plan: Peeling) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
-    """Clusters extracted at one level (rows, cohesion), by the configuration with the best number of clusters and least noise."""
+    """Clusters extracted from rows (rows, cohesion) and the rows left, by the configuration with the best number of clusters and least noise."""
     best = None
-    for metric, selection in plan.configs:
-        labels, strength = hdbscan(x, smallest, core_size(smallest), metric, selection)
+    for metric, selection, dims in plan.residual if level else plan.first:
+        safe = min(dims or 0, x.shape[1] - 1, len(x) - 1)
+        seen = pca(x, safe) if dims and dims < x.shape[1] and safe >= 2 else x
+        labels, strength = hdbscan(seen, smallest, core_size(smallest), metric, selection)
         k, noise = labels.max() + 1, float(np.mean(labels < 0)) * 100
         score = (3 if 3 <= k <= 10 else max(0.0, 3 - 0.5 * min(abs(k - 3), abs(k - 10)))) - 0.03 * noise
         if best is None or score > best[0]:
-            best = (score, labels, strength, metric)
-    _, labels, strength, metric = best
-    d = distances(x, metric)
+            best = (score, labels, strength, seen)
+    _, labels, strength, seen = best
     least = level_threshold(level, plan.base, plan.step, plan.most)
-    found = [(np.flatnonzero(labels == k), homogeneity(d, labels, strength, k)) for k in range(labels.max() + 1)]
+    found = [(np.flatnonzero(labels == k), homogeneity(seen, labels, strength, k)) for k in range(labels.max() + 1)]
     kept = [(rows, h) for rows, h in found if h >= least]
     rest = np.setdiff1d(np.arange(len(x)), np.concatenate([r for r, _ in kept]) if kept else np.zeros(0, int))
     return kept, rest
 
 
+def _spread(x: np.ndarray) -> float:
+    return float(np.trace(np.atleast_2d(np.cov(x.T)))) + 1e-10
+
+
 def peel(x: np.ndarray, plan: Peeling = Peeling()) -> pd.DataFrame:
-    """Label, level and cohesion of every row: clusters are taken out level by level and the residual clustered again."""
+    """Label, level and cohesion of every row: clusters are taken out level by level and the residual clustered again.
+
+    While a level leaves too many rows, what is left is clustered at once with
+    a smaller least size; what earlier attempts have taken out stays.  Labels
+    are numbered in order of extraction.
+    """
     n = len(x)
     out = pd.DataFrame({"label": np.full(n, -1), "level": np.full(n, -1), "homogeneity": np.zeros(n)})
-    left, label, smallest = np.arange(n), 0, cluster_size(n)
-    whole = float(np.trace(np.atleast_2d(np.cov(x.T)))) if n > 1 else 0.0
+    left, label, whole = np.arange(n), 0, cluster_size(n)
     for level in range(plan.levels):
-        if len(left) < 8:
+        if len(left) < plan.least:
             break
-        size = smallest
-        for _ in range(plan.retries):
+        size = whole
+        if level and len(left) < n:
+            density = np.clip((len(left) / _spread(x[left])) / (n / _spread(x)), 0.5, 2)
+            size = int(whole * np.sqrt(len(left) / n) / density)
+        size, taken = max(plan.least, size), 0
+        for attempt in range(plan.retries + 1):
             kept, rest = _level(x[left], level, size, plan)
-            if kept and len(rest) / n <= plan.residual_share or size <= 8:
+            for rows, h in kept:
+                out.loc[left[rows], ["label", "level", "homogeneity"]] = label, level, h
+                label, taken = label + 1, taken + len(rows)
+            left = left[rest]
+            if len(left) / n <= plan.residual_share or size <= plan.least or len(left) < 2:
                 break
-            size = max(8, size // 2)
-        for rows, h in kept:
-            out.loc[left[rows], ["label", "level", "homogeneity"]] = label, level, h
-            label += 1
-        if not kept and level > 0:
+            size = max(plan.least, size // 2)
+        if not taken and level:
             break
-        left = left[rest]
-        if len(left) >= 8 and whole > 0:
-            spread = float(np.trace(np.atleast_2d(np.cov(x[left].T))))
-            density = np.clip((len(left) / max(spread, 1e-12)) / (n / whole), 0.5, 2)
-            smallest = max(8, int(smallest * np.sqrt(len(left) / n) / density))
     return out.astype({"label": int, "level": int})
 
 
@@ -282,8 +328,6 @@ def _grouped(df: DataFrame, by: str, columns: list[str], key: str, fields: list[
     schema = T.StructType([df.schema[by], df.schema[key], *fields])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MOST_ROWS:
-            raise ValueError(f"a stratum of {len(frame)} rows; at most {MOST_ROWS} can be clustered together")
         frame = frame.sort_values(key).reset_index(drop=True)
         return pd.concat([frame[[by, key]], f(frame[columns].to_numpy(float))], axis=1)
 
@@ -302,12 +346,20 @@ def outliers_of_strata(df: DataFrame, by: str, columns: list[str], key: str, sha
 
 
 def project_strata(df: DataFrame, by: str, columns: list[str], key: str, method: str = "tsne") -> DataFrame:
-    """Two coordinates a row; ``method`` is ``tsne`` or ``pca`` (also what stands in for UMAP)."""
+    """Two coordinates a row; ``method`` is ``tsne`` or ``pca`` (also what stands in for UMAP).
+
+    t-SNE draws TSNE_ROWS rows of a larger stratum with a fixed seed; the others have no coordinates.
+    """
     fields = [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
 
     def f(x: np.ndarray) -> pd.DataFrame:
-        z = tsne(x) if method == "tsne" and len(x) > 5 else pca(x, 2)
-        z = np.pad(z, ((0, 0), (0, 2 - z.shape[1])))
-        return pd.DataFrame(z, columns=["x", "y"])
+        if method != "tsne" or len(x) <= 5:
+            z = pca(x, 2)
+            return pd.DataFrame(np.pad(z, ((0, 0), (0, 2 - z.shape[1]))), columns=["x", "y"])
+        drawn = np.sort(np.random.RandomState(SEED).choice(len(x), TSNE_ROWS, replace=False)) if len(x) > TSNE_ROWS else np.arange(len(x))
+        out = pd.DataFrame({"x": [None] * len(x), "y": [None] * len(x)}, dtype=object)
+        z = tsne(x[drawn])
+        out.loc[drawn, "x"], out.loc[drawn, "y"] = z[:, 0], z[:, 1]
+        return out.astype("Float64")
 
     return _grouped(df, by, columns, key, fields, f)

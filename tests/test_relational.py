@@ -78,6 +78,44 @@ def test_clusters(spark):
     assert np.isfinite(clustering.tsne(x[:40], 30)).all()
 
 
+def test_cohesion_by_hand():
+    labels, x = np.array([0, 0, 0]), np.array([[0.0], [1.0], [2.0]])
+    assert clustering.homogeneity(x, labels, np.ones(3), 0) == pytest.approx(0.8125)
+    x, labels = np.array([[0.0], [1.0], [10.0], [12.0], [50.0]]), np.array([0, 0, 1, 1, -1])
+    # a and b of the four rows: 1, 11; 1, 10; 2, 9.5; 2, 11.5 -> silhouettes (b - a) / b
+    s = np.mean([10 / 11, 9 / 10, 7.5 / 9.5, 9.5 / 11.5])
+    assert clustering.silhouette(x, np.array([0, 1]), np.array([2, 3])) == pytest.approx(s)
+    assert clustering.homogeneity(x, labels, np.array([0.5, 1, 1, 1, 0]), 0) == pytest.approx((0.5 * 0.75 + 0.3 * (s + 1) / 2) / 0.8)
+
+
+def test_retries_keep_what_they_took_out():
+    rng = np.random.default_rng(3)
+    big = [rng.normal(0, 0.05, (150, 3)) + np.eye(3)[k] * 5 for k in range(2)]
+    small = [rng.normal(0, 0.02, (12, 3)) + np.array(c) for c in ([-5.0, 5, 1], [5.0, -5, 1], [5.0, 1, -5], [-5.0, -5, 5])]
+    made = clustering.peel(np.concatenate([*big, *small, rng.normal(0, 3, (140, 3))]))
+    assert made.label[:150].mode()[0] >= 0 and made.label[150:300].mode()[0] >= 0 and made.label[0] != made.label[200]
+    assert sorted(set(made.label) - {-1}) == list(range(made.label.max() + 1))
+
+
+def test_distances_by_block_are_those_of_the_matrix():
+    x = np.random.default_rng(1).normal(size=(700, 4))
+    for metric in ("euclidean", "cosine"):
+        space = clustering.Space(x, metric)
+        d = np.stack([space.of(slice(i, i + 1))[0] for i in range(700)])
+        assert np.allclose(clustering.core_distances(space, 5), np.sort(d, axis=1)[:, 5])
+        tree = clustering.spanning_tree(space, np.zeros(700))
+        assert len(tree) == 699 and (np.diff(tree[:, 2]) >= 0).all()
+        inside, best = {0}, 0.0  # the same weight as growing the tree by the nearest row
+        near = d[0].copy()
+        for _ in range(699):
+            near[list(inside)] = np.inf
+            k = int(near.argmin())
+            best += near[k]
+            inside.add(k)
+            near = np.minimum(near, d[k])
+        assert tree[:, 2].sum() == pytest.approx(best)
+
+
 def test_names():
     c = naming.Cluster({"ps_norm_ratio": 5.0, "f2_von_neumann_entropy_delta": -0.2, "f7_dmd_spectral_radius": 0.5}, {"ps_norm_ratio": 0.9, "f2_von_neumann_entropy_delta": 0.1, "f7_dmd_spectral_radius": 0.2})
     assert naming.name(c)["name"] == "AMP++·ENT-·DMD<1"

@@ -118,8 +118,7 @@ def name_clusters(df: DataFrame, cluster: str, features: list[str], aliases: boo
     """
     clustered = df.filter(F.col(cluster) >= 0)
     medians = summaries.cluster_profile(clustered, cluster, features).select(cluster, "feature", "median")
-    values = summaries.unpivot(df, [], features).filter("v is not null").groupBy("feature", "v").agg(F.count("*").alias("n"))
-    ranked = medians.join(values, "feature", "left").groupBy(cluster, "feature", "median").agg((F.sum(F.when(F.col("v") <= F.col("median"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rank"))
+    ranked = summaries.ranks(summaries.unpivot(df, [], features), medians.withColumn("x", F.col("median")))
     found: dict[int, Cluster] = {}
     for r in ranked.collect():
         c = found.setdefault(r[cluster], Cluster({}, {}, ALIASES if aliases else {}))
@@ -128,14 +127,31 @@ def name_clusters(df: DataFrame, cluster: str, features: list[str], aliases: boo
     return {k: name(c) for k, c in sorted(found.items())}
 
 
-def interpret(slots: dict, regime: str | None, truncated: float) -> list[str]:
-    """Plain answers about a cluster: is it sound, does it grow, does it oscillate, is it ordered?"""
+#: What a dominant regime says about emergence.
+EMERGENCE = {"FLAT": "candidate attractor", "OSCILLATING": "limit cycle", "TRANSITIONAL": "passes between regimes", "EXPLOSIVE": "diverges", "MIXED": "mixed regime"}
+#: What slots say about information (rank, entropy) and about what the transition does (exponent, modes, size), by the head of their terms.
+INFORMATION = {"RNK": {"RNK+": "effective rank grows", "RNK-": "effective rank shrinks"}, "ENT": {"ENT+": "entropy grows", "ENT-": "entropy shrinks"}}
+ACTION = {
+    "LYA": {"LYA+": "amplifies", "LYA-": "contracts", "LYA~": "alternates"},
+    "DMD": {"DMD>>": "unstable modes", "DMDosc": "oscillating modes", "DMD<1": "damped modes"},
+    "AMP": {"AMP<<": "size collapses", "AMP>>": "size explodes", "AMP~0": "size is kept"},
+}
+
+
+def interpret(slots: dict, regime: str | None, truncated: float) -> dict[str, list[str]]:
+    """Answers about a cluster to four questions; a question without an answer is left out.
+
+    ``information``: does the state gain structure or order; ``action``: what
+    does the transition do to it; ``emergence``: what its regime and truncated
+    runs say; ``onset``: not to be judged where numbers are unsound, else
+    whether shrinking entropy under damped modes makes it a candidate for a
+    holographic attractor.
+    """
     token = lambda k: (slots.get(k) or ("", 0))[0]
-    growth = "grows" if token("AMP").startswith(("AMP+", "AMP>")) else "decays" if token("AMP") == "AMP<<" else "keeps its size"
-    order = "loses order" if token("ENT") == "ENT+" else "gains order" if token("ENT") == "ENT-" else "keeps its order"
-    return [
-        "numerically unsound" if token("CND") == "CND!" or truncated > 0.5 else "numerically sound",
-        growth,
-        "oscillates" if token("DMD") == "DMDosc" or regime == "OSCILLATING" else "does not oscillate",
-        order,
-    ]
+    said = lambda table: [text for k, terms in table.items() for text in [next((v for t, v in terms.items() if t in token(k)), None)] if text]
+    emergence = [EMERGENCE[regime]] if regime in EMERGENCE else []
+    if truncated > 0:
+        emergence.append(f"{truncated:.0%} truncated" + (", often unstable" if truncated > 0.5 else ""))
+    onset = ["numerically unsound, not to be judged"] if slots.get("CND") else ["candidate for a holographic attractor"] if "ENT-" in token("ENT") and "DMD<1" in token("DMD") else []
+    answers = {"information": said(INFORMATION), "action": said(ACTION), "emergence": emergence, "onset": onset}
+    return {k: v for k, v in answers.items() if v}

@@ -105,12 +105,14 @@ def design(spark: SparkSession, config: dict[str, Any], registries: dict[str, di
     encodings = encodings.select(F.col("id").alias("encoding_id"), F.col("params").alias("encoding_params"), effective_rank(F.col("rank"), F.col("params")).alias("rank_eff"))
     modifiers = axis_table(spark, axis(config.get("modifier") or [{"id": "M0"}], registries["modifier"])).selectExpr("id modifier_id", "params modifier_params")
     sizes = spark.createDataFrame([(int(n),) for n in listed(config.get("n_dof"), [10])], "n_dof int")
-    seeds = lambda name: spark.createDataFrame([(s,) for s in listed(config.get(name), [None])], f"{name} bigint")
+    # A null seed is drawn here, once, and stands in the run table like any other.
+    drawn = lambda s: random.SystemRandom().getrandbits(31) if s is None else int(s)
+    seeds = lambda name: spark.createDataFrame([(drawn(s),) for s in listed(config.get(name), [None])], f"{name} bigint")
     runs = gammas.join(F.broadcast(encodings), compatible(F.col("rank_constraint"), F.col("rank_eff")))
     runs = runs.crossJoin(F.broadcast(sizes)).filter(small_enough(F.col("rank_eff"), F.col("n_dof")))
     for other in (modifiers, seeds("seed_CI"), seeds("seed_run")):
         runs = runs.crossJoin(F.broadcast(other))
-    return runs.withColumns({"phase": F.lit(config.get("phase")), "max_it": F.lit(int(max_it[0]))})
+    return runs.withColumns({"phase": F.lit(config.get("phase")), "max_it": F.lit(int(max_it[0])), "seed_run": seed_of_run(F.col("seed_run"), F.col("gamma_id"), F.col("encoding_id"))})
 
 
 def groups(runs: DataFrame) -> DataFrame:

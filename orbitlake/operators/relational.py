@@ -78,7 +78,9 @@ DEDUP_KEYS = {
 
 
 def dedup_runs(df: DataFrame, keys: str = "ids", order: list[Column] | None = None) -> DataFrame:
-    return first_by_key(df, [k for k in DEDUP_KEYS[keys] if k in df.columns], order or [F.lit(1)])
+    """One row of each run; without ``order`` the least by a hash of all its columns, so that reruns agree."""
+    every = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)])
+    return first_by_key(df, [k for k in DEDUP_KEYS[keys] if k in df.columns], order or [every])
 
 
 def union_common(tables: list[DataFrame]) -> DataFrame:

@@ -60,6 +60,7 @@ def composed(row: dict) -> atomics.Operator:
     return atomics.Operator(row["gamma_id"], "composed", step, prepare=prepare, differentiable=False)
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def measure(x: np.ndarray, p: np.ndarray | None, before: float | None) -> tuple[dict[str, float], float | None]:
     """Layer A of one state, and its distance to the state before."""
     size, flat = float(np.linalg.norm(x)), np.abs(x).ravel()
@@ -125,6 +126,7 @@ def find_period(cos: np.ndarray, steps: int) -> float:
     return np.nan
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def screen(x: np.ndarray, op: atomics.Operator, params: dict, steps: int, rng) -> dict:
     """First pass: status, end, regime, period and mask of a trajectory."""
     frob, cos, delta, last, bad = [], [], [], x, None
@@ -175,6 +177,7 @@ def screen(x: np.ndarray, op: atomics.Operator, params: dict, steps: int, rng) -
     return {"run_status": status, "t_effective": end, "p1_regime_class": regime, "p1_estimated_period": period, "p1_cos_dissim_mean": mean, "p1_cos_dissim_std": std, "p1_cos_dissim_cv": std / (mean + EPS), "p1_n_zero_crossings": turns, "mask": mask}
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def run(row: dict) -> dict:
     """Timelines and classification of one designed run."""
     x, op, params = initial(row)
@@ -216,6 +219,14 @@ RESULT = T.StructType(
 )
 
 
+#: Runs of a task: simulations take long and weigh little, so they are dealt by number and not by bytes.
+RUNS_OF_A_TASK = 8
+
+
+def tasks_for(runs: int) -> int:
+    return max(1, -(-runs // RUNS_OF_A_TASK))
+
+
 def simulate(design: DataFrame, tasks: int | None = None) -> DataFrame:
     """``design`` with the classification, dynamic modes and timelines of every run.
 

@@ -104,15 +104,18 @@ def entity_profiles(df: DataFrame, entity: str, label: str, exploded: Column) ->
     return whole.join(best, entity, "left").withColumn("n_clustered", F.coalesce("n_clustered", F.lit(0)))
 
 
-def universality(df: DataFrame, cluster: str, entity: str, least: float = 0.7, enforce_min: int | None = None) -> DataFrame:
-    """Clusters that hold more than ``least`` of an entity's runs; ``enforce_min`` asks for that many entities as well."""
-    shares = df.groupBy(entity, cluster).agg(F.count("*").alias("n"))
-    shares = shares.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(entity)))
-    kept = shares.filter(F.col("fraction") > least)
-    if enforce_min is not None:
-        wide = kept.groupBy(cluster).agg(F.count_distinct(entity).alias("k")).filter(F.col("k") >= enforce_min)
-        kept = kept.join(wide.select(cluster), cluster, "left_semi")
-    return kept
+def universality(df: DataFrame, cluster: str, entity: str, least: float = 0.7, enforce_min: int | None = None, other: str | None = None) -> DataFrame:
+    """Clusters that hold more than ``least`` of an entity's runs.
+
+    ``enforce_min`` asks for runs of that many different ``other`` entities (a
+    gamma's encodings, an encoding's gammas) in the cluster as well.
+    """
+    if enforce_min is not None and other is None:
+        raise ValueError("enforce_min counts the column that other names")
+    wide = [F.count_distinct(other).alias("__k")] if enforce_min is not None else []
+    shares = df.groupBy(entity, cluster).agg(F.count("*").alias("n"), *wide)
+    kept = shares.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(entity))).filter(F.col("fraction") > least)
+    return kept.filter(F.col("__k") >= enforce_min).drop("__k") if enforce_min is not None else kept
 
 
 def verdict(explosion: Column, concentration: Column, n: Column) -> Column:
@@ -137,8 +140,32 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.select(F.sqrt((F.col("q") - 1) / (F.least("ka", "kb") - 1)).alias("cramers_v"), "n")
 
 
+#: Rows of places to rank that are broadcast (about 50 bytes each); beyond it the values are joined to them by a shuffle.
+BROADCAST_PLACES = 200_000
+
+
+def ranks(long: DataFrame, at: DataFrame) -> DataFrame:
+    """``at`` (feature, x, ...) plus ``rank``: the share of the feature's values in ``long`` (feature, v) at most x.
+
+    Each value falls between two of the feature's places, found in a sorted
+    array, and values are counted by that in one pass; no value meets a row of
+    ``at``.  A null x has rank 0, a feature without values none.
+    """
+    places = at.filter(F.col("x").isNotNull()).groupBy("feature").agg(F.sort_array(F.collect_set(F.col("x").cast("double"))).alias("xs"))
+    small = at.count() <= BROADCAST_PLACES
+    values = long.filter(F.col("v").isNotNull())
+    met = values.join(F.broadcast(places) if small else places, "feature", "left")
+    between = F.coalesce(F.size(F.filter("xs", lambda x: x < F.col("v"))), F.lit(0))
+    counted = met.groupBy("feature", between.alias("b")).agg(F.count("*").alias("n"))
+    per = counted.groupBy("feature").agg(F.collect_list(F.struct("b", "n")).alias("counts"), F.sum("n").alias("total"))  # as many as places
+    out = at.join(places, "feature", "left").join(per, "feature", "left")
+    place = F.array_position("xs", F.col("x").cast("double")) - 1
+    upto = F.aggregate(F.filter("counts", lambda c: c["b"] <= place), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    rank = F.when(F.col("total").isNull(), None).when(F.col("x").isNull(), 0.0).otherwise(upto / F.col("total"))
+    return out.select(*at.columns, rank.alias("rank"))
+
+
 def percentile_rank(df: DataFrame, value: str, at: DataFrame, key: str) -> DataFrame:
     """For each row (key, x) of a small table ``at``: the share of values at most x, from one pass over the values."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = F.sum("n")
-    return at.join(counted).groupBy(key, "x").agg((F.sum(F.when(F.col("v") <= F.col("x"), F.col("n")).otherwise(0)) / total).alias("rank"))
+    named = at.select(key, "x").distinct().withColumn("feature", F.lit(value))
+    return ranks(df.select(F.lit(value).alias("feature"), F.col(value).cast("double").alias("v")), named).drop("feature")

@@ -339,9 +339,9 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_semi")
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 
@@ -382,9 +382,9 @@ def set_overlap_jaccard(spark, sf_dir):
     return rounded(relational.overlap(table(spark, sf_dir, "customer"), F.col("c_acctbal") > 5000, (F.col("c_mktsegment") == "BUILDING") | (F.col("c_acctbal") > 8000)))
 
 
-@query("manifest_grid", "WITH p AS (SELECT o_orderstatus AS a, o_orderpriority AS b FROM orders WHERE o_orderkey % 97 < 3), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY a, b) SELECT a, b, coalesce(n, 0) AS n, n IS NULL AS missing FROM (SELECT DISTINCT a FROM p) CROSS JOIN (SELECT DISTINCT b FROM p) LEFT JOIN c USING (a, b)")
+@query("manifest_grid", "WITH p AS (SELECT p_brand AS a, p_type AS b FROM part), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY a, b) SELECT a, b, coalesce(n, 0) AS n, n IS NULL AS missing FROM (SELECT DISTINCT a FROM p) CROSS JOIN (SELECT DISTINCT b FROM p) LEFT JOIN c USING (a, b)")
 def manifest_grid(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 97 < 3").select(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("a"), F.col("p_type").alias("b"))
     return relational.grid(rows, "a", "b")
 
 
@@ -505,10 +505,10 @@ def entity_profiles(spark, sf_dir):
     return rounded(made.withColumn("verdict", summaries.verdict(F.col("explosion_rate"), F.col("concentration"), F.col("n_clustered"))))
 
 
-@query("universality", "WITH c AS (SELECT o_orderpriority AS entity, o_orderstatus AS cluster, count(*) AS n FROM orders GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY entity) AS fraction FROM c) SELECT entity, cluster, n, round(fraction, 6) AS fraction FROM f WHERE fraction > 0.4")
+@query("universality", "WITH c AS (SELECT l_returnflag AS entity, l_linestatus AS cluster, count(*) AS n, count(DISTINCT l_linenumber) AS k FROM lineitem GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY entity) AS fraction FROM c) SELECT entity, cluster, n, round(fraction, 6) AS fraction FROM f WHERE fraction > 0.4 AND k >= 5")
 def universality(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("entity"), F.col("o_orderstatus").alias("cluster"))
-    return rounded(summaries.universality(rows, "cluster", "entity", 0.4))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("entity"), F.col("l_linestatus").alias("cluster"), F.col("l_linenumber").alias("line"))
+    return rounded(summaries.universality(rows, "cluster", "entity", 0.4, enforce_min=5, other="line"))
 
 
 @query("synthesis_rollup", "SELECT l_returnflag AS strate, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY ROLLUP (l_returnflag)")

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import atomics
 from ..operators import clustering, features, matrix, naming, planning, relational, simulate, summaries
-from ..sources import tables
+from ..sources import shared, tables
 
 
 def run_design(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     """All runs of a design with every column of the run table; null stands for what does not apply."""
     runs = planning.design(spark, config, atomics.registries())
     runs = runs.withColumn("run_id", F.xxhash64(*[F.col(c).cast("string") for c in relational.DEDUP_KEYS["full"]]))
-    return features.scalar_features(simulate.simulate(runs), ["run_id"])
+    runs = shared.materialised(simulate.simulate(runs, simulate.tasks_for(runs.count())), "runs")  # the families of features read it, none runs it again
+    return features.scalar_features(runs, ["run_id"])
 
 
 def pool(spark: SparkSession, paths: list[str], pool_config: dict[str, Any], scope: dict[str, Any], keys: str = "ids") -> DataFrame:
@@ -37,7 +38,7 @@ def verdict(runs: DataFrame, atomics_table: DataFrame, protected: tuple[str, ...
     """
     healthy, sick = relational.triage(runs)
     healthy = matrix.strata(healthy, atomics_table).persist()
-    out: dict[str, Any] = {"strata": {}, "pathological": [r.asDict() for r in summaries.top_per_group(sick, "run_status", "gamma_id").collect()]}
+    out: dict[str, Any] = {"strata": {}, "pathological": pathological(sick)}
     sizes = healthy.groupBy("strate").agg(F.count("*").alias("n")).orderBy("strate").collect()
     for r in sizes:
         if r["n"] >= least_runs:
@@ -48,6 +49,16 @@ def verdict(runs: DataFrame, atomics_table: DataFrame, protected: tuple[str, ...
     return out
 
 
+def pathological(sick: DataFrame) -> dict[str, dict[str, Any]]:
+    """Per status of failed runs: their number, and the ten gammas and encodings with most of them (number, total and share)."""
+    totals = {r["run_status"]: r["n"] for r in summaries.value_counts(sick, ["run_status"]).collect()}
+    out: dict[str, dict[str, Any]] = {s: {"n": totals.get(s, 0), "gamma_id": [], "encoding_id": []} for s in sorted({"EXPLOSION", "COLLAPSED", *totals})}
+    for entity in ("gamma_id", "encoding_id"):
+        for r in summaries.top_per_group(sick, "run_status", entity).orderBy("run_status", "place").collect():  # ten rows a status
+            out[r["run_status"]][entity].append({entity: r[entity], "count": r["n"], "total": totals[r["run_status"]], "fraction": r["fraction"]})
+    return out
+
+
 def _stratum(rows: DataFrame, runs: DataFrame, protected: tuple[str, ...], aliases: bool) -> dict[str, Any]:
     names = [c for c in matrix.feature_columns(tables.feature_names()) if c in rows.columns]
     some = rows.agg(*[F.count(c).alias(c) for c in names]).first()
@@ -67,17 +78,18 @@ def _stratum(rows: DataFrame, runs: DataFrame, protected: tuple[str, ...], alias
         clusters[k] = n | {"n": s["n"], "level": s["level"], "homogeneity": s["homogeneity"], "truncated": s["truncated"], "regime": dominant, "entropy": g["entropy"] if g else None, "interpretation": naming.interpret(n["slots"], dominant, s["truncated"])}
     everyone = runs.join(labels.select("run_id", "label"), "run_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
     profiles = {}
-    for entity in ("gamma_id", "encoding_id"):
-        made_profiles = summaries.entity_profiles(everyone, entity, "label", F.col("run_status") == "EXPLOSION")
+    for entity in (c for c in ("gamma_id", "encoding_id", "modifier_id") if c in everyone.columns):
+        made_profiles = summaries.entity_profiles(everyone, entity, "label", F.col("run_status").isin("EXPLOSION", "COLLAPSED"))
         made_profiles = made_profiles.withColumn("verdict", summaries.verdict(F.col("explosion_rate"), F.coalesce("concentration", F.lit(0.0)), F.col("n_clustered")))
         profiles[entity] = [r.asDict() for r in made_profiles.orderBy(entity).collect()]
     flags = labels.join(isolated, "run_id")
     agreement = relational.overlap(flags, F.col("label") < 0, F.col("is_outlier")).first().asDict()
-    universal = [r.asDict() for r in summaries.universality(clustered, "label", "gamma_id").orderBy(F.desc("fraction"), "gamma_id").collect()]
+    gathered = lambda entity, other: [r.asDict() for r in summaries.universality(clustered, "label", entity, other=other).orderBy(F.desc("fraction"), entity).collect()]
+    residue = [r.asDict() for r in summaries.coherence(joined.filter("label < 0"), "label", "p1_regime_class").collect()]
     noise = labels.filter("label < 0").count()
     for df in (labels, joined):
         df.unpersist()
-    return {"clusters": clusters, "features": kept, "profiles": profiles, "outliers": agreement, "universal": universal, "n_noise": noise}
+    return {"clusters": clusters, "features": kept, "profiles": profiles, "outliers": agreement, "universal": gathered("gamma_id", "encoding_id"), "convergent": gathered("encoding_id", "gamma_id"), "residue": residue[0] if residue else None, "n_noise": noise}
 
 
 def phase_agreement(runs: DataFrame, labels: DataFrame, first: str, second: str) -> DataFrame:

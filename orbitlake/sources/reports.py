@@ -44,5 +44,5 @@ def text_report(strata: dict[str, dict]) -> str:
     lines = []
     for name, s in strata.items():
         lines += [f"== {name}: {s['n_runs']} runs, {len(s['clusters'])} clusters, {s['n_noise']} unclustered =="]
-        lines += [f"  {k}: {c['name']} ({c['n']} runs, {', '.join(c['interpretation'])})" for k, c in s["clusters"].items()]
+        lines += [f"  {k}: {c['name']} ({c['n']} runs, {'; '.join(f'{q}: ' + ', '.join(a) for q, a in c['interpretation'].items())})" for k, c in s["clusters"].items()]
     return "\n".join(lines) + "\n"

@@ -116,6 +116,28 @@ def test_distances_by_block_are_those_of_the_matrix():
         assert tree[:, 2].sum() == pytest.approx(best)
 
 
+def test_universality_asks_for_other_entities(spark):
+    rows = [("g1", 0, "e1")] * 9 + [("g1", 1, "e2")] + [("g2", 0, f"e{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "gamma string, label int, encoding string")
+    assert {r["gamma"] for r in summaries.universality(df, "label", "gamma").collect()} == {"g1", "g2"}
+    assert {r["gamma"] for r in summaries.universality(df, "label", "gamma", enforce_min=3, other="encoding").collect()} == {"g2"}
+
+
+def test_interpretation():
+    slots = {"RNK": ("RNK-", 1), "ENT": ("ENT-", 1), "DMD": ("DMD<1", 1), "AMP": ("AMP~0", 1)}
+    assert naming.interpret(slots, "FLAT", 0.0) == {"information": ["effective rank shrinks", "entropy shrinks"], "action": ["damped modes", "size is kept"], "emergence": ["candidate attractor"], "onset": ["candidate for a holographic attractor"]}
+    assert naming.interpret({"CND": ("CND!", 1)}, None, 0.75) == {"emergence": ["75% truncated, often unstable"], "onset": ["numerically unsound, not to be judged"]}
+
+
+def test_ranks_without_pairs(spark):
+    rng = np.random.default_rng(2)
+    values = [("a", float(v)) for v in rng.integers(0, 20, 300)] + [("b", float(v)) for v in rng.normal(size=50)] + [("a", None)]
+    places = [("a", 1, 5.0), ("a", 2, 19.0), ("a", 3, -1.0), ("a", 4, None), ("b", 1, 0.0), ("b", 2, 0.0), ("c", 1, 1.0)]
+    got = {(r["feature"], r["k"]): r["rank"] for r in summaries.ranks(spark.createDataFrame(values, "feature string, v double"), spark.createDataFrame(places, "feature string, k int, x double")).collect()}
+    share = lambda f, x: np.mean([v <= x for g, v in values if g == f and v is not None])
+    assert got == {(f, k): None if f == "c" else 0.0 if x is None else pytest.approx(share(f, x)) for f, k, x in places}
+
+
 def test_names():
     c = naming.Cluster({"ps_norm_ratio": 5.0, "f2_von_neumann_entropy_delta": -0.2, "f7_dmd_spectral_radius": 0.5}, {"ps_norm_ratio": 0.9, "f2_von_neumann_entropy_delta": 0.1, "f7_dmd_spectral_radius": 0.2})
     assert naming.name(c)["name"] == "AMP++·ENT-·DMD<1"
@@ -132,7 +154,10 @@ def test_verdict_and_audit(spark):
     known = spark.createDataFrame(atomics.metadata(), atomics.METADATA_SCHEMA).filter("kind = 'gamma'")
     found = workflows.verdict(runs, known)
     assert found["strata"]["rank2_diff"]["n_runs"] == 110 and found["n_clusters"] >= 2
-    assert sum(r["n"] for r in found["pathological"]) == 10
+    assert found["pathological"]["EXPLOSION"]["n"] == 10 and found["pathological"]["COLLAPSED"] == {"n": 0, "gamma_id": [], "encoding_id": []}
+    assert sum(r["count"] for r in found["pathological"]["EXPLOSION"]["gamma_id"]) == 10 and found["pathological"]["EXPLOSION"]["encoding_id"] == [{"encoding_id": "SYM-001", "count": 10, "total": 10, "fraction": 1.0}]
+    one = found["strata"]["rank2_diff"]
+    assert {r["encoding_id"] for r in one["convergent"]} <= {"SYM-001"} and {p["gamma_id"]: round(p["explosion_rate"] * 60) for p in one["profiles"]["gamma_id"]} == {"GAM-001": 5, "GAM-004": 5}
     json.dumps(reports.plain(found))
     assert "rank2_diff" in reports.text_report(found["strata"])
     made = workflows.audit(runs, ["frob_mean", "frob_final"])

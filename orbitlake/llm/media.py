@@ -23,7 +23,7 @@ from .arrow import add_columns, free_name
 
 #: The frame: 8 x 8 pixels of 8 bits; frames a second, per chunk, and from one keyframe to the next.
 FRAME, RATE, PER_CHUNK, KEY_EVERY = 64, 25, 64, 32
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 DEEPEST = 32
 
@@ -96,9 +96,23 @@ class Track:
     width: int = 0
     height: int = 0
     tables: dict[bytes, bytes] = field(default_factory=dict)
+    #: Samples of movie fragments: (offsets, lengths, times, keyframe flags) of each run, and the time after the last one.
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    clock: int | None = None
 
     def samples(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Offset, length, decoding time (in ticks) and keyframe flag of every sample, checked against the file's size."""
+        """Offset, length, decoding time (in ticks) and keyframe flag of every sample, of the sample tables and then of fragments, checked against the file's size."""
+        parts = [self._listed(size), *self.runs]
+        for offsets, lengths, _, _ in self.runs:
+            if len(offsets) and ((offsets < 0).any() or (offsets + lengths).max() > size):
+                raise Malformed("a sample lies outside the file")
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def ticks(self) -> int:
+        """The track's duration; of a track made of fragments, the time after its last sample."""
+        return max(self.duration, self.clock or 0)
+
+    def _listed(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         lengths, chunks, runs = self._lengths(size), self._chunks(), self._rows(b"stsc", 3)
         n = len(lengths)
         if n and not len(chunks) or n and not len(runs):
@@ -208,9 +222,56 @@ def _versioned(data: bytes, at: int) -> tuple[int, int]:
     return _unpack(">IQ", data, at + 20) if data[at : at + 1] == b"\x01" else _unpack(">II", data, at + 12)
 
 
+class Fragment:
+    """What the boxes of one movie fragment say about the samples of one track."""
+
+    def __init__(self, data: bytes, at: int, start: int, behind: int | None, tracks: list[Track], defaults: dict[int, tuple[int, ...]]):
+        """``at``: body of the tfhd box, ``start``: where the moof box begins, ``behind``: the end of the samples before in it."""
+        (word, track_id) = _unpack(">II", data, at)
+        flags, at = word & 0xFFFFFF, at + 8
+        self.track = next((t for t in tracks if t.track_id == track_id), None)
+        if self.track is None:
+            raise Malformed("a fragment of a track that is not there")
+        base = start if flags & 0x20000 or behind is None else behind
+        if flags & 0x1:
+            (base,), at = _unpack(">Q", data, at), at + 8
+        at += 4 if flags & 0x2 else 0
+        self.values = list(defaults.get(track_id, (0, 0, 0)))  # duration, size and flags of a sample that does not say its own
+        for k, bit in enumerate((0x8, 0x10, 0x20)):
+            if flags & bit:
+                (self.values[k],), at = _unpack(">I", data, at), at + 4
+        self.base = self.end = base
+
+    def run(self, data: bytes, at: int, size: int) -> None:
+        """The samples of a trun box, whose body is at ``at``."""
+        word, n = _unpack(">II", data, at)
+        flags, at = word & 0xFFFFFF, at + 8
+        if flags & 0x1:
+            self.end, at = self.base + _unpack(">i", data, at)[0], at + 4
+        first = None
+        if flags & 0x4:
+            (first,), at = _unpack(">I", data, at), at + 4
+        fields = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+        width = sum(fields)
+        if len(data) < at + 4 * width * n or not width and n * max(self.values[1], 1) > size:
+            raise Malformed("trun is cut short")
+        table = np.frombuffer(data, ">u4", width * n, at).astype(np.int64).reshape(n, width) if width else np.zeros((n, 0), np.int64)
+        own = iter(table.T)
+        duration, length, bits = (next(own) if given else np.full(n, value) for given, value in zip(fields, self.values))
+        if first is not None and n:
+            bits = np.append(first, bits[1:])
+        clock = self.track.clock if self.track.clock is not None else self.track.duration
+        ends = np.cumsum(duration)
+        self.track.runs.append((self.end + np.cumsum(length) - length, length, clock + ends - duration, bits & 0x10000 == 0))
+        self.end += int(length.sum())
+        self.track.clock = clock + int(ends[-1]) if n else clock
+
+
 def parse(data: bytes) -> tuple[str, float | None, list[Track]]:
     """Major brand, duration in seconds and the tracks of an ISO media file."""
     brand, duration, tracks, found = "", None, [], False
+    defaults: dict[int, tuple[int, ...]] = {}
+    start, behind, fragment = 0, None, None
     for _, kind, at, end in walk(data):
         if kind == b"ftyp":
             brand = data[at : at + 4].decode("latin-1")
@@ -219,6 +280,21 @@ def parse(data: bytes) -> tuple[str, float | None, list[Track]]:
         elif kind == b"mvhd":
             scale, ticks = _versioned(data, at)
             duration = ticks / scale if scale else None
+        elif kind == b"trex":
+            track_id, _, *values = _unpack(">5I", data, at + 4)
+            defaults[track_id] = tuple(values)
+        elif kind == b"moof":
+            start, behind, fragment = at - (8 if data[at - 4 : at] == b"moof" else 16), None, None
+        elif kind == b"traf":
+            behind, fragment = (fragment.end if fragment else behind), None
+        elif kind == b"tfhd":
+            fragment = Fragment(data, at, start, behind, tracks, defaults)
+        elif kind == b"tfdt" and fragment:
+            (fragment.track.clock,) = _unpack(">Q", data, at + 4) if data[at : at + 1] == b"\x01" else _unpack(">I", data, at + 4)
+        elif kind == b"trun":
+            if fragment is None:
+                raise Malformed("a run of samples without a track")
+            fragment.run(data, at, len(data))
         elif kind == b"trak":
             tracks.append(Track())
         elif not tracks:
@@ -269,7 +345,7 @@ def describe(data: bytes | None) -> dict | None:
             at = np.flatnonzero(key)
             scale = t.timescale or 1
             keyframes = [{"sample": s, "offset": o, "length": n, "seconds": k / scale} for s, o, n, k in zip(at.tolist(), offsets[at].tolist(), lengths[at].tolist(), times[at].tolist(), strict=True)]
-            found.append({"track_id": t.track_id, "handler": t.handler, "codec": t.codec, "seconds": t.duration / scale, "width": t.width, "height": t.height, "n_samples": len(offsets), "sample_bytes": int(lengths.sum()), "keyframes": keyframes})
+            found.append({"track_id": t.track_id, "handler": t.handler, "codec": t.codec, "seconds": t.ticks() / scale, "width": t.width, "height": t.height, "n_samples": len(offsets), "sample_bytes": int(lengths.sum()), "keyframes": keyframes})
         return {"brand": brand, "seconds": seconds, "tracks": found, "error": None}
     except Malformed as error:
         return {"brand": None, "seconds": None, "tracks": None, "error": str(error)}

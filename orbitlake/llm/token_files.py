@@ -137,7 +137,7 @@ class Segment:
 # Encoding
 
 #: Unicode white space, as the tokenizers' patterns have it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _byte_characters() -> list[str]:

@@ -109,6 +109,29 @@ def test_media_of_other_shapes():
     assert "deep" in media.describe(loop)["error"]
 
 
+def test_media_fragments():
+    """Samples of movie fragments: defaults of the track and the fragment, own sizes and flags, offsets from the fragment and going on behind it."""
+    mdia = media.box(b"mdia", media.full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 100, 0), bytes(4)), media.full(b"hdlr", 0, 0, bytes(4), b"soun", bytes(13)), media.box(b"minf", media.box(b"stbl", media.full(b"stsd", 0, 0, struct.pack(">I", 1), media.box(b"mp4a", bytes(28))))))
+    trak = media.box(b"trak", media.full(b"tkhd", 0, 0, struct.pack(">III", 0, 0, 7), bytes(68)), mdia)
+    mvex = media.box(b"mvex", media.full(b"trex", 0, 0, struct.pack(">5I", 7, 1, 10, 4, 0x10000)))
+    head = media.box(b"ftyp", b"iso5", bytes(4)) + media.box(b"moov", media.full(b"mvhd", 0, 0, struct.pack(">IIII", 0, 0, 100, 0), bytes(80)), trak, mvex)
+
+    def moof(offset):
+        one = media.full(b"trun", 0, 0x1 | 0x4 | 0x200, struct.pack(">Ii4I", 3, offset, 0, 5, 6, 7))
+        two = media.full(b"trun", 0, 0x400, struct.pack(">3I", 2, 0, 0x10000))
+        return media.box(b"moof", media.full(b"mfhd", 0, 0, bytes(4)), media.box(b"traf", media.full(b"tfhd", 0, 0x20000, struct.pack(">I", 7)), media.full(b"tfdt", 1, 0, struct.pack(">Q", 50)), one, two))
+
+    fragment = moof(len(moof(0)) + 8)
+    body = bytes(range(26))
+    data = head + fragment + media.box(b"mdat", body)
+    d = media.describe(data)
+    assert d["error"] is None and d["tracks"][0]["n_samples"] == 5 and d["tracks"][0]["seconds"] == 1.0 and d["tracks"][0]["track_id"] == 7
+    first = len(head) + len(fragment) + 8
+    assert [(k["sample"], k["offset"] - first, k["length"], k["seconds"]) for k in d["tracks"][0]["keyframes"]] == [(0, 0, 5, 0.5), (3, 18, 4, 0.8)]
+    assert media.sample_bytes(data) == body
+    assert media.describe(data[:-1])["error"] and media.describe(head.replace(struct.pack(">I", 7), struct.pack(">I", 8), 1) + fragment + media.box(b"mdat", body))["error"]
+
+
 # 2
 
 

@@ -173,13 +173,20 @@ def _tokenizer(path: str) -> UnitCache:
     plain = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.;:!?]?)").fullmatch
     visible = {b: c for b, c in enumerate(_byte_characters())}
     blank, feed = visible[32], model.encode("\n", add_special_tokens=False).ids
-    marks = {c: model.encode(c, add_special_tokens=False).ids for c in ",.;:!?"} | {"": []}
+    marks = {c: model.encode(c, add_special_tokens=False).ids for c in ",.;:!?"}
+    ends = {c: struct.pack(f"<{len(ids)}I", *ids) for c, ids in marks.items()}
     tokenize, pack = model.model.tokenize, struct.pack
 
     def encode_many(keys: list[str]) -> list[bytes]:
         out: list[bytes] = []
         others: list[tuple[int, str]] = []
+        stems: dict[str, bytes] = {}
         for k in keys:
+            if k[-1:] in ends:  # a word that is known without the mark behind it
+                stem = cache.known.get(k[:-1]) or stems.get(k[:-1])
+                if stem and plain(k):
+                    out.append(stem + ends[k[-1]])
+                    continue
             found = plain(k)
             if not found:
                 others.append((len(out), k[1:] if k.startswith(" ") else k if k.startswith("\n") else " " + k))
@@ -189,15 +196,18 @@ def _tokenizer(path: str) -> UnitCache:
             if not word.isascii():
                 word = word.encode().decode("latin-1").translate(visible)
             ids = [t.id for t in tokenize(word if line else blank + word)]
-            if line or mark:
-                ids = [*(feed if line else ()), *ids, *marks[mark]]
-            out.append(pack(f"<{len(ids)}I", *ids))
+            if line:
+                ids = [*feed, *ids]
+            made = pack(f"<{len(ids)}I", *ids)
+            stems[k[:-1] if mark else k] = made
+            out.append(made + ends[mark] if mark else made)
         for (at, _), e in zip(others, model.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
             ids = e.ids
             out[at] = pack(f"<{len(ids)}I", *ids)
         return out
 
-    return UnitCache(split, encode_many)
+    cache = UnitCache(split, encode_many)
+    return cache
 
 
 def default_tokenizer() -> str:

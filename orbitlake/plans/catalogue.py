@@ -449,13 +449,14 @@ def family_counts(spark, sf_dir):
     return summaries.value_counts(table(spark, sf_dir, "part").select(summaries.family(ids).alias("family")), ["family"])
 
 
-DIMS = [f"e{i}" for i in range(8)]
-VECTORS = "vecs AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
+WIDTH = 64  # components of an embedding
+DIMS = [f"e{i}" for i in range(WIDTH)]
+VECTORS = "vecs AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(WIDTH)) + " FROM embeddings)"
 LONG_VECTORS = f"{VECTORS}, long AS (UNPIVOT (SELECT label, {', '.join(DIMS)} FROM vecs) ON {', '.join(DIMS)} INTO NAME feature VALUE v)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(8)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(WIDTH)])
 
 
 @query("cluster_profile", f"WITH {LONG_VECTORS} SELECT label, feature, round(median(v), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, 0.0::DOUBLE AS nan_frac, count(*) AS n FROM long GROUP BY label, feature")
@@ -566,10 +567,10 @@ def seed_mix(spark, sf_dir):
 # The matrix
 
 
-@query("median_impute", f"WITH {VECTORS}, h AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE e0 END AS e0, e1 FROM vecs) SELECT vec_id, round(coalesce(e0, (SELECT median(e0) FROM h)), 6) AS e0, round(e1, 6) AS e1 FROM h")
+@query("median_impute", f"WITH {VECTORS}, h AS (SELECT * REPLACE (CASE WHEN vec_id % 3 = 0 THEN NULL ELSE e0 END AS e0) FROM vecs) SELECT vec_id, " + ", ".join(f"round(coalesce({d}, (SELECT median({d}) FROM h)), 6) AS {d}" for d in DIMS) + " FROM h")
 def median_impute(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.col("e0")).alias("e0"), "e1")
-    return rounded(M.impute(rows, ["e0", "e1"]))
+    rows = vectors(spark, sf_dir).drop("label").withColumn("e0", F.when(F.col("vec_id") % 3 != 0, F.col("e0")))
+    return rounded(M.impute(rows, DIMS))
 
 
 @query("signed_log", "WITH c AS (SELECT p_partkey, exp(p_size) AS wide, p_retailprice AS narrow FROM part), s AS (SELECT max(abs(wide)) / (min(abs(wide)) + 1e-10) > 1e6 AS big FROM c) SELECT p_partkey, round(CASE WHEN big THEN sign(wide) * ln(1 + abs(wide)) ELSE wide END, 6) AS wide, round(narrow, 6) AS narrow FROM c, s")
@@ -578,14 +579,17 @@ def signed_log(spark, sf_dir):
     return rounded(M.compress(rows, ["wide", "narrow"]))
 
 
-@query("robust_scale", f"WITH {VECTORS}, q AS (SELECT median(e0) AS m0, quantile_cont(e0, 0.75) - quantile_cont(e0, 0.25) AS i0, median(e1) AS m1, quantile_cont(e1, 0.75) - quantile_cont(e1, 0.25) AS i1 FROM vecs) SELECT vec_id, round((e0 - m0) / CASE WHEN i0 = 0 THEN 1 ELSE i0 END, 6) AS e0, round((e1 - m1) / CASE WHEN i1 = 0 THEN 1 ELSE i1 END, 6) AS e1 FROM vecs, q")
+QUARTILES = "q AS (SELECT " + ", ".join(f"median({d}) AS m_{d}, quantile_cont({d}, 0.75) - quantile_cont({d}, 0.25) AS i_{d}" for d in DIMS) + " FROM vecs)"
+
+
+@query("robust_scale", f"WITH {VECTORS}, {QUARTILES} SELECT vec_id, " + ", ".join(f"round(({d} - m_{d}) / CASE WHEN i_{d} = 0 THEN 1 ELSE i_{d} END, 6) AS {d}" for d in DIMS) + " FROM vecs, q")
 def robust_scale(spark, sf_dir):
-    return rounded(M.robust_scale(vectors(spark, sf_dir).select("vec_id", "e0", "e1"), ["e0", "e1"]))
+    return rounded(M.robust_scale(vectors(spark, sf_dir).drop("label"), DIMS))
 
 
-@query("correlations", f"WITH {VECTORS} SELECT " + ", ".join(f"round(corr(e0, e{i}), 6) AS r{i}" for i in range(1, 8)) + " FROM vecs")
+@query("correlations", f"WITH {VECTORS} SELECT " + ", ".join(f"round(corr(e0, e{i}), 6) AS r{i}" for i in range(1, WIDTH)) + " FROM vecs")
 def correlations(spark, sf_dir):
-    return rounded(vectors(spark, sf_dir).agg(*[F.corr("e0", f"e{i}").alias(f"r{i}") for i in range(1, 8)]))
+    return rounded(vectors(spark, sf_dir).agg(*[F.corr("e0", f"e{i}").alias(f"r{i}") for i in range(1, WIDTH)]))
 
 
 @query(
@@ -744,6 +748,14 @@ def isolation_outliers(spark, sf_dir):
 
 @query("projection_2d")
 def projection_2d(spark, sf_dir):
+    """t-SNE, the operator's default."""
+    from ..operators import clustering
+
+    return clustering.project_strata(_strata(spark, sf_dir), "strate", DIMS, "vec_id")
+
+
+@query("projection_pca")
+def projection_pca(spark, sf_dir):
     from ..operators import clustering
 
     return clustering.project_strata(_strata(spark, sf_dir), "strate", DIMS, "vec_id", method="pca")

@@ -18,6 +18,11 @@ import pyarrow as pa
 BLOCK, WINDOW = 1 << 20, 1 << 17
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: A-Z to a-z, and the bytes of terms in lower-cased text.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+IN_TERM = np.zeros(256, bool)
+IN_TERM[0x30:0x3A] = IN_TERM[0x61:0x7B] = IN_TERM[0x80:] = True
 
 #: An odd multiplier and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15 | 1
@@ -141,6 +146,21 @@ class Block:
         return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
 
 
+class TermBlock(Block):
+    """A block whose words are maximal runs of ASCII letters, digits and all of U+0080 and beyond, A-Z lower-cased.
+
+    Bytes from 0x80 on only occur in code points from U+0080 on, so here too
+    runs of bytes are runs of code points.
+    """
+
+    def __init__(self, lo: int, hi: int, data: np.ndarray, bounds: np.ndarray):
+        super().__init__(lo, hi, LOWER[data], bounds)
+
+    @cached_property
+    def in_word(self) -> np.ndarray:
+        return IN_TERM[self.data]
+
+
 def word_windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(hashes)
     if n < k:
@@ -153,12 +173,12 @@ def word_windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nda
     return mix(out), at
 
 
-def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[Block]:
+def blocks(texts: pa.Array, most: int = BLOCK, kind: type[Block] = Block) -> Iterator[Block]:
     """The documents of an Arrow array in blocks of about ``most`` bytes; a longer text is a block of its own."""
     data, offsets = buffers(texts)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
         hi = min(hi, lo + 4096)
-        yield Block(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield kind(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi

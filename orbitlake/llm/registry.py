@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .kd_sharding import op3_kd_sharding
+from .license_scan import op12_license_scan
 from .media import op1_media_columns
 from .near_duplicates import op10_near_duplicates
 from .passages import op9_repeated_passages
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeated_passages": op9_repeated_passages,
         "op10_near_duplicates": op10_near_duplicates,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_license_scan": op12_license_scan,
         "op13_ranked_search": op13_ranked_search,
     }
 

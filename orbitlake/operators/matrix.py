@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import EPS_SCALE
+from .quantiles import column_quantiles
 
 SKIPPED_PREFIXES = ("health_", "meta_")
 
@@ -28,11 +29,10 @@ def strata(df: DataFrame, atomics: DataFrame, trace: str = "f4_trace_J_mean") ->
 
 
 
-
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values become the column's median, or 0 if it has none; the exact median, as a column of the plan."""
-    medians = df.agg(*[F.percentile(c, 0.5).alias(f"__m{i}") for i, c in enumerate(columns)])
-    return df.crossJoin(F.broadcast(medians)).select(*[F.coalesce(F.col(c), F.col(f"__m{columns.index(c)}"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    """Missing values become the column's median, or 0 if it has none; the medians are exact and stand in the plan as numbers."""
+    medians = column_quantiles(df, columns, [0.5])
+    return df.select(*[F.coalesce(F.col(c), F.lit(medians.get(c, [0.0])[0])).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def signed_log(c: Column) -> Column:
@@ -48,14 +48,14 @@ def compress(df: DataFrame, columns: list[str], limit: float = 1e6) -> DataFrame
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - median) / IQR with exact percentiles; an IQR of 0 counts as 1."""
-    stats = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q{i}") for i, c in enumerate(columns)])
+    """(x - median) / IQR with exact quantiles; an IQR of 0 counts as 1, a column without values stays as it is."""
+    found = column_quantiles(df, columns, [0.25, 0.5, 0.75])
 
     def one(c: str) -> Column:
-        q = F.col(f"__q{columns.index(c)}")
-        return ((F.col(c) - q[1]) / F.when(q[2] - q[0] == 0, 1.0).otherwise(q[2] - q[0])).alias(c)
+        low, middle, high = found.get(c, [0.0, 0.0, 0.0])
+        return ((F.col(c) - F.lit(middle)) / F.lit(high - low if high != low else 1.0)).alias(c)
 
-    return df.crossJoin(F.broadcast(stats)).select(*[one(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[one(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def select_features(df: DataFrame, columns: list[str], protected: tuple[str, ...] = (), limit: float = 0.98) -> list[str]:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_on
+from .quantiles import quantiles as exact_quantiles
+
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
-    """(ids, feature, v): one row per value, as doubles."""
-    return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(ids, columns, "feature", "v")
+    """(ids, feature, v): one row per value, as doubles; text that is no number gives null."""
+    return df.select(*ids, *[F.col(c).try_cast("double").alias(c) for c in columns]).unpivot(ids, columns, "feature", "v")
 
 
 def value_counts(df: DataFrame, by: list[str]) -> DataFrame:
@@ -24,21 +27,29 @@ def top_per_group(df: DataFrame, group: str, item: str, k: int = 10) -> DataFram
 
 
 def _is(test: str) -> Column:
-    return {"nan": F.col("v").isNull() | F.isnan("v"), "inf": F.abs("v") == float("inf"), "valid": F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))}[test]
+    return {"nan": F.col("v").isNull() | F.isnan("v"), "inf": F.abs("v") == float("inf"), "valid": F.col("v").isNotNull() & ~F.isnan("v"), "finite": F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))}[test]
 
 
-def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: numbers of valid, missing and infinite values and, over the valid, mean, median, sample std and quartiles."""
-    long = unpivot(df, [], columns) if columns else df
-    v = F.when(_is("valid"), F.col("v"))
-    n = lambda t: F.sum(F.coalesce(_is(t), F.lit(False)).cast("int"))
-    made = long.groupBy("feature").agg(n("valid").alias("n_valid"), n("nan").alias("n_nan"), n("inf").alias("n_inf"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), _quartiles(v).alias("__q"))
-    return made.select("feature", "n_valid", "n_nan", "n_inf", "mean", F.get("__q", 1).alias("median"), "std", "min", "max", F.get("__q", 0).alias("q1"), F.get("__q", 2).alias("q3"))
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _with_quartiles(stats: DataFrame, long: DataFrame, by: list[str], name: str = "__q") -> DataFrame:
+    """``stats`` (one row for each ``by``) plus the exact quartiles of the values of ``long``."""
+    return join_on(stats, exact_quantiles(long, by, "v", QUARTILES, name), by, how="left")
 
 
-def _quartiles(v: Column) -> Column:
-    """Exact quartiles, from one count of the distinct values."""
-    return F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column: numbers of valid, missing and infinite values and, over the finite, mean, median, sample std and quartiles.
+
+    Infinities are valid and counted once more on their own; they have no place
+    in the statistics.  Text is read as numbers, what is none is missing.
+    """
+    long = unpivot(df, [], columns)
+    v = F.when(_is("finite"), F.col("v"))
+    n = lambda t: F.sum(F.coalesce(_is(t), F.lit(False)).cast("long"))
+    made = long.groupBy("feature").agg(n("valid").alias("n_valid"), n("nan").alias("n_nan"), n("inf").alias("n_inf"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    made = _with_quartiles(made, long.filter(_is("finite")), ["feature"])
+    return made.select("feature", "n_valid", "n_nan", "n_inf", "mean", F.get("__q", F.lit(1)).alias("median"), "std", "min", "max", F.get("__q", F.lit(0)).alias("q1"), F.get("__q", F.lit(2)).alias("q3"))
 
 
 def flag_stats(df: DataFrame, flag: Column) -> DataFrame:
@@ -49,7 +60,7 @@ def flag_stats(df: DataFrame, flag: Column) -> DataFrame:
 def group_stats(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Per group and feature: mean and sample std over finite values, shares of missing and infinite ones."""
     long = unpivot(df, [by], columns)
-    v = F.when(_is("valid"), F.col("v"))
+    v = F.when(_is("finite"), F.col("v"))
     rate = lambda t: F.avg(F.coalesce(_is(t), F.lit(False)).cast("double"))
     return long.groupBy(by, "feature").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), rate("nan").alias("nan_rate"), rate("inf").alias("inf_rate"), F.count("*").alias("n"))
 
@@ -66,15 +77,16 @@ def family(encoding_id: Column) -> Column:
 def cluster_profile(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
     """Per cluster and feature: median, IQR, mean, population std, share of missing values and rows."""
     long = unpivot(df, [cluster], columns)
-    v = F.when(_is("valid"), F.col("v"))
-    made = long.groupBy(cluster, "feature").agg(_quartiles(v).alias("__q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((~_is("valid")).cast("double")).alias("nan_frac"), F.count("*").alias("n"))
-    return made.select(cluster, "feature", F.get("__q", 1).alias("median"), (F.get("__q", 2) - F.get("__q", 0)).alias("iqr"), "mean", "std", "nan_frac", "n")
+    v = F.when(_is("finite"), F.col("v"))
+    made = long.groupBy(cluster, "feature").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((~_is("finite")).cast("double")).alias("nan_frac"), F.count("*").alias("n"))
+    made = _with_quartiles(made, long.filter(_is("finite")), [cluster, "feature"])
+    return made.select(cluster, "feature", F.get("__q", F.lit(1)).alias("median"), (F.get("__q", F.lit(2)) - F.get("__q", F.lit(0))).alias("iqr"), "mean", "std", "nan_frac", "n")
 
 
 def quartiles(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     long = unpivot(df, [by], columns)
-    made = long.groupBy(by, "feature").agg(_quartiles(F.col("v")).alias("__q"), F.count("v").alias("n"))
-    return made.select(by, "feature", F.get("__q", 1).alias("median"), F.get("__q", 0).alias("q1"), F.get("__q", 2).alias("q3"), "n")
+    made = _with_quartiles(long.groupBy(by, "feature").agg(F.count("v").alias("n")), long, [by, "feature"])
+    return made.select(by, "feature", F.get("__q", F.lit(1)).alias("median"), F.get("__q", F.lit(0)).alias("q1"), F.get("__q", F.lit(2)).alias("q3"), "n")
 
 
 def distribution(df: DataFrame, group: str, item: str) -> DataFrame:

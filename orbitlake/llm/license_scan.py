@@ -14,7 +14,7 @@ neighbours can follow one another are streamed word by word.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -204,60 +204,54 @@ class Scanner:
         return found, matches + [(first + len(words), t, place, n) for (t, place), n in going.items()]
 
 
-def chain(matches: list[tuple[int, int, int]], gap: int = GAP) -> tuple[int, int, int] | None:
-    """(words covered, start, end) of the best chain of one template's matches (text end, template end, length).
+def chains(matches: list[tuple[int, int, int]], gap: int = GAP) -> list[tuple[int, int, int]]:
+    """(words covered, start, end) of the best chain that ends with each of one template's matches (text end, template end, length).
 
     A match that overlaps the one before it, in the text or in the template,
     counts from behind both overlaps; at most ``gap`` words of the text lie
-    between two.  Ties: the chain that ends, then starts, first.
+    between two.  Among equal chains the one that starts last, the tightest, is best.
     """
     matches = sorted(matches)
     ends = [m[0] for m in matches]
     best: list[tuple[int, int]] = []
-    top = None
     for i, (end, place, length) in enumerate(matches):
-        covered, start = length, end - length
+        top = (length, end - length)
         for j in range(bisect_left(ends, end - length - gap), i):
             over = max(0, ends[j] - (end - length), matches[j][1] - (place - length))
-            if over < length and matches[j][1] < place and (-(best[j][0] + length - over), best[j][1]) < (-covered, start):
-                covered, start = best[j][0] + length - over, best[j][1]
-        best.append((covered, start))
-        if top is None or covered > top[0]:
-            top = (covered, start, end)
-    return top
+            if over < length and matches[j][1] < place:
+                top = max(top, (best[j][0] + length - over, best[j][1]))
+        best.append(top)
+    return [(covered, start, end) for (covered, start), end in zip(best, ends, strict=True)]
+
+
+def apart(spans: list[tuple], start: int, end: int) -> bool:
+    """Whether a span shares at most half of its words with each of those taken, which are (start, end, ...) in order; it is put among them by the caller."""
+    i = bisect_left(spans, (start,))
+    return all(2 * (min(end, s[1]) - max(start, s[0])) <= end - start for s in spans[max(0, i - 1) : i + 1])
 
 
 def covered_spans(scanner: Scanner, matches: list[tuple[int, int, int, int]], covered: float = COVERED, gap: int = GAP) -> tuple[list[dict], float]:
     """Template spans of a text from its long matches, and the greatest share of a notice that any chain covers.
 
-    Matches of a template more than ``gap`` words apart are chains of their own.
     Of spans that share most of their words, the one with more covered words
-    stays (ties: the greater share, then the earlier template): a text with one
-    version of a notice is not labelled with another.
+    stays (ties: the greater share, then the shorter, then the earlier template):
+    a text with one version of a notice is not labelled with another, and each
+    copy of a notice is a span.
     """
     by_template: dict[int, list[tuple[int, int, int]]] = {}
     for end, t, place, n in matches:
         by_template.setdefault(t, []).append((end, place, n))
     spans, score = [], 0.0
     for t, mine in by_template.items():
-        mine.sort()
-        group: list[tuple[int, int, int]] = []
-        for m in [*mine, None]:
-            if group and (m is None or m[0] - m[2] - group[-1][0] > gap):
-                n, start, end = chain(group, gap)
-                share = n / len(scanner.templates[t])
-                score = max(score, share)
-                if share >= covered:
-                    spans.append((-n, -share, t - scanner.n_phrases, start, end))
-                group = []
-            if m is not None:
-                group.append(m)
+        whole = len(scanner.templates[t])
+        for n, start, end in chains(mine, gap):
+            score = max(score, n / whole)
+            if n >= covered * whole:
+                spans.append((-n, -n / whole, end - start, t - scanner.n_phrases, start, end))
     kept: list[tuple[int, int, int, float]] = []
-    for _, share, t, start, end in sorted(spans):
-        i = bisect_left(kept, (start,))
-        beside = kept[max(0, i - 1) : i] + kept[i : i + 1]
-        if all(2 * (min(end, k[1]) - max(start, k[0])) <= end - start for k in beside):
-            kept.insert(i, (start, end, t, -share))
+    for _, share, _, t, start, end in sorted(spans):
+        if apart(kept, start, end):
+            insort(kept, (start, end, t, -share))
     return [{"label": scanner.labels[scanner.n_phrases + t], "template": t, "start": start, "end": end, "covered": share} for start, end, t, share in kept], score
 
 

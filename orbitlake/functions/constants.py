@@ -88,3 +88,13 @@ PHASIC = {"svn": "f2_von_neumann_entropy", "rank": "f1_effective_rank", "mode_as
 
 def c1_names() -> list[str]:
     return [f"{k}_{a}" for table in (AGG_MAP_A, AGG_MAP_B) for k, aggs in table.items() for a in aggs]
+
+# Why a feature says nothing about a run, and the features of each reason.
+NO_TRANSITION, ONE_TRANSITION, ONE_POINT, NO_PERIOD = "no transition", "fewer than two transitions", "fewer than two points", "no period"
+RUNTIME_NULL = {
+    "p1_estimated_period": NO_PERIOD,
+    "mask_t_first_norm": NO_TRANSITION,
+    "mask_t_last_norm": NO_TRANSITION,
+    "mask_mean_spacing_norm": ONE_TRANSITION,
+    **{f"phasic_{k}_{x}": ONE_POINT for k in PHASIC for x in ("n_reversals", "max_monotone_frac", "range_ratio")},
+}

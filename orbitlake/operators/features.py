@@ -48,7 +48,19 @@ def scalar_features(runs: DataFrame, by: list[str]) -> DataFrame:
     parts += lagged
     out = reduce(lambda left, right: left.join(right, by, "left"), parts, runs)
     out = out.withColumn("f6_causal_asymmetry_index", sum(F.abs(n) for n in C.LAGGED_PAIRS) / len(C.LAGGED_PAIRS))
-    return out.withColumns(mask_features())
+    return runtime_null(out.withColumns(mask_features()))
+
+
+def runtime_null(df: DataFrame, transitions: str = "mask_n_transitions", points: str = "meta_n_svd", period: str = "p1_estimated_period") -> DataFrame:
+    """Features that say nothing about a run become null: places of a mask without transitions, spacings of fewer than two, orders of fewer than two points.
+
+    Columns that ``df`` lacks are skipped; a null count counts as 0.
+    """
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rules = {C.NO_TRANSITION: count(transitions) == 0, C.ONE_TRANSITION: count(transitions) < 2, C.ONE_POINT: count(points) < 2, C.NO_PERIOD: F.col(period).isNull() | F.isnan(F.col(period).cast("double"))}
+    needs = {C.NO_TRANSITION: transitions, C.ONE_TRANSITION: transitions, C.ONE_POINT: points, C.NO_PERIOD: period}
+    new = {c: F.when(~rules[why], F.col(c)) for c, why in C.RUNTIME_NULL.items() if c in df.columns and needs[why] in df.columns}
+    return df.withColumns(new) if new else df
 
 
 def mask_features() -> dict[str, object]:

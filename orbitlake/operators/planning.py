@@ -7,10 +7,11 @@ import json
 import random
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .ordered import numbered
 
 AXIS = "id string, params string, rank int, rank_constraint string, differentiable boolean, is_composed boolean, weights array<double>"
 
@@ -125,9 +126,8 @@ def dry_run(runs: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, keys: list[str], order: list[str], size: int = C.BATCH) -> DataFrame:
-    """``df`` plus ``batch``: rows of a group numbered in chunks of ``size``."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("batch", F.floor((place - 1) / size))
+    """``df`` plus ``batch``: rows of a group numbered in chunks of ``size``; a group of any size is dealt to many tasks."""
+    return numbered(df, keys, order, "__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def peak_bytes(n_dof: Column, rank: Column, batch: Column, max_it: Column, differentiable: Column, element: int = 2, jvp: float = 4.0, density: float = 0.3) -> Column:

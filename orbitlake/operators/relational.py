@@ -105,14 +105,18 @@ def strict_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return known.filter(checked).drop("__known")
 
 
-def grid(df: DataFrame, rows: str, columns: str) -> DataFrame:
+def grid(df: DataFrame, rows: str, columns: str, status: str | None = None) -> DataFrame:
     """Every pair of a row and a column value with its number of rows; pairs without any are ``missing``.
 
-    The two lists of distinct values are dimensions of a design and small by nature.
+    With ``status`` a cell also has ``statuses``, the map of its statuses to
+    numbers of rows (null where it is missing).  The two lists of distinct
+    values are dimensions of a design and small by nature.
     """
-    counts = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
-    pairs = df.select(rows).distinct().crossJoin(df.select(columns).distinct())
-    return pairs.join(counts, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+    counted = df.groupBy(rows, columns, *([status] if status else [])).agg(F.count("*").alias("__n"))
+    cell = [F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(status).isNotNull(), F.struct(status, "__n"))))).alias("statuses")] if status else []
+    counts = counted.groupBy(rows, columns).agg(F.sum("__n").alias("n"), *cell)
+    pairs = counts.select(rows).distinct().crossJoin(counts.select(columns).distinct())
+    return pairs.join(counts, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"), *(["statuses"] if status else []))
 
 
 def overlap(df: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -18,6 +18,39 @@ def value_counts(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def whole_and_subset(df: DataFrame, by: str, subset: Column) -> DataFrame:
+    """Per group its rows and those of them in a subset, from one pass; a null test is not in it."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.coalesce(subset, F.lit(False)).cast("long")).alias("n_subset"))
+
+
+def count_map(df: DataFrame, by: list[str], item: str, name: str) -> DataFrame:
+    """(by, ``name``): per group a map from each item to its number of rows; null items are left out.
+
+    Rows are counted by group and item first, so a map is as large as a group
+    has different items, however many rows it has.
+    """
+    counts = df.groupBy(*by, item).agg(F.count("*").alias("__n"))
+    entries = F.collect_list(F.when(F.col(item).isNotNull(), F.struct(F.col(item), "__n")))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.sort_array(entries)).alias(name))
+
+
+def add_maps(a: Column, b: Column) -> Column:
+    """The counts of two maps added up; a null map is empty."""
+    whole = F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(whole)
+
+
+def shares(counts: Column) -> Column:
+    """A map of counts as one of shares of their sum."""
+    total = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.transform_values(counts, lambda _, n: n / total)
+
+
+def map_text(counts: Column) -> Column:
+    """A map as text, ``key:value`` in order of the keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+
+
 def top_per_group(df: DataFrame, group: str, item: str, k: int = 10) -> DataFrame:
     """The k most frequent items of each group with their share; ties by the item."""
     counts = df.groupBy(group, item).agg(F.count("*").alias("n"))
@@ -106,14 +139,21 @@ def coherence(df: DataFrame, group: str, item: str, pure: float = 0.7, mixed: fl
     return made.withColumns({"is_pure": F.col("dominant_fraction") > pure, "is_mixed": F.col("dominant_fraction") < mixed})
 
 
-def entity_profiles(df: DataFrame, entity: str, label: str, exploded: Column) -> DataFrame:
-    """Per entity: clustered runs (label >= 0), dominant cluster (ties: the least) with its share, and the share of explosions."""
+def entity_profiles(df: DataFrame, entity: str, label: str, exploded: Column, maps: dict[str, str] | None = None) -> DataFrame:
+    """Per entity: clustered runs (label >= 0), dominant cluster (ties: the least) with its share, and the share of explosions.
+
+    ``maps`` names map columns to add: (new column: counted column); a column
+    that is the label is counted over clustered runs only.
+    """
     clustered = df.filter(F.col(label) >= 0).groupBy(entity, label).agg(F.count("*").alias("n"))
     w = Window.partitionBy(entity)
     ranked = clustered.withColumns({"n_clustered": F.sum("n").over(w), "place": F.row_number().over(w.orderBy(F.desc("n"), label))})
     best = ranked.filter("place = 1").select(entity, "n_clustered", F.col(label).alias("dominant"), (F.col("n") / F.col("n_clustered")).alias("concentration"))
     whole = df.groupBy(entity).agg(F.count("*").alias("n_runs"), F.avg(F.coalesce(exploded, F.lit(False)).cast("double")).alias("explosion_rate"))
-    return whole.join(best, entity, "left").withColumn("n_clustered", F.coalesce("n_clustered", F.lit(0)))
+    out = whole.join(best, entity, "left").withColumn("n_clustered", F.coalesce("n_clustered", F.lit(0)))
+    for name, item in (maps or {}).items():
+        out = join_on(out, count_map(df.filter(F.col(label) >= 0) if item == label else df, [entity], item, name), [entity], how="left")
+    return out
 
 
 def universality(df: DataFrame, cluster: str, entity: str, least: float = 0.7, enforce_min: int | None = None, other: str | None = None) -> DataFrame:

@@ -82,6 +82,25 @@ def changepoint(obs: DataFrame, by: list[str]) -> DataFrame:
     return steps.groupBy(*by).agg(F.when(F.count("v") >= 3, at / F.greatest(F.count("*"), F.lit(1))).alias("changepoint_t_norm"))
 
 
+def settling(obs: DataFrame, by: list[str], share: float = 0.2) -> DataFrame:
+    """Where a run's signal settles: reducers, spread, slope, stationarity and share of small steps, from one pass over the run's rows."""
+    whole = Window.partitionBy(*by)
+    rows = _steps(obs, by).withColumn("__n", F.count("*").over(whole))
+    size = F.abs(F.col("d"))
+    rows = rows.withColumns({"__tail": F.greatest((F.col("__n") * F.lit(share)).cast("int"), F.lit(1)), "__m": F.percentile(size, 0.5).over(whole)})
+    v, t, made = F.col("v"), F.when(F.col("v").isNotNull(), F.col("t")), reducers()
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
+    gap = F.abs(F.avg(F.when(F.col("t") >= F.col("__n") - F.col("__tail"), v)) - F.avg(F.when(F.col("t") < F.col("__tail"), v)))
+    small = size < F.greatest(F.col("__m") * 0.1, F.lit(1e-10))
+    return rows.groupBy(*by).agg(
+        *[made[c].alias(c) for c in ("mean", "std", "final", "delta")],
+        (q[1] - q[0]).alias("iqr"),
+        F.when((F.count("v") >= 3) & (F.var_pop(t) > EPS), F.regr_slope("v", "t")).alias("slope"),
+        F.when(F.max("__n") >= 10, gap / (F.stddev_pop("v") + EPS)).alias("stat_delta"),
+        (F.sum(small.cast("int")) / F.greatest(F.count("d"), F.lit(1))).alias("plateau_frac"),
+    )
+
+
 def pnn(obs: DataFrame, by: list[str], share: float = 0.4) -> DataFrame:
     """``pnn40``: steps wider than 0.4 standard deviations among all length - 1 steps."""
     steps = _steps(obs, by).withColumn("__s", F.stddev_pop("v").over(Window.partitionBy(*by)))

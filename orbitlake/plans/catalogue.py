@@ -43,8 +43,9 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, t, v): the events of each user in order."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).alias("t"), F.col("value").alias("v"))
+    w = Window.partitionBy("run_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("v"))
+    return rows.select("run_id", (F.row_number().over(w) - 1).alias("t"), "v")
 
 
 OBS = "obs AS (SELECT user_id AS run_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS t, value AS v FROM events)"
@@ -185,21 +186,17 @@ def estimated_period(spark, sf_dir):
 )
 def flagship(spark, sf_dir):
     """Where a run's signal settles: its reducers, spread, slope, stationarity and share of small steps."""
-    obs = observations(spark, sf_dir)
-    parts = [timelines.aggregate_series(obs, RUN, ("mean", "std", "final", "delta")), timelines.iqr(obs, RUN), timelines.slope(obs, RUN), timelines.stationarity(obs, RUN), timelines.plateau(obs, RUN)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, RUN)
-    return rounded(out)
+    return rounded(timelines.settling(observations(spark, sf_dir), RUN))
 
 
 # Screening: norms and relative steps of the event values
 
 
-def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+def screening(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
+    """What statuses and regimes are made of, from ``runs`` (run_id, t, v) or the events of each user."""
     w = Window.partitionBy("run_id").orderBy("t")
     step = F.abs(F.col("v") - F.lag("v").over(w)) / (F.abs("v") + F.abs(F.lag("v").over(w)) + 1e-8)
-    obs = observations(spark, sf_dir).withColumns({"cos": F.coalesce(step, F.lit(0.0)), "delta": F.coalesce(F.abs(F.col("v") - F.lag("v").over(w)) / (F.abs("v") + 1e-8), F.lit(0.0))})
+    obs = (observations(spark, sf_dir) if runs is None else runs).withColumns({"cos": F.coalesce(step, F.lit(0.0)), "delta": F.coalesce(F.abs(F.col("v") - F.lag("v").over(w)) / (F.abs("v") + 1e-8), F.lit(0.0))})
     whole = Window.partitionBy("run_id")
     return obs.select("run_id", "t", F.col("v").alias("frob"), "cos", "delta", (F.abs("v") < float("inf")).alias("fin"), (F.stddev_pop("v").over(whole) / (F.avg(F.abs("v")).over(whole) + 1e-8)).alias("spread"))
 
@@ -371,7 +368,7 @@ def theta_compat(spark, sf_dir):
 )
 def status_by_subset(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("entity"), (F.col("o_totalprice") > 150000).alias("big"))
-    return rows.groupBy("entity").agg(F.count("*").alias("n_all"), F.coalesce(F.sum(F.col("big").cast("long")), F.lit(0)).alias("n_big"))
+    return summaries.whole_and_subset(rows, "entity", F.col("big")).select("entity", F.col("n").alias("n_all"), F.col("n_subset").alias("n_big"))
 
 
 @query(
@@ -388,6 +385,16 @@ def manifest_grid(spark, sf_dir):
     return relational.grid(rows, "a", "b")
 
 
+@query(
+    "manifest_statuses",
+    "WITH c AS (SELECT l_linenumber AS a, date_trunc('month', l_shipdate) AS b, l_linestatus || l_returnflag AS s, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT a, b, sum(n)::BIGINT AS n, string_agg(s || ':' || n, ',' ORDER BY s) AS statuses FROM c GROUP BY a, b) SELECT a, strftime(b, '%Y-%m') AS b, coalesce(n, 0)::BIGINT AS n, n IS NULL AS missing, statuses FROM (SELECT DISTINCT a FROM c) CROSS JOIN (SELECT DISTINCT b FROM c) LEFT JOIN g USING (a, b)",
+)
+def manifest_statuses(spark, sf_dir):
+    """Line numbers by month of shipping, with the statuses of every cell."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("a"), F.date_format("l_shipdate", "yyyy-MM").alias("b"), F.concat("l_linestatus", "l_returnflag").alias("s"))
+    return relational.grid(rows, "a", "b", "s").withColumn("statuses", summaries.map_text(F.col("statuses")))
+
+
 @query("structural_null", "SELECT vec_id, CASE WHEN label % 2 = 0 THEN NULL ELSE label END AS odd_label, CASE WHEN label = 3 THEN list_transform(embedding[1:3], lambda v: NULL::FLOAT) ELSE embedding[1:3] END AS head FROM embeddings")
 def structural_null(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("odd_label"), F.col("label").alias("k"), F.slice("embedding", 1, 3).alias("head"))
@@ -506,6 +513,29 @@ def entity_profiles(spark, sf_dir):
     return rounded(made.withColumn("verdict", summaries.verdict(F.col("explosion_rate"), F.col("concentration"), F.col("n_clustered"))))
 
 
+@query(
+    "entity_distributions",
+    f"""WITH {ENTITY}, s AS (SELECT entity, string_agg(status || ':' || n, ',' ORDER BY status) AS statuses FROM (SELECT entity, status, count(*) AS n FROM r GROUP BY ALL) GROUP BY entity), l AS (SELECT entity, string_agg(label || ':' || n, ',' ORDER BY label) AS clusters FROM c GROUP BY entity)
+    SELECT entity, n_runs, statuses, clusters FROM p LEFT JOIN s USING (entity) LEFT JOIN l USING (entity)""",
+)
+def entity_distributions(spark, sf_dir):
+    """How each entity's runs spread over statuses and clusters, as maps (here: as text)."""
+    made = summaries.entity_profiles(entities(spark, sf_dir), "entity", "label", F.col("status") == "F", maps={"statuses": "status", "clusters": "label"})
+    return made.select("entity", "n_runs", *[summaries.map_text(F.col(c)).alias(c) for c in ("statuses", "clusters")])
+
+
+@query(
+    "first_by_file",
+    "WITH u AS (SELECT 0 AS f, row_number() OVER () AS r, o_custkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT 1, row_number() OVER (), c_custkey, c_acctbal FROM customer) SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f, r) AS place FROM u) WHERE place = 1",
+)
+def first_by_file(spark, sf_dir):
+    """Two files with conflicting rows of the same keys: the first row in the order of files and rows stays."""
+    from ..sources import tables
+
+    rows = [tables.with_place(spark, 0, f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS k", "o_totalprice AS v", *tables.PLACE), tables.with_place(spark, 1, f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS k", "c_acctbal AS v", *tables.PLACE)]
+    return relational.first_by_key(relational.union_common(rows), ["k"], [F.col(c) for c in tables.PLACE]).select("k", "v")
+
+
 @query("universality", "WITH c AS (SELECT l_returnflag AS entity, l_linestatus AS cluster, count(*) AS n, count(DISTINCT l_linenumber) AS k FROM lineitem GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY entity) AS fraction FROM c) SELECT entity, cluster, n, round(fraction, 6) AS fraction FROM f WHERE fraction > 0.4 AND k >= 5")
 def universality(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("entity"), F.col("l_linestatus").alias("cluster"), F.col("l_linenumber").alias("line"))
@@ -639,8 +669,7 @@ def materialize_timelines(spark, sf_dir):
     from ..sources import tables
 
     rows = table(spark, sf_dir, "embeddings")
-    full = rows.select("vec_id", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"))
-    assert tables.series(full, ["embedding"]).columns == ["embedding"]
+    full = tables.series(rows, ["embedding"], keep=["vec_id"])
     return rounded(full.select("vec_id", F.posexplode("embedding").alias("t", "v")).withColumn("v", F.col("v").cast("double")))
 
 
@@ -670,9 +699,11 @@ def dry_run(spark, sf_dir):
 
 @query("runtime_null", f"WITH {OBS}, s AS (SELECT run_id, count(*) AS n, sum((v > 90)::INT) AS k, min(CASE WHEN v > 90 THEN t END) AS f FROM obs GROUP BY run_id) SELECT run_id, round(CASE WHEN k = 0 THEN NULL ELSE f / n END, 6) AS first_norm, round(CASE WHEN k < 2 THEN NULL ELSE k / n END, 6) AS spacing FROM s")
 def runtime_null(spark, sf_dir):
-    per = observations(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.sum((F.col("v") > 90).cast("int")).alias("k"), F.min(F.when(F.col("v") > 90, F.col("t"))).alias("f"))
-    made = per.select("run_id", "k", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("first_norm"), (F.col("k") / F.col("n")).alias("spacing"))
-    return rounded(relational.structural_null(made, {"first_norm": F.col("k") == 0, "spacing": F.col("k") < 2}).drop("k"))
+    from ..operators import features
+
+    per = observations(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.sum((F.col("v") > 90).cast("int")).alias("mask_n_transitions"), F.min(F.when(F.col("v") > 90, F.col("t"))).alias("f"))
+    made = per.select("run_id", "mask_n_transitions", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("mask_t_first_norm"), (F.col("mask_n_transitions") / F.col("n")).alias("mask_mean_spacing_norm"))
+    return rounded(features.runtime_null(made).select("run_id", F.col("mask_t_first_norm").alias("first_norm"), F.col("mask_mean_spacing_norm").alias("spacing")))
 
 
 @query("inclusion_profile", f"WITH {VECTORS}, c AS (SELECT label, corr(e0, e1) AS r, count(*) AS n FROM vecs GROUP BY label) SELECT label, round(r, 6) AS r, n FROM c")

@@ -6,12 +6,12 @@ algorithms have no SQL; tests hold them against brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import comparison, segments, similarity
+from ..operators import classify, comparison, relational, segments, similarity, summaries
 from ..streaming import recursive
-from .catalogue import OBS, RUN, STEPS, observations, query, rounded, table
+from .catalogue import MASK, OBS, RUN, SCREEN, STEPS, VALID, observations, query, rounded, screening, table
 
 
 def stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,3 +137,92 @@ def viability_frontiers(spark, sf_dir):
     """Where along time and price the orders of a priority stop being finished."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("entity"), (F.col("o_orderstatus") == "F").alias("ok"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("months"), F.floor(F.col("o_totalprice") / 20000).alias("price"))
     return rounded(comparison.frontiers(rows, "entity", ["months", "price"], F.col("ok")))
+
+
+# Cases that the tables do not hold by themselves: every status and regime, missing and infinite values.
+
+#: Seven shapes by a user's id: events as they are, hardly varying, exploding after half of the steps, infinite from step 20 on, a wave of 8 steps, steady growth, and one jump.
+SHAPES = 7
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir)
+    kind, t, v = F.pmod("run_id", F.lit(SHAPES)), F.col("t"), F.col("v")
+    half = F.floor(F.count("*").over(Window.partitionBy("run_id")) / 2)
+    shape = (
+        F.when(kind == 1, 100 + v * 1e-7)
+        .when(kind == 2, F.when(t < half, 1 + v * 1e-3).otherwise(F.exp((t - half) * 2.0)))
+        .when(kind == 3, F.when(t >= 20, float("inf")).otherwise(v))
+        .when(kind == 4, 50 + 40 * F.sin(t * 0.7853981633974483))
+        .when(kind == 5, 10 * F.pow(F.lit(1.05), t))
+        .when(kind == 6, F.when(t == 17, 900.0).otherwise(100 + v * 1e-3))
+        .otherwise(v)
+    )
+    return rows.select("run_id", "t", shape.alias("v"))
+
+
+#: The same in SQL; an infinite value is null there, as DuckDB's deviations fail on it, and marks the explosion.
+SHAPED = f"""raw AS (SELECT user_id AS run_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS t, count(*) OVER (PARTITION BY user_id) // 2 AS half, value AS v FROM events),
+obs AS (SELECT run_id, t, CASE run_id % {SHAPES} WHEN 1 THEN 100 + v * 1e-7 WHEN 2 THEN CASE WHEN t < half THEN 1 + v * 1e-3 ELSE exp((t - half) * 2.0::DOUBLE) END WHEN 3 THEN CASE WHEN t < 20 THEN v END
+  WHEN 4 THEN 50 + 40 * sin(t * 0.7853981633974483::DOUBLE) WHEN 5 THEN 10 * pow(1.05::DOUBLE, t) WHEN 6 THEN CASE WHEN t = 17 THEN 900 ELSE 100 + v * 1e-3 END ELSE v END AS v FROM raw)"""
+
+
+def _cases(sql: str) -> str:
+    """The catalogue's SQL over the shaped events, with the branch of explosions."""
+    out = sql.replace(OBS, SHAPED).replace("min(CASE WHEN frob > b * 1e9 THEN t END) AS over_,", "min(CASE WHEN frob > b * 1e9 THEN t END) AS over_, min(CASE WHEN frob IS NULL THEN t END) AS bad,")
+    out = out.replace("CASE WHEN flat < 1e-4 THEN 'COLLAPSED'", "CASE WHEN bad IS NOT NULL THEN 'EXPLOSION' WHEN flat < 1e-4 THEN 'COLLAPSED'")
+    return out.replace("(CASE WHEN NOT flat < 1e-4", "(CASE WHEN bad IS NOT NULL THEN bad WHEN NOT flat < 1e-4")
+
+
+@query("status_cases", _cases(f"WITH {SCREEN} SELECT * FROM st"))
+def status_cases(spark, sf_dir):
+    """Statuses of shaped events: all four occur."""
+    return classify.statuses(screening(spark, sf_dir, shaped(spark, sf_dir)), RUN)
+
+
+@query("regime_cases", _cases(f"WITH {VALID} SELECT run_id, run_status, t_effective, round(mean, 5) AS p1_cos_dissim_mean, nzc AS p1_n_zero_crossings, period AS p1_estimated_period, regime AS p1_regime_class FROM reg"))
+def regime_cases(spark, sf_dir):
+    """Regimes of shaped events: all five occur."""
+    made = classify.regimes(screening(spark, sf_dir, shaped(spark, sf_dir)), RUN)
+    return rounded(made.select("run_id", "run_status", "t_effective", "p1_cos_dissim_mean", "p1_n_zero_crossings", "p1_estimated_period", "p1_regime_class"), 5)
+
+
+@query("mask_cases", _cases(f"WITH {MASK} SELECT run_id, sum(mask::INT)::BIGINT AS n, min(t) FILTER (WHERE mask) AS first, max(t) FILTER (WHERE mask) AS last FROM masked GROUP BY run_id"))
+def mask_cases(spark, sf_dir):
+    """Masks of shaped events; explosions and collapsed runs have none."""
+    made = classify.masks(screening(spark, sf_dir, shaped(spark, sf_dir)), RUN)
+    return made.groupBy("run_id").agg(F.sum(F.col("mask").cast("long")).alias("n"), F.min(F.when(F.col("mask"), F.col("t"))).alias("first"), F.max(F.when(F.col("mask"), F.col("t"))).alias("last"))
+
+
+#: Line items of which the third have infinite discounts, the fourth NaN, the fifth none.
+SPOILT = "spoilt AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, CASE l_linenumber WHEN 3 THEN 'inf'::DOUBLE WHEN 4 THEN 'nan'::DOUBLE WHEN 5 THEN NULL ELSE l_discount END AS discount, CASE WHEN l_linenumber = 2 THEN '-inf'::DOUBLE ELSE l_tax END AS tax FROM lineitem), long AS (SELECT g, 'discount' AS feature, discount AS v FROM spoilt UNION ALL SELECT g, 'tax', tax FROM spoilt), f AS (SELECT *, CASE WHEN isfinite(v) THEN v END AS x FROM long)"
+
+
+def spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, inf, nan = F.col("l_linenumber"), F.lit(float("inf")), F.lit(float("nan"))
+    discount = F.when(line == 3, inf).when(line == 4, nan).when(line != 5, F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), discount.alias("discount"), F.when(line == 2, -inf).otherwise(F.col("l_tax")).alias("tax"))
+
+
+@query(
+    "feature_stats_cases",
+    f"""WITH {SPOILT} SELECT feature, count(*) FILTER (WHERE NOT isnan(v)) AS n_valid, count(*) FILTER (WHERE v IS NULL OR isnan(v)) AS n_nan, count(*) FILTER (WHERE isinf(v)) AS n_inf, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.75), 4) AS q3 FROM f GROUP BY feature""",
+)
+def feature_stats_cases(spark, sf_dir):
+    return rounded(summaries.column_stats(spoilt(spark, sf_dir), ["discount", "tax"]), 4)
+
+
+@query(
+    "group_summary_cases",
+    f"WITH {SPOILT} SELECT g, feature, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(avg((v IS NULL OR isnan(v))::INT), 4) AS nan_rate, round(avg(coalesce(isinf(v), false)::INT), 4) AS inf_rate, count(*) AS n FROM f GROUP BY g, feature",
+)
+def group_summary_cases(spark, sf_dir):
+    return rounded(summaries.group_stats(spoilt(spark, sf_dir), "g", ["discount", "tax"]), 4)
+
+
+@query(
+    "anomaly_cases",
+    f"WITH {SPOILT} SELECT l_orderkey, l_linenumber, (discount IS NULL OR isnan(discount))::INT + (tax IS NULL OR isnan(tax))::INT AS n_nan, coalesce(isinf(discount), false)::INT + coalesce(isinf(tax), false)::INT AS n_inf FROM spoilt WHERE l_linenumber BETWEEN 2 AND 5",
+)
+def anomaly_cases(spark, sf_dir):
+    return relational.anomalies(spoilt(spark, sf_dir), ["discount", "tax"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "n_nan", "n_inf")

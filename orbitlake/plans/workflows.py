@@ -21,12 +21,12 @@ def run_design(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
 
 
 def pool(spark: SparkSession, paths: list[str], pool_config: dict[str, Any], scope: dict[str, Any], keys: str = "ids") -> DataFrame:
-    """Run tables united, without exclusions and duplicates, in scope."""
-    runs = relational.exclude_ids(tables.read_runs(spark, *paths), pool_config.get("excluded", {}))
+    """Run tables united, without exclusions and duplicates (the first in the order of the files stays), in scope."""
+    runs = relational.exclude_ids(tables.read_in_order(spark, *paths), pool_config.get("excluded", {}))
     limits = pool_config.get("n_dof", {})
     runs = relational.range_filter(runs, "n_dof", limits.get("min"), limits.get("max"))
-    order = [F.col(c) for c in ("phase", "run_id") if c in runs.columns]
-    return relational.scope_filter(relational.dedup_runs(runs, keys, order), scope)
+    kept = relational.dedup_runs(runs, keys, [F.col(c) for c in tables.PLACE])
+    return relational.scope_filter(kept.drop(*tables.PLACE), scope)
 
 
 def verdict(runs: DataFrame, atomics_table: DataFrame, protected: tuple[str, ...] = (), least_runs: int = 5, aliases: bool = False) -> dict[str, Any]:

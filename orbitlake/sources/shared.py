@@ -14,7 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset and the master is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # executors of a local cluster have folders of their own
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="orbitlake-runs-")
         spark.conf.set("spark.checkpoint.dir", named)

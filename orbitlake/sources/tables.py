@@ -55,6 +55,28 @@ def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
     return nan_to_null(tables[0] if len(tables) == 1 else union_common(tables))
 
 
+#: Columns that :func:`read_in_order` adds.
+PLACE = ["source_file", "source_row"]
+
+
+def read_in_order(spark: SparkSession, *paths: str) -> DataFrame:
+    """:func:`read_runs` plus where each row stands: ``source_file`` (place of its path, then the file's name) and ``source_row`` (its place in the file).
+
+    Ordered by these two, rows come as from files read one after the other, so
+    the first of several equal runs is the same in every run of a job.
+    """
+    from ..operators.relational import union_common
+
+    return nan_to_null(union_common([with_place(spark, i, p) for i, p in enumerate(paths)]))
+
+
+def with_place(spark: SparkSession, place: int, path: str) -> DataFrame:
+    """The rows of one path with their PLACE; columns of these names are replaced."""
+    rows = spark.read.parquet(path)
+    kept = [c for c in rows.columns if c not in PLACE]
+    return rows.select(*kept, F.format_string("%06d:%s", F.lit(place), F.col("_metadata.file_path")).alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     numbers = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c, k in df.dtypes if k in ("float", "double")}
     return df.withColumns(numbers) if numbers else df
@@ -67,9 +89,9 @@ def features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[one(c) for c in columns])
 
 
-def series(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Timeline columns, empty arrays for nulls."""
-    return df.select(*[F.coalesce(c, F.array().cast(dict(df.dtypes)[c])).alias(c) for c in columns])
+def series(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Timeline columns, empty arrays for nulls, beside the columns to ``keep``."""
+    return df.select(*(keep or []), *[F.coalesce(c, F.array().cast(dict(df.dtypes)[c])).alias(c) for c in columns])
 
 
 def conform(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame:

@@ -345,10 +345,10 @@ def outliers_of_strata(df: DataFrame, by: str, columns: list[str], key: str, sha
     return _grouped(df, by, columns, key, fields, lambda x: pd.DataFrame(dict(zip(("is_outlier", "score"), outliers(x, share), strict=True))))
 
 
-def project_strata(df: DataFrame, by: str, columns: list[str], key: str, method: str = "tsne") -> DataFrame:
+def project_strata(df: DataFrame, by: str, columns: list[str], key: str, method: str = "tsne", most: int = TSNE_ROWS) -> DataFrame:
     """Two coordinates a row; ``method`` is ``tsne`` or ``pca`` (also what stands in for UMAP).
 
-    t-SNE draws TSNE_ROWS rows of a larger stratum with a fixed seed; the others have no coordinates.
+    t-SNE draws ``most`` rows of a larger stratum with a fixed seed; the others have no coordinates.
     """
     fields = [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
 
@@ -356,7 +356,7 @@ def project_strata(df: DataFrame, by: str, columns: list[str], key: str, method:
         if method != "tsne" or len(x) <= 5:
             z = pca(x, 2)
             return pd.DataFrame(np.pad(z, ((0, 0), (0, 2 - z.shape[1]))), columns=["x", "y"])
-        drawn = np.sort(np.random.RandomState(SEED).choice(len(x), TSNE_ROWS, replace=False)) if len(x) > TSNE_ROWS else np.arange(len(x))
+        drawn = np.sort(np.random.RandomState(SEED).choice(len(x), most, replace=False)) if len(x) > most else np.arange(len(x))
         out = pd.DataFrame({"x": [None] * len(x), "y": [None] * len(x)}, dtype=object)
         z = tsne(x[drawn])
         out.loc[drawn, "x"], out.loc[drawn, "y"] = z[:, 0], z[:, 1]

@@ -81,7 +81,7 @@ def select_features(df: DataFrame, columns: list[str], protected: tuple[str, ...
     return kept
 
 
-def matrix(df: DataFrame, columns: list[str], protected: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Imputed, compressed and scaled features, and those that are not redundant."""
-    made = robust_scale(compress(impute(df, columns), columns), columns)
-    return made, select_features(made, columns, protected)
+def matrix(df: DataFrame, columns: list[str], protected: tuple[str, ...] = (), limit: float = 0.98, log_limit: float = 1e6, select: bool = True) -> tuple[DataFrame, list[str]]:
+    """Imputed, compressed and scaled features, and those that are not redundant (all of them without ``select``)."""
+    made = robust_scale(compress(impute(df, columns), columns, log_limit), columns)
+    return made, select_features(made, columns, protected, limit) if select else list(columns)

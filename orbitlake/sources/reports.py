@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import filesystem
+
 
 def plain(value: Any) -> Any:
     """A value as JSON can hold it: NaN is null, infinities are text."""
@@ -26,9 +27,9 @@ def plain(value: Any) -> Any:
     return value if isinstance(value, (str, int, bool, type(None))) else str(value)
 
 
-def write_json(path: str | Path, value: Any) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(value), indent=2, ensure_ascii=False), encoding="utf-8")
+def write_json(spark: SparkSession, path: str, value: Any) -> None:
+    """A small result as JSON in any store that Spark reaches."""
+    filesystem.write_text(spark, path, json.dumps(plain(value), indent=2, ensure_ascii=False))
 
 
 def dump(df: DataFrame, path: str, axes: list[str], columns: list[str], sample: int | None = None, seed: int = 42) -> None:
@@ -39,10 +40,13 @@ def dump(df: DataFrame, path: str, axes: list[str], columns: list[str], sample:
     df.select(F.struct(*axes).alias("composition"), F.struct(*[value(c) for c in columns]).alias("features")).write.mode("overwrite").json(path)
 
 
-def text_report(strata: dict[str, dict]) -> str:
-    """Strata and their clusters as text, a paragraph each."""
+def text_report(strata: dict[str, dict], verbose: bool = False) -> str:
+    """Strata and their clusters as text, a paragraph each; ``verbose`` adds levels, cohesion and slots."""
     lines = []
     for name, s in strata.items():
         lines += [f"== {name}: {s['n_runs']} runs, {len(s['clusters'])} clusters, {s['n_noise']} unclustered =="]
         lines += [f"  {k}: {c['name']} ({c['n']} runs, {'; '.join(f'{q}: ' + ', '.join(a) for q, a in c['interpretation'].items())})" for k, c in s["clusters"].items()]
+        if verbose:
+            lines += [f"    {k}: level {c['level']}, cohesion {c['homogeneity']:.3f}, slots {', '.join(f'{t} {w:.2f}' for t, w in c['slots'].values()) or 'none'}" for k, c in s["clusters"].items()]
+            lines += [f"    features kept: {', '.join(s['features'])}"]
     return "\n".join(lines) + "\n"

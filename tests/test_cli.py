@@ -4,7 +4,8 @@ import yaml
 from pyspark.sql import functions as F
 
 from orbitlake.__main__ import main
-from orbitlake.sources import reports, tables
+from orbitlake.plans import workflows
+from orbitlake.sources import configs, reports, tables
 from orbitlake.streaming import live
 
 
@@ -19,11 +20,40 @@ def test_run_audit_verdict(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "audit" / "stats")).count() == 127
     (tmp_path / "pool.yaml").write_text("excluded: {gammas: [GAM-009]}\n")
     (tmp_path / "scope.yaml").write_text("scope: {rank_eff: 2, run_status: [OK, COLLAPSED]}\n")
-    main(["verdict", str(tmp_path / "verdict"), str(tmp_path / "runs"), "--pool", str(tmp_path / "pool.yaml"), "--scope", str(tmp_path / "scope.yaml")])
+    main(["verdict", str(tmp_path / "verdict"), str(tmp_path / "runs"), "--pool", str(tmp_path / "pool.yaml"), "--cfg", str(tmp_path / "scope.yaml"), "--plot", "--verbose"])
     found = json.loads((tmp_path / "verdict" / "verdict.json").read_text())
     # Runs that differ in parameters alone are one run by the default keys.
     assert set(found["strata"]) <= {"rank2_diff"} and "n_clusters" in found
     assert (tmp_path / "verdict" / "verdict.txt").exists()
+    for name, s in found["strata"].items():
+        points = spark.read.parquet(str(tmp_path / "verdict" / "plots" / name / "points"))
+        heat = spark.read.parquet(str(tmp_path / "verdict" / "plots" / name / "signature"))
+        assert points.count() == s["n_runs"] and heat.select("cluster").distinct().count() == len(s["clusters"])
+        assert all(set(p) >= {"clusters", "regimes", "statuses"} for ps in s["profiles"].values() for p in ps)
+    main(["dump", str(tmp_path / "dump"), str(tmp_path / "runs"), "--sample", "3"])
+    stats = json.loads((tmp_path / "dump" / "stats.json").read_text())
+    # 28 runs, 14 of which differ from another in parameters alone.
+    assert stats["n_observations"] == spark.read.json(str(tmp_path / "audit" / "manifest")).agg(F.sum("n")).first()[0] and len(stats["feature_stats"]) == 127
+    assert spark.read.json(str(tmp_path / "dump" / "rows")).count() == 3
+    manifest = spark.read.json(str(tmp_path / "audit" / "manifest")).filter("NOT missing")
+    assert all(sum(v for v in r["statuses"].asDict().values() if v) == r["n"] for r in manifest.collect())
+
+
+def test_first_run_by_file(spark, tmp_path):
+    """Conflicting copies of a run in two tables, one of several files: the first by path, then file, then row stays."""
+    schema = "gamma_id string, encoding_id string, phase string, v double"
+    spark.createDataFrame([("g1", "e", "b", 1.0), ("g2", "e", "b", 2.0), ("g1", "e", "b", 3.0)], schema).coalesce(1).write.parquet(str(tmp_path / "z"))
+    spark.createDataFrame([("g1", "e", "a", 4.0), ("g3", "e", "a", 5.0)], schema).coalesce(1).write.parquet(str(tmp_path / "a"))
+    for paths, expected in ((("z", "a"), {"g1": 1.0, "g2": 2.0, "g3": 5.0}), (("a", "z"), {"g1": 4.0, "g2": 2.0, "g3": 5.0})):
+        made = workflows.pool(spark, [str(tmp_path / p) for p in paths], {}, {})
+        assert {r["gamma_id"]: r["v"] for r in made.collect()} == expected and made.columns == sorted(schema.replace(" string", "").replace(" double", "").split(", "))
+
+
+def test_analysis_settings(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("scope: {modifiers: [M0], seeds: one}\northogonalization: {protected_features: [x], correlation_threshold: 0.9}\npeeling: {max_levels: 2, level_0: {metric: euclidean, selection: leaf}}\noutliers: {contamination: 0.2}\n")
+    made = configs.load_analysis(str(tmp_path / "a.yaml"), spark)
+    assert made["scope"] == {"modifier_id": ["M0"], "seeds": "one"} and made["protected"] == ("x",) and made["correlation"] == 0.9 and made["outliers"] == 0.2
+    assert made["peeling"] == {"levels": 2, "first": (("euclidean", "leaf", None),)} and configs.load_analysis(None)["correlation"] == 0.98
 
 
 def test_json_dump(spark, tmp_path):

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbitlake.operators import clustering, matrix, naming, relational, summaries
-from orbitlake.plans import workflows
+from orbitlake.operators import clustering, features, matrix, naming, ordered, relational, summaries
+from orbitlake.plans import extensions, workflows
 from orbitlake.sources import configs, reports
 
 
@@ -183,3 +183,44 @@ def test_stream(spark, tmp_path):
     q = live.status_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["run_status"]: r["n"] for r in spark.table("counts").collect()} == {"OK": 3, "EXPLOSION": 7}
+
+
+def test_places_in_a_hot_group(spark):
+    """Half of all rows in one group, null keys, ties: places are gapless in the group's order, and no range of rows holds much more than its share."""
+    rows = [("hot", int(i * 7919 % 5003), i) for i in range(5000)] + [(None if i % 3 == 0 else f"k{i % 40}", i % 17, 10_000 + i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, o int, id int").repartition(6)
+    got = ordered.numbered(df, ["k"], ["o"]).collect()
+    assert len(got) == len(rows) and {r["id"] for r in got} == {r[2] for r in rows}
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r["k"], []).append((r["place"], r["o"]))
+    for places in by_key.values():
+        places.sort()
+        assert [p for p, _ in places] == list(range(len(places))) and [o for _, o in places] == sorted(o for _, o in places)
+    ranged = df.repartitionByRange(4, "k", "o").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranged) < 0.45 * len(rows)
+    assert ordered.numbered(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_maps_of_counts(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), (None, "x")], "g string, s string")
+    got = {r["g"]: r["m"] for r in summaries.count_map(df, ["g"], "s", "m").collect()}
+    assert got == {"a": {"x": 2, "y": 1}, "b": {}, None: {"x": 1}}
+    two = spark.createDataFrame([({"x": 2, "y": 1}, {"y": 3, "z": 4}), (None, {"z": 1}), (None, None)], "a map<string,bigint>, b map<string,bigint>")
+    added = two.select(summaries.add_maps(F.col("a"), F.col("b")).alias("m"), summaries.shares(F.col("a")).alias("s"), summaries.map_text(F.col("b")).alias("t")).collect()
+    assert [r["m"] for r in added] == [{"x": 2, "y": 4, "z": 4}, {"z": 1}, None] and added[0]["t"] == "y:3,z:4" and abs(added[0]["s"]["x"] - 2 / 3) < 1e-12
+
+
+def test_runtime_nulls(spark):
+    columns = "mask_n_transitions double, meta_n_svd double, p1_estimated_period double, mask_t_first_norm double, mask_mean_spacing_norm double, phasic_svn_n_reversals double, other double"
+    df = spark.createDataFrame([(0.0, 0.0, None, 1.0, 1.0, 1.0, 1.0), (1.0, 1.0, 4.0, 1.0, 1.0, 1.0, 1.0), (2.0, 2.0, float("nan"), 1.0, 1.0, 1.0, 1.0), (None, None, 3.0, 1.0, 1.0, 1.0, 1.0)], columns)
+    got = [tuple(r)[2:] for r in features.runtime_null(df).collect()]
+    assert got == [(None, None, None, None, 1.0), (4.0, 1.0, None, None, 1.0), (None, 1.0, 1.0, 1.0, 1.0), (3.0, None, None, None, 1.0)]
+    assert features.runtime_null(df.select("mask_t_first_norm")).columns == ["mask_t_first_norm"]
+
+
+def test_cases_reach_every_status_and_regime(spark):
+    path = "/root/testdata/sf0.01"
+    found = extensions.regime_cases(spark, path).collect()
+    assert {r["run_status"] for r in found} == {"OK", "OK_TRUNCATED", "EXPLOSION", "COLLAPSED"}
+    assert {r["p1_regime_class"] for r in found} == {"FLAT", "OSCILLATING", "TRANSITIONAL", "EXPLOSIVE", "MIXED"}

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from orbitlake.streaming import recursive
+from orbitlake.streaming import recursive, sink
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -109,3 +109,28 @@ def test_idle_runs_are_given_up(rocks, tmp_path):
     finally:
         query.stop()
     assert seen["a"] == [2, 1]
+
+
+def test_flushed_runs_are_there_once(spark, tmp_path):
+    """A batch that runs again after its commit, and one whose task left files behind, add nothing; files are cut by rows."""
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "run_id long, v double"
+    arrive = lambda lo, hi: spark.range(lo, hi, 1, 2).selectExpr("id AS run_id", "id / 7.0D AS v").write.mode("append").parquet(source)
+
+    def drain():
+        query = sink.flush_runs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), out, state, rows=40, once=True)
+        query.awaitTermination()
+
+    arrive(0, 300)
+    drain()
+    assert sorted(r["run_id"] for r in sink.committed_runs(spark, out).collect()) == list(range(300))
+    sizes = [spark.read.parquet(str(p)).count() for p in (tmp_path / "out" / "data").glob("*.parquet")]
+    assert max(sizes) == 40 and len(sizes) >= 8
+    newest = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()  # as if killed between the sink's commit and the query's own
+    for crc in (tmp_path / "state" / "commits").glob(f".{newest.name}.crc"):
+        crc.unlink()
+    (tmp_path / "out" / "data" / "run-left.parquet").write_bytes(next((tmp_path / "out" / "data").glob("*.parquet")).read_bytes())
+    arrive(300, 350)
+    drain()
+    assert sorted(r["run_id"] for r in sink.committed_runs(spark, out).collect()) == list(range(350))

@@ -24,6 +24,7 @@ def scalar_features(runs: DataFrame, by: list[str]) -> DataFrame:
     timelines, partitioned by run and key alike, so that Spark reuses one
     exchange for them; null stands for what does not apply.
     """
+    runs = runs.repartition(*by)  # what groups by run, key or step stays in its run's task from here on
     keyed = [*by, "key"]
     a, b = timelines_long(runs, by, C.TIMELINES_A), timelines_long(runs, by, C.TIMELINES_B)
     parts = []

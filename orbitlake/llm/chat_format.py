@@ -92,13 +92,17 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     and the result parsed again.  A conversation that still differs stops the
     job (the grammar rules this out).  Rows are ordered by turn, then role and
     text (ties, repeated rows); null turns come first, a null role or text
-    counts as empty, rows with a null id form one conversation.  Extra columns
-    are dropped, so clashing names do no harm.  A conversation is one record
-    and is gathered whole; conversations spread over all tasks.
+    counts as empty.  A row with a null id belongs to no other row and is a
+    conversation of its own, so such rows are not gathered, however many there
+    are.  Extra columns are dropped, so clashing names do no harm.  A
+    conversation is one record and is gathered whole; conversations spread over
+    all tasks.
     """
     rows = df.select(F.col(conv).alias(conv), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("__row"))
     turns = F.transform(F.sort_array(F.collect_list("__row")), lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
-    made = rows.groupBy(conv).agg(turns.alias("__turns"))
+    made = rows.filter(F.col(conv).isNotNull()).groupBy(conv).agg(turns.alias("__turns"))
+    alone = rows.filter(F.col(conv).isNull()).select(conv, F.array(F.struct(F.col("__row.role").alias("role"), F.col("__row.text").alias("text"))).alias("__turns"))
+    made = made.unionByName(alone)
     made = made.withColumn("__plain", _render(F.col("__turns"), False))
     made = made.withColumn("escaped", ~_same(_parse(F.col("__plain")), F.col("__turns")))
     made = made.withColumn("formatted", F.when(F.col("escaped"), _render(F.col("__turns"), True)).otherwise(F.col("__plain")))
@@ -141,9 +145,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A turn's escapes add one character per control string; a conversation without any stays verbatim.
 OP6_SQL = r"""
 WITH rows_ AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized AS (
   SELECT *, length(role) + length(text) + 14 + len(regexp_extract_all(text, '<\\*/turn>')) + len(regexp_extract_all(text, '#\\*## '))
     + len(regexp_extract_all(role, '<\\*/turn>')) + len(regexp_extract_all(role, '#\\*## ')) + len(regexp_extract_all(role, ':\\* ')) AS chars
@@ -154,5 +158,5 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """

@@ -21,6 +21,8 @@ from .storage import stored
 
 #: Histogram bins of a node and pass; a cut is good enough if at most this part of a shard's bytes is off.
 BINS, CLOSE_ENOUGH = 512, 0.0005
+#: Levels of the tree that a pass follows for each row before the rows' nodes are stored anew.
+STORED_LEVELS = 3
 #: UTF-8 bytes of a text that one key compares (48 bits are exact in a double).
 PIECE = 6
 _LEAST_LOG = math.log(5e-324)
@@ -194,16 +196,21 @@ def kd_shards(df: DataFrame, size: str, dims: list[str], shards: int, ties: list
     rows = stored(keyed.withColumn(tie, hashed), "kd")
     for d in found:
         d.keys, d.bounds = [*d.keys, lambda: F.col(tie)], [*d.bounds, (0.0, 1.0)]
-    root, spans, parents = Node(0, shards), None, []
+    root, spans, depth = Node(0, shards), None, 0
     narrow = [tie, size, *dict.fromkeys([*[d.width for d in found], *[d.name for d in found if len(d.keys) > 3]])]
-    placed = rows.select(*narrow, F.lit(0).alias(node))
+    base, above = rows.select(*narrow, F.lit(0).alias(node)), [root]
+    placed = base
     while open_nodes := root.open():
         nodes = {n.first: n for n in open_nodes}
-        if root.children:  # the rows' nodes of this level, so that its passes need not follow the tree again
+        if root.children:
             at = F.col(node)
-            for parent in parents:
-                at = F.when(F.col(node) == parent.first, parent.assign()).otherwise(at)
-            placed = stored(placed.select(*narrow, at.alias(node)).filter(F.col(node).isin(*nodes)), "level")
+            for n in above:
+                at = F.when(F.col(node) == n.first, n.assign()).otherwise(at)
+            placed = base.select(*narrow, at.alias(node)).filter(F.col(node).isin(*nodes))
+            if depth % STORED_LEVELS == 0:  # the rows' nodes, so that later passes follow the tree from here on only
+                placed = base = stored(placed, "level")
+                above = open_nodes
+        depth += 1
         ends = [f(d.width).alias(f"{k}{i}") for i, d in enumerate(found) for k, f in (("min", F.min), ("max", F.max), ("known", F.count))]
         stats = placed.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("rows"), F.sum(size).cast("double").alias("all"), *ends).collect()  # one row per open node
         extent = lambda r, i: 0.0 if r[f"min{i}"] is None else r[f"max{i}"] / 2 - r[f"min{i}"] / 2
@@ -221,7 +228,6 @@ def kd_shards(df: DataFrame, size: str, dims: list[str], shards: int, ties: list
         for n in open_nodes:
             left = (n.leaves + 1) // 2
             n.children = [Node(n.first, left), Node(n.first + left, n.leaves - left)]
-        parents = open_nodes
     return rows.withColumn("shard", root.assign().cast("int")).drop(*[d.width for d in found], tie), root
 
 

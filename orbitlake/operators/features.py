@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -39,9 +39,8 @@ def scalar_features(runs: DataFrame, by: list[str]) -> DataFrame:
     for f, column in ((timelines.iqr, "iqr"), (timelines.plateau, "plateau_frac"), (timelines.half_shift, "cusum_delta"), (timelines.changepoint, "changepoint_t_norm")):
         parts.append(_pivot(f(temporal, keyed), by, {(k, column): f"temporal_{k}_{column}" for k in C.TEMPORAL}))
     parts.append(timelines.slope(only(["shannon_comp"]), by, "f2_entropy_production_rate"))
-    gather = lambda k: F.transform("mask_t_indices", lambda i: F.get(f"timeline_{k}", i))
-    at_mask = runs.withColumns({f"timeline_{k}": gather(k) for k in C.PHASIC.values() if k in C.TIMELINES_A})
-    masked = timelines_long(at_mask, by, tuple(C.PHASIC.values()))
+    masked = runs.withColumns({f"timeline_{k}": at_mask(F.col(f"timeline_{k}"), F.col("mask_t_indices")) for k in C.PHASIC.values() if k in C.TIMELINES_A})
+    masked = timelines_long(masked, by, tuple(C.PHASIC.values()))
     names = {(k, c): f"phasic_{n}_{c}" for n, k in C.PHASIC.items() for c in ("n_reversals", "max_monotone_frac", "range_ratio")}
     parts.append(_pivot(timelines.turns(masked, keyed), by, names))
     wide = a.groupBy(*by, "t").agg(*[F.max(F.when(F.col("key") == k, F.col("v"))).alias(k) for k in dict.fromkeys(x for p in C.LAGGED_PAIRS.values() for x in p)])
@@ -52,6 +51,11 @@ def scalar_features(runs: DataFrame, by: list[str]) -> DataFrame:
     return runtime_null(out.withColumns(mask_features()))
 
 
+def at_mask(series: Column, indices: Column) -> Column:
+    """The values of a series at the places of a mask; a place beyond its end gives null."""
+    return F.transform(indices, lambda i: F.get(series, i))
+
+
 def runtime_null(df: DataFrame, transitions: str = "mask_n_transitions", points: str = "meta_n_svd", period: str = "p1_estimated_period") -> DataFrame:
     """Features that say nothing about a run become null: places of a mask without transitions, spacings of fewer than two, orders of fewer than two points.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import EPS_SCALE
@@ -29,6 +29,23 @@ def strata(df: DataFrame, atomics: DataFrame, trace: str = "f4_trace_J_mean") ->
 
 
 
+def strata_in_order(df: DataFrame) -> DataFrame:
+    """(rank_eff, differentiable, strate, n, place): the strata of :func:`strata` with their rows, by rank, then those without derivatives first."""
+    found = df.groupBy("rank_eff", "differentiable", "strate").agg(F.count("*").alias("n"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy("rank_eff", "differentiable")))  # a few rows
+
+
+def correlations(df: DataFrame, first: str, others: list[str]) -> DataFrame:
+    """One row: the correlation of ``first`` with each other column, named r1, r2, ... in their order."""
+    return df.agg(*[F.corr(first, c).alias(f"r{i}") for i, c in enumerate(others, 1)])
+
+
+def correlation_by(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, r, n): the correlation of two columns in each group, null where one does not vary."""
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return df.groupBy(by).agg(r.alias("r"), F.count("*").alias("n"))
+
+
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values become the column's median, or 0 if it has none; the medians are exact and stand in the plan as numbers."""
     medians = column_quantiles(df, columns, [0.5])

@@ -109,13 +109,18 @@ def design(spark: SparkSession, config: dict[str, Any], registries: dict[str, di
     # A null seed is drawn here, once, and stands in the run table like any other.
     drawn = lambda s: random.SystemRandom().getrandbits(31) if s is None else int(s)
     seeds = lambda name: spark.createDataFrame([(drawn(s),) for s in listed(config.get(name), [None])], f"{name} bigint")
-    runs = gammas.join(F.broadcast(encodings), compatible(F.col("rank_constraint"), F.col("rank_eff")))
-    runs = runs.crossJoin(F.broadcast(sizes)).filter(small_enough(F.col("rank_eff"), F.col("n_dof")))
+    runs = product(gammas, F.broadcast(encodings), F.broadcast(sizes))
     for other in (modifiers, seeds("seed_CI"), seeds("seed_run")):
         runs = runs.crossJoin(F.broadcast(other))
     return runs.withColumns({"phase": F.lit(config.get("phase")), "max_it": F.lit(int(max_it[0])), "seed_run": seed_of_run(F.col("seed_run"), F.col("gamma_id"), F.col("encoding_id"))})
 
 
+def product(gammas: DataFrame, encodings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every gamma (``rank_constraint``) with every encoding (``rank_eff``) that it allows and every size (``n_dof``) that is not too large for it."""
+    runs = gammas.join(encodings, compatible(F.col("rank_constraint"), F.col("rank_eff")))
+    return runs.crossJoin(sizes).filter(small_enough(F.col("rank_eff"), F.col("n_dof")))
+
+
 def groups(runs: DataFrame) -> DataFrame:
     """The homogeneous groups of a design and their sizes."""
     return runs.groupBy("gamma_id", "rank_eff", "n_dof").agg(F.count("*").alias("n_runs"))
@@ -142,3 +147,14 @@ def split_size(batch: Column, peak: Column, budget: float, least: int = 1) -> Co
     """The largest batch, by halving, whose share of ``peak`` fits the budget."""
     halvings = F.greatest(F.ceil(F.log2(peak / F.lit(budget))), F.lit(0))
     return F.greatest(F.floor(batch / F.pow(F.lit(2.0), halvings)), F.lit(least)).cast("int")
+
+
+def split_jobs(jobs: DataFrame, batch: str, peak: Column, budget: float, least: int = 1) -> DataFrame:
+    """A row for every chunk of a job: ``jobs`` plus ``chunk``, ``first`` (its first run) and ``n_chunk`` (its runs).
+
+    A job of ``batch`` runs whose ``peak`` is over the budget is halved until its
+    share fits, and cut into chunks of that size; jobs without runs have none.
+    """
+    size = split_size(F.col(batch), peak, budget, least)
+    cut = jobs.withColumn("__size", size).filter(F.col(batch) > 0).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col(batch).cast("long") - 1, F.col("__size").cast("long"))))
+    return cut.select(*jobs.columns, F.floor(F.col("first") / F.col("__size")).alias("chunk"), "first", F.least(F.col("__size").cast("long"), F.col(batch) - F.col("first")).alias("n_chunk"))

@@ -130,3 +130,20 @@ def overlap(df: DataFrame, a: Column, b: Column) -> DataFrame:
         n(~x & y).alias("n_only_b"),
         F.when(n(x | y) == 0, 1.0).otherwise(n(x & y) / n(x | y)).alias("jaccard"),
     )
+
+
+def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows (all, if fewer) drawn by a hash of the seed and the keys, so that reruns agree; rows of equal keys are drawn in any order."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return df.orderBy(drawn, *keys).limit(n)
+
+
+def first_rows(df: DataFrame, order: list[str | Column], k: int) -> DataFrame:
+    """The first ``k`` rows in an order, each task keeping its own first ones only."""
+    return df.orderBy(*order).limit(k)
+
+
+def split_noise(df: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Clustered rows (label from 0 on), and the rest, which has no cluster (below 0 or null)."""
+    clustered = F.coalesce(F.col(label) >= 0, F.lit(False))
+    return df.filter(clustered), df.filter(~clustered)

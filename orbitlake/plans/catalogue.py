@@ -574,8 +574,7 @@ def design_expansion(spark, sf_dir):
     gammas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("gamma"), F.when(F.col("n_nationkey") % 3 == 0, "2").alias("rank_constraint"))
     encodings = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("encoding"), F.when(F.col("r_regionkey") % 2 == 0, 2).otherwise(3).alias("rank_eff"))
     sizes = spark.range(1).select(F.explode(F.array(F.lit(10), F.lit(50), F.lit(250))).alias("n_dof"))
-    runs = gammas.join(encodings, planning.compatible(F.col("rank_constraint"), F.col("rank_eff"))).crossJoin(sizes)
-    return runs.filter(planning.small_enough(F.col("rank_eff"), F.col("n_dof"))).select("gamma", "encoding", "n_dof", "rank_eff")
+    return planning.product(gammas, encodings, sizes).select("gamma", "encoding", "n_dof", "rank_eff")
 
 
 @query("batch_chunks", "SELECT l_returnflag, l_orderkey, l_linenumber, ((row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber) - 1) // 512)::BIGINT AS batch FROM lineitem")
@@ -619,7 +618,7 @@ def robust_scale(spark, sf_dir):
 
 @query("correlations", f"WITH {VECTORS} SELECT " + ", ".join(f"round(corr(e0, e{i}), 6) AS r{i}" for i in range(1, WIDTH)) + " FROM vecs")
 def correlations(spark, sf_dir):
-    return rounded(vectors(spark, sf_dir).agg(*[F.corr("e0", f"e{i}").alias(f"r{i}") for i in range(1, WIDTH)]))
+    return rounded(M.correlations(vectors(spark, sf_dir), "e0", DIMS[1:]))
 
 
 @query(
@@ -708,9 +707,7 @@ def runtime_null(spark, sf_dir):
 
 @query("inclusion_profile", f"WITH {VECTORS}, c AS (SELECT label, corr(e0, e1) AS r, count(*) AS n FROM vecs GROUP BY label) SELECT label, round(r, 6) AS r, n FROM c")
 def inclusion_profile(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    r = F.try_divide(F.covar_pop("e0", "e1"), F.stddev_pop("e0") * F.stddev_pop("e1"))
-    return rounded(rows.groupBy("label").agg(r.alias("r"), F.count("*").alias("n")))
+    return rounded(M.correlation_by(vectors(spark, sf_dir), "label", "e0", "e1"))
 
 
 # Numerical kernels and iterative algorithms: no SQL; tests hold them against closed forms and brute force.

@@ -6,12 +6,16 @@ algorithms have no SQL; tests hold them against brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import classify, comparison, relational, segments, similarity, summaries
+from ..operators import classify, comparison, features, planning, relational, segments, similarity, summaries
+from ..operators import matrix as M
+from ..sources import shared, tables
 from ..streaming import recursive
-from .catalogue import MASK, OBS, RUN, SCREEN, STEPS, VALID, observations, query, rounded, screening, table
+from . import workflows
+from .catalogue import MASK, OBS, RUN, SCREEN, STEPS, VALID, VECTORS, observations, query, rounded, screening, table, vectors
 
 
 def stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,3 +230,122 @@ def group_summary_cases(spark, sf_dir):
 )
 def anomaly_cases(spark, sf_dir):
     return relational.anomalies(spoilt(spark, sf_dir), ["discount", "tax"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "n_nan", "n_inf")
+
+
+# Planning, reading and choosing: operators of designs and run tables over the given tables.
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as jobs: brands are gammas, sizes n_dof; every third names its rank in its parameters, every fifth in its metadata."""
+    key = F.col("p_partkey")
+    params = F.when(key % 3 == 0, F.concat(F.lit('{"rank": '), (key % 2 + 2).cast("string"), F.lit("}"))).otherwise("{}")
+    rank = planning.effective_rank(F.when(key % 5 == 0, 2), params)
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gamma_id"), rank.alias("rank_eff"), F.col("p_size").alias("n_dof"), (key % 300 + 1).alias("batch"), (key % 2 == 0).alias("differentiable"))
+
+
+JOBS = "jobs AS (SELECT p_partkey, p_brand AS gamma_id, CASE WHEN p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 3 = 0 THEN p_partkey % 2 + 2 ELSE 3 END::INT AS rank_eff, p_size AS n_dof, p_partkey % 300 + 1 AS batch, p_partkey % 2 = 0 AS differentiable FROM part), peaks AS (SELECT *, batch * (greatest(pow(n_dof, rank_eff) * 2 * 3 + 100 * 8, pow(n_dof, rank_eff) * 2 * 3 + 100 * 52 + 8) + 400 + CASE WHEN differentiable THEN pow(n_dof, rank_eff) * 2 * 4 * 0.3 ELSE 0 END)::DOUBLE AS peak FROM jobs), sized AS (SELECT *, greatest(floor(batch / pow(2, greatest(ceil(log2(peak / 1e6)), 0))), 1)::BIGINT AS size FROM peaks)"
+
+
+@query("rank_params", f"WITH {JOBS} SELECT p_partkey, rank_eff FROM jobs")
+def rank_params(spark, sf_dir):
+    return jobs(spark, sf_dir).select("p_partkey", "rank_eff")
+
+
+@query("job_groups", f"WITH {JOBS} SELECT gamma_id, rank_eff, n_dof, count(*) AS n_runs FROM jobs GROUP BY ALL")
+def job_groups(spark, sf_dir):
+    return planning.groups(jobs(spark, sf_dir))
+
+
+def _peak() -> Column:
+    return planning.peak_bytes(F.col("n_dof"), F.col("rank_eff"), F.col("batch"), F.lit(100), F.col("differentiable"))
+
+
+@query("peak_bytes", f"WITH {JOBS} SELECT p_partkey, round(peak, 3) AS peak FROM peaks")
+def peak_bytes(spark, sf_dir):
+    return rounded(jobs(spark, sf_dir).select("p_partkey", _peak().alias("peak")), 3)
+
+
+@query("split_jobs", f"WITH {JOBS}, c AS (SELECT p_partkey, batch, size, unnest(range(0, batch, size)) AS first FROM sized) SELECT p_partkey, (first // size)::BIGINT AS chunk, first::BIGINT AS first, least(size, batch - first)::BIGINT AS n_chunk FROM c")
+def split_jobs(spark, sf_dir):
+    return planning.split_jobs(jobs(spark, sf_dir), "batch", _peak(), 1e6).select("p_partkey", "chunk", "first", "n_chunk")
+
+
+CONFORMED = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_mktsegment", T.StringType()), T.StructField("c_acctbal", T.FloatType()), T.StructField("seed_run", T.LongType()), T.StructField("phase", T.StringType()), T.StructField("timeline", T.ArrayType(T.FloatType()))])
+
+
+@query("conform_defaults", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment, round((CASE WHEN c_custkey % 5 = 0 THEN 'nan'::FLOAT ELSE c_acctbal::FLOAT END)::DOUBLE, 2) AS c_acctbal, -1::BIGINT AS seed_run, '' AS phase, 0::INT AS n FROM customer")
+def conform_defaults(spark, sf_dir):
+    """Rows in a schema that asks for columns they lack: empty texts, -1, NaN and empty arrays."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.when(key % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"))
+    made = tables.conform(rows, CONFORMED, strict=False)
+    return made.select("c_custkey", "c_mktsegment", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "seed_run", "phase", F.size("timeline").alias("n"))
+
+
+@query("conform_strict", "SELECT c_custkey::INT AS c_custkey, c_name, round(c_acctbal::FLOAT::DOUBLE, 2) AS c_acctbal FROM customer")
+def conform_strict(spark, sf_dir):
+    schema = T.StructType([T.StructField("c_custkey", T.IntegerType()), T.StructField("c_name", T.StringType()), T.StructField("c_acctbal", T.FloatType())])
+    return tables.conform(table(spark, sf_dir, "customer"), schema).select("c_custkey", "c_name", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"))
+
+
+@query("written_runs", "SELECT o_orderpriority AS phase, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def written_runs(spark, sf_dir):
+    """Orders appended to a run table, a folder for each phase, and read back."""
+    path = shared.new_path(spark, "written")
+    tables.write_runs(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "phase"), path, rows_per_file=5000)
+    return tables.read_runs(spark, path).groupBy("phase").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("values_at_mask", f"WITH {OBS}, a AS (SELECT run_id, list(v ORDER BY t) AS x, list(t ORDER BY t) FILTER (WHERE v > 60) AS places FROM obs GROUP BY run_id) SELECT run_id, len(places)::INT AS n, round(list_sum(list_transform(places, lambda i: x[i + 1])), 6) AS total FROM a WHERE places IS NOT NULL")
+def values_at_mask(spark, sf_dir):
+    """The values of each user's events at the steps where they are over 60."""
+    per = segments.series(observations(spark, sf_dir), RUN)
+    made = per.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda i: F.get("x", i) > 60)).withColumn("picked", features.at_mask(F.col("x"), F.col("at")))
+    return rounded(made.filter(F.size("at") > 0).select("run_id", F.size("picked").alias("n"), F.aggregate("picked", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+@query(
+    "mask_and_meta",
+    f"""WITH {OBS}, p AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, v > 60 AS m FROM obs), s AS (SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY run_id ORDER BY t), false) AS start FROM p)
+    SELECT run_id, sum(start::INT)::DOUBLE AS mask_n_transitions, round(min(t) FILTER (WHERE m) / max(n), 6) AS mask_t_first_norm, round(max(v) FILTER (WHERE m), 6) AS mask_max_amplitude, round(sum(m::INT) / max(n), 6) AS mask_coverage_frac, sum(m::INT)::DOUBLE AS meta_n_svd, round((arg_max(v, t) - arg_min(v, t)) / (max(n) + 1e-8), 6) AS meta_turbulence, max(n)::DOUBLE AS meta_t_effective FROM s GROUP BY run_id""",
+)
+def mask_and_meta(spark, sf_dir):
+    """Mask and meta features of users' events, masked where they are over 60."""
+    per = segments.series(observations(spark, sf_dir), RUN)
+    at = F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda i: F.get("x", i) > 60)
+    runs = per.select("run_id", F.col("x").alias("timeline_frob"), F.col("x").alias("timeline_cos_dissim"), at.alias("mask_t_indices"), F.size("x").alias("max_it"), F.size("x").alias("t_effective"))
+    made = features.runtime_null(runs.withColumns(features.mask_features()))
+    return rounded(made.select("run_id", "mask_n_transitions", "mask_t_first_norm", "mask_max_amplitude", "mask_coverage_frac", "meta_n_svd", "meta_turbulence", "meta_t_effective"))
+
+
+@query("noise_split", "SELECT (o_orderkey % 7) - 2 >= 0 AS clustered, count(*) AS n FROM orders GROUP BY 1")
+def noise_split(spark, sf_dir):
+    parts = relational.split_noise(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7 - 2).alias("label")))
+    counted = [p.agg(F.count("*").alias("n")).select(F.lit(c).alias("clustered"), "n") for p, c in zip(parts, (True, False), strict=True)]
+    return counted[0].unionByName(counted[1])
+
+
+@query("seeded_sample", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    """A hundred orders drawn by a seeded hash."""
+    return relational.seeded_sample(table(spark, sf_dir, "orders"), ["o_orderkey"], 100).select("o_orderkey", "o_orderstatus")
+
+
+@query("first_rows", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+def first_rows(spark, sf_dir):
+    """The ten customers with most money."""
+    return relational.first_rows(table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), "c_custkey"], 10).select("c_custkey", "c_acctbal")
+
+
+@query("strata_order", "WITH r AS (SELECT 2 + o_orderkey % 2 AS rank_eff, o_custkey % 3 = 0 AS d FROM orders) SELECT rank_eff::INT AS rank_eff, d AS differentiable, 'rank' || rank_eff || CASE WHEN d THEN '_diff' ELSE '_nodiff' END AS strate, count(*) AS n, (row_number() OVER (ORDER BY rank_eff, d))::INT AS place FROM r GROUP BY rank_eff, d")
+def strata_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("gamma_id"), (F.col("o_orderkey") % 2 + 2).cast("int").alias("rank_eff"), F.lit(None).cast("double").alias("trace"))
+    known = spark.range(3).select("id", (F.col("id") == 0).alias("differentiable"))
+    return M.strata_in_order(M.strata(rows, known, "trace"))
+
+
+@query("picture_centroids", f"WITH {VECTORS} SELECT label, round(median(e0), 6) AS x, round(median(e1), 6) AS y, count(*) AS n FROM vecs WHERE label >= 2 GROUP BY label")
+def picture_centroids(spark, sf_dir):
+    """Where the names of clusters stand in a picture of two components; labels under 2 are noise here."""
+    points = vectors(spark, sf_dir).select(F.when(F.col("label") >= 2, F.col("label")).otherwise(-1).alias("label"), F.col("e0").alias("x"), F.col("e1").alias("y"))
+    return rounded(workflows.centroids(points))

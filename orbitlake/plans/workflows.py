@@ -47,7 +47,7 @@ def verdict(runs: DataFrame, atomics_table: DataFrame, analysis: dict[str, Any]
     healthy, sick = relational.triage(runs)
     healthy = matrix.strata(healthy, atomics_table).persist()
     out: dict[str, Any] = {"strata": {}, "pathological": pathological(sick)}
-    sizes = healthy.groupBy("strate").agg(F.count("*").alias("n")).orderBy("strate").collect()
+    sizes = matrix.strata_in_order(healthy).orderBy("place").collect()
     for r in sizes:
         if r["n"] >= least_runs:
             out["strata"][r["strate"]] = _stratum(healthy.filter(F.col("strate") == r["strate"]), runs, analysis, aliases, plots) | {"n_runs": r["n"]}
@@ -91,7 +91,7 @@ def _stratum(rows: DataFrame, runs: DataFrame, analysis: dict[str, Any], aliases
     isolated = clustering.outliers_of_strata(made, "strate", kept, "run_id", analysis["outliers"]).drop("strate")
     joined = rows.join(labels, "run_id").persist()
     named = naming.name_clusters(joined, "label", names, aliases)
-    clustered = joined.filter("label >= 0")
+    clustered, loose = relational.split_noise(joined)
     regimes = {r["label"]: r for r in summaries.coherence(clustered, "label", "p1_regime_class").collect()}
     shares = {r["label"]: r for r in clustered.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("run_status") == "OK_TRUNCATED").cast("double")).alias("truncated"), F.max("level").alias("level"), F.max("homogeneity").alias("homogeneity")).collect()}
     clusters = {}
@@ -108,7 +108,7 @@ def _stratum(rows: DataFrame, runs: DataFrame, analysis: dict[str, Any], aliases
     flags = labels.join(isolated, "run_id")
     agreement = relational.overlap(flags, F.col("label") < 0, F.col("is_outlier")).first().asDict()
     gathered = lambda entity, other: [r.asDict() for r in summaries.universality(clustered, "label", entity, other=other).orderBy(F.desc("fraction"), entity).collect()]
-    residue = [r.asDict() for r in summaries.coherence(joined.filter("label < 0"), "label", "p1_regime_class").collect()]
+    residue = [r.asDict() for r in summaries.coherence(loose, "label", "p1_regime_class").collect()]
     noise = labels.filter("label < 0").count()
     pictures = {}
     if plots:

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import seeded_sample
 from . import filesystem
 
 
@@ -35,7 +36,7 @@ def write_json(spark: SparkSession, path: str, value: Any) -> None:
 def dump(df: DataFrame, path: str, axes: list[str], columns: list[str], sample: int | None = None, seed: int = 42) -> None:
     """Rows as JSON lines {composition, features}; ``sample`` takes that many, those first by a seeded hash."""
     if sample is not None:
-        df = df.orderBy(F.xxhash64(F.lit(seed), *[F.col(a).cast("string") for a in axes])).limit(sample)
+        df = seeded_sample(df, axes, sample, seed)
     value = lambda c: F.when(F.isnan(c), None).when(F.abs(c) == float("inf"), F.when(F.col(c) > 0, "inf").otherwise("-inf")).otherwise(F.col(c).cast("string")).alias(c)
     df.select(F.struct(*axes).alias("composition"), F.struct(*[value(c) for c in columns]).alias("features")).write.mode("overwrite").json(path)
 

@@ -29,9 +29,15 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver ends."""
+    path = f"{shared_dir(spark)}/orbitlake-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again: what is built on it neither computes it twice nor loses it with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/orbitlake-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, df.sparkSession, path)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,8 +13,8 @@ from .storage import stored
 WORD, MOST_REPEATS = "[^\\x20\\x09-\\x0D]+", 3
 #: Weights of the sources in code-point order, over and over.
 WEIGHTS = (1, 2, 3)
-#: A table of rates is broadcast up to this many bytes (of source names plus 64 a row); beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
+#: A table of sources and sizes is broadcast up to this many bytes (of source names plus 64 a row); beyond it the join shuffles, each row to one of SALTS.
+BROADCAST_BYTES, SALTS = 8 << 20, 16
 
 
 def words(text: Column) -> Column:
@@ -55,26 +55,54 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def size_classes(classes: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """(__source, __size, source_size, target, whole, share): how often documents of a source and size are taken, and the chance of one more.
+
+    ``classes`` is (__source, __size, __n).  A source's documents stand in order
+    of their sizes; place r of n has passed floor(r x fraction + offset) extra
+    copies, so a class of n documents gets that number behind it less that before
+    it.  The offset is a hash of seed and source, so a document's chance is the
+    fraction over all seeds, while sizes of any magnitude are taken evenly.
+    """
+    placed = running_sums(classes, ["__source", "__size"], {"__before": "__n"})
+    own = placed.groupBy("__source").agg(F.min("__before").alias("__first"))
+    per = rates.join(own.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumnRenamed("__source", "__s")
+    joined = placed.join(per, F.col("__source").eqNullSafe(F.col("__s")))
+    named = F.when(F.col("__source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("source:"), F.col("__source").cast("string")))
+    fraction, place, offset = F.col("rate") - F.floor("rate"), F.col("__before") - F.col("__first"), draw(named, seed)
+    extra = F.floor((place + F.col("__n")) * fraction + offset) - F.floor(place * fraction + offset)
+    return joined.select("__source", "__size", "source_size", "target", F.floor("rate").alias("whole"), (extra / F.col("__n")).alias("share"))
+
+
 def mix_sources(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 2024, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """``df`` plus ``size``, ``source_size``, ``target`` and ``copies``: how often the mix holds each document.
 
     copies = floor(rate) plus one with probability rate - floor(rate), decided
-    by a hash of seed and document id, so reruns and repeated rows agree.  Null
-    texts have size 0 (and are copied like any other of their source), null
-    sources are a source of their own, an empty table stays empty.  Columns of
-    ``df`` of the added names are replaced.
+    by a hash of seed and document id, so reruns and repeated rows agree.  The
+    draws are stratified: of a source's documents of one size, whose number is
+    known, a set number is due (:func:`size_classes`), and that number over
+    theirs is each one's chance.  A few very long documents are thus taken as
+    evenly as many short ones, and sources come near their targets.  Null texts
+    have size 0 (and are copied like any other of their source), null sources
+    are a source of their own, an empty table stays empty.  Columns of ``df`` of
+    the added names are replaced.
     """
     added = ["size", "source_size", "target", "copies"]
     base = df.drop(*[c for c in added if c in df.columns and c not in (doc_id, source, text)]).withColumn("size", words(F.col(text)))
-    rates = stored(source_rates(base.select(F.col(source).alias("__source"), "size"), "__source", "size", weights, most), "rates")
-    bound = rates.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 64), F.lit(0)).alias("b")).first()["b"]
-    own = {c: free_name(base, f"__mix_{c}") for c in rates.columns}
-    rates = rates.withColumnsRenamed(own)
+    classes = stored(base.groupBy(F.col(source).alias("__source"), F.col("size").alias("__size")).agg(F.count("*").alias("__n")), "classes")
+    rates = stored(source_rates(classes.select("__source", (F.col("__size") * F.col("__n")).alias("size")), "__source", "size", weights, most), "rates")
+    shares = stored(size_classes(classes, rates, seed), "shares")
+    bound = shares.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 64), F.lit(0)).alias("b")).first()["b"]
+    own = {c: free_name(base, f"__mix_{c}") for c in shares.columns}
+    shares, salt = shares.withColumnsRenamed(own), free_name(base, "__salt")
+    same = F.col(source).eqNullSafe(F.col(own["__source"])) & (F.col("size") == F.col(own["__size"]))
     if bound <= BROADCAST_BYTES:
-        rates = F.broadcast(rates)
-    joined = base.join(rates, F.col(source).eqNullSafe(F.col(own["__source"])))
-    rate = F.col(own["rate"])
-    copies = F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
+        joined = base.join(F.broadcast(shares), same)
+    else:  # a class that holds a third of all documents goes to SALTS tasks
+        other = free_name(base, "__mix_salt")
+        salted = shares.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.withColumn(salt, F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(salt) == F.col(other)))
+    copies = F.col(own["whole"]) + (draw(F.col(doc_id), seed) < F.col(own["share"])).cast("long")
     return joined.select(*base.columns, F.col(own["source_size"]).alias("source_size"), F.col(own["target"]).alias("target"), copies.alias("copies"))
 
 
@@ -104,10 +132,17 @@ WITH d AS (
   SELECT *, coalesce(sum(3 * source_size) FILTER (WHERE capped) OVER (), 0) AS taken_, coalesce(sum(weight) FILTER (WHERE NOT capped) OVER (), 0) AS open_ FROM marked
 ), rates AS (
   SELECT source, source_size, CASE WHEN capped OR open_ = 0 THEN (3 * source_size)::DOUBLE ELSE (total - taken_)::DOUBLE * weight::DOUBLE / open_::DOUBLE END AS target FROM leveled
+), classes AS (
+  SELECT d.source, d.size, count(*) AS n, any_value(r.source_size) AS source_size, any_value(r.target) AS target, any_value(CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END) AS rate
+  FROM d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source GROUP BY d.source, d.size
+), placed AS (
+  SELECT *, rate - floor(rate) AS fraction, sum(n) OVER (PARTITION BY source ORDER BY size)::BIGINT AS upto,
+    ('0x' || substr(md5('2024:' || coalesce('source:' || source, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS offset_ FROM classes
+), shares AS (
+  SELECT *, (floor(upto * fraction + offset_) - floor((upto - n) * fraction + offset_)) / n AS share FROM placed
 ), joined AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.rate, s.share, ('0x' || substr(md5('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source AND d.size = s.size
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM joined
+SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < share)::BIGINT))::BIGINT AS taken FROM joined
 """

@@ -176,6 +176,28 @@ def test_mix(spark, docs, empty):
     assert all(abs(r["n"] - r["t"]) < 0.03 * r["t"] for r in per)
 
 
+def test_mix_of_few_long_documents(spark, monkeypatch):
+    """Sizes over four magnitudes in sources of 250 documents come near their targets; chances are the fractions over seeds; the shuffled join gives the same rows."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"s{i % 4}" if i % 4 else None, "w " * int(10 ** rng.uniform(0, 4))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).cache()
+    made = source_mixing.mix_sources(df).cache()
+    largest = {r["source"]: r["m"] for r in made.groupBy("source").agg(F.max("size").alias("m")).collect()}
+    for r in made.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("n")).collect():
+        assert abs(r["n"] - r["t"]) <= largest[r["source"]]
+    monkeypatch.setattr(source_mixing, "BROADCAST_BYTES", 0)
+    same = {r["doc_id"]: r["copies"] for r in source_mixing.mix_sources(df).collect()}
+    assert same == {r["doc_id"]: r["copies"] for r in made.collect()}
+    classes = spark.createDataFrame([("a", 5, 1), ("a", 9, 3), (None, 2, 4)], "__source string, __size long, __n long")
+    rates = spark.createDataFrame([("a", 32, 44.0, 1.375), (None, 8, 2.0, 0.25)], "__source string, source_size long, target double, rate double")
+    shares = defaultdict(list)
+    for seed in range(60):
+        for r in source_mixing.size_classes(classes, rates, seed).collect():
+            shares[r["__source"], r["__size"]].append(r["share"])
+            assert 0 <= r["share"] <= 1 and r["whole"] == (1 if r["__source"] else 0)
+    assert abs(np.mean(shares["a", 5]) - 0.375) < 0.2 and abs(np.mean(shares["a", 9]) - 0.375) < 0.1 and set(shares[None, 2]) == {0.25}
+
+
 # 3
 
 

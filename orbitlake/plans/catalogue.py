@@ -726,14 +726,31 @@ def tensor_spectral_b(spark, sf_dir):
 
     def step(frames):
         for frame in frames:
-            rows = [spectra.spectrum(np.asarray(x, float).reshape(8, 8)) for x in frame["embedding"]]
-            yield pd.concat([frame[["vec_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=list(names))], axis=1)
+            states = np.stack(frame["embedding"]).astype(float).reshape(-1, 8, 8)
+            yield pd.concat([frame[["vec_id"]].reset_index(drop=True), pd.DataFrame(spectra.spectra(states), columns=list(names))], axis=1)
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("embedding is not null")
     return rounded(rows.mapInPandas(step, "vec_id long, " + ", ".join(f"{n} double" for n in names)))
 
 
-@query("dmd_modes")
+#: The map of recursive least squares from (value, step) to the next, by run and step; ``fitted`` is after the last one.
+RECURRENCE = f"""{STEPS}, s AS (SELECT run_id, t, v AS y1, coalesce(d, 0) AS y2 FROM steps),
+    r(run_id, t, x1, x2, a11, a12, a21, a22, p11, p12, p22) AS (
+      SELECT run_id, t, y1, y2, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1e4::DOUBLE, 0.0::DOUBLE, 1e4::DOUBLE FROM s WHERE t = 0
+      UNION ALL SELECT run_id, t, y1, y2, a11 + (y1 - a11 * x1 - a12 * x2) * q1 / den, a12 + (y1 - a11 * x1 - a12 * x2) * q2 / den, a21 + (y2 - a21 * x1 - a22 * x2) * q1 / den, a22 + (y2 - a21 * x1 - a22 * x2) * q2 / den,
+        p11 - q1 * q1 / den, p12 - q1 * q2 / den, p22 - q2 * q2 / den
+      FROM (SELECT r.run_id, s.t, s.y1, s.y2, x1, x2, a11, a12, a21, a22, p11, p12, p22, p11 * x1 + p12 * x2 AS q1, p12 * x1 + p22 * x2 AS q2, 1 + x1 * (p11 * x1 + p12 * x2) + x2 * (p12 * x1 + p22 * x2) + 1e-8 AS den FROM r JOIN s ON s.run_id = r.run_id AND s.t = r.t + 1)),
+    fitted AS (SELECT run_id, t + 1::BIGINT AS steps, a11, a12, a21, a22 FROM r JOIN (SELECT run_id, max(t) AS t FROM s GROUP BY run_id) USING (run_id, t))"""
+
+
+@query(
+    "dmd_modes",
+    f"""WITH RECURSIVE {RECURRENCE}, m AS (SELECT *, (a11 + a22) / 2 AS h, pow((a11 + a22) / 2, 2) - (a11 * a22 - a12 * a21) AS disc FROM fitted),
+    e AS (SELECT *, CASE WHEN disc < 0 THEN sqrt(h * h - disc) ELSE abs(h + sqrt(greatest(disc, 0))) END AS l1, CASE WHEN disc < 0 THEN sqrt(h * h - disc) ELSE abs(h - sqrt(greatest(disc, 0))) END AS l2 FROM m),
+    f AS (SELECT *, l1 / (l1 + l2 + 1e-8) AS s1, l2 / (l1 + l2 + 1e-8) AS s2 FROM e)
+    SELECT run_id, round(CASE WHEN steps >= 3 THEN greatest(l1, l2) END, 4) AS f7_dmd_spectral_radius, CASE WHEN disc < 0 AND sqrt(-disc) > 1e-4 THEN 2 ELSE 0 END::DOUBLE AS f7_dmd_n_complex_pairs,
+      round(CASE WHEN steps >= 3 THEN -s1 * ln(s1 + 1e-8) - s2 * ln(s2 + 1e-8) END, 4) AS f7_dmd_spectral_entropy, round(CASE WHEN steps >= 3 THEN ln(greatest(l1, l2) + 1e-8) END, 4) AS f7_dmd_decay_rate FROM f""",
+)
 def dmd_modes(spark, sf_dir):
     """Dynamic modes of every user's events: the value and its step as observables."""
     import numpy as np
@@ -746,12 +763,8 @@ def dmd_modes(spark, sf_dir):
 
     def step(frames):
         for frame in frames:
-            found = []
-            for x in frame["x"]:
-                x = np.asarray(x, float)
-                series = np.stack([x, np.append(0.0, np.diff(x))], axis=1)
-                found.append(spectra.dynamic_modes(series, len(x)))
-            yield pd.concat([frame[["run_id"]].reset_index(drop=True), pd.DataFrame(found, columns=list(DMD_SCALARS))], axis=1)
+            series = [np.stack([x, np.append(0.0, np.diff(x))], axis=1) for x in map(np.asarray, frame["x"])]
+            yield pd.concat([frame[["run_id"]].reset_index(drop=True), pd.DataFrame(spectra.modes(series), columns=list(DMD_SCALARS))], axis=1)
 
     return rounded(rows.mapInPandas(step, "run_id long, " + ", ".join(f"{n} double" for n in DMD_SCALARS)), 4)
 

@@ -15,7 +15,7 @@ from ..operators import matrix as M
 from ..sources import shared, tables
 from ..streaming import recursive
 from . import workflows
-from .catalogue import MASK, OBS, RUN, SCREEN, STEPS, VALID, VECTORS, observations, query, rounded, screening, table, vectors
+from .catalogue import MASK, OBS, RECURRENCE, RUN, SCREEN, VALID, VECTORS, observations, query, rounded, screening, table, vectors
 
 
 def stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +27,7 @@ def stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rls_coefficients",
-    f"""WITH RECURSIVE {STEPS}, s AS (SELECT run_id, t, v AS y1, coalesce(d, 0) AS y2 FROM steps),
-    r(run_id, t, x1, x2, a11, a12, a21, a22, p11, p12, p22) AS (
-      SELECT run_id, t, y1, y2, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1e4::DOUBLE, 0.0::DOUBLE, 1e4::DOUBLE FROM s WHERE t = 0
-      UNION ALL SELECT run_id, t, y1, y2, a11 + (y1 - a11 * x1 - a12 * x2) * q1 / den, a12 + (y1 - a11 * x1 - a12 * x2) * q2 / den, a21 + (y2 - a21 * x1 - a22 * x2) * q1 / den, a22 + (y2 - a21 * x1 - a22 * x2) * q2 / den,
-        p11 - q1 * q1 / den, p12 - q1 * q2 / den, p22 - q2 * q2 / den
-      FROM (SELECT r.run_id, s.t, s.y1, s.y2, x1, x2, a11, a12, a21, a22, p11, p12, p22, p11 * x1 + p12 * x2 AS q1, p12 * x1 + p22 * x2 AS q2, 1 + x1 * (p11 * x1 + p12 * x2) + x2 * (p12 * x1 + p22 * x2) + 1e-8 AS den FROM r JOIN s ON s.run_id = r.run_id AND s.t = r.t + 1)),
-    n AS (SELECT run_id, max(t) AS t FROM s GROUP BY run_id)
-    SELECT run_id, t + 1::BIGINT AS steps, round(a11, 4) AS a00, round(a12, 4) AS a01, round(a21, 4) AS a10, round(a22, 4) AS a11 FROM r JOIN n USING (run_id, t)""",
+    f"WITH RECURSIVE {RECURRENCE} SELECT run_id, steps, round(a11, 4) AS a00, round(a12, 4) AS a01, round(a21, 4) AS a10, round(a22, 4) AS a11 FROM fitted",
 )
 def rls_coefficients(spark, sf_dir):
     """The map from one (value, step) to the next of every user, as the streaming operator has it after the last event."""

@@ -190,12 +190,13 @@ def test_mix_of_few_long_documents(spark, monkeypatch):
     assert same == {r["doc_id"]: r["copies"] for r in made.collect()}
     classes = spark.createDataFrame([("a", 5, 1), ("a", 9, 3), (None, 2, 4)], "__source string, __size long, __n long")
     rates = spark.createDataFrame([("a", 32, 44.0, 1.375), (None, 8, 2.0, 0.25)], "__source string, source_size long, target double, rate double")
-    shares = defaultdict(list)
-    for seed in range(60):
-        for r in source_mixing.size_classes(classes, rates, seed).collect():
-            shares[r["__source"], r["__size"]].append(r["share"])
-            assert 0 <= r["share"] <= 1 and r["whole"] == (1 if r["__source"] else 0)
-    assert abs(np.mean(shares["a", 5]) - 0.375) < 0.2 and abs(np.mean(shares["a", 9]) - 0.375) < 0.1 and set(shares[None, 2]) == {0.25}
+    due = lambda before, n, fraction, offset: (np.floor((before + n) * fraction + offset) - np.floor(before * fraction + offset)) / n
+    for seed in (1, 2):
+        offset = int(hashlib.md5(f"{seed}:source:a".encode()).hexdigest()[:13], 16) / 2**52
+        got = {(r["__source"], r["__size"]): (r["whole"], r["share"]) for r in source_mixing.size_classes(classes, rates, seed).collect()}
+        assert got == {("a", 5): (1, due(0, 1, 0.375, offset)), ("a", 9): (1, due(1, 3, 0.375, offset)), (None, 2): (0, 0.25)}
+    offsets = np.arange(0, 1, 1 / 4096)
+    assert abs(due(7, 1, 0.375, offsets).mean() - 0.375) < 1e-3 and abs(due(11, 5, 0.375, offsets).mean() - 0.375) < 1e-3
 
 
 # 3

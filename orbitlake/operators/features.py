@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,41 +10,33 @@ from . import timelines
 from .simulate import timelines_long
 
 
-def _pivot(long: DataFrame, by: list[str], names: dict[tuple[str, str], str]) -> DataFrame:
-    """One row per run from one per run and key; ``names`` maps (key, column) to the feature's name."""
-    return long.groupBy(*by).agg(*[F.max(F.when(F.col("key") == k, F.col(c))).alias(n) for (k, c), n in names.items()])
+#: Marks the key of a series at the places of the mask.
+MASKED = "@"
 
 
 def scalar_features(runs: DataFrame, by: list[str]) -> DataFrame:
     """Reducers, stationarity, texture, autocorrelation, temporal, ordinal, lagged and mask features.
 
-    ``by`` names the run.  Each family is a set of aggregates over the long
-    timelines, partitioned by run and key alike, so that Spark reuses one
-    exchange for them; null stands for what does not apply.
+    ``by`` names the run.  All series of a run become rows in one task, which
+    its windows, aggregates and pivot do not leave; lagged features come from
+    its arrays.  Null stands for what does not apply.
     """
-    runs = runs.repartition(*by)  # what groups by run, key or step stays in its run's task from here on
-    keyed = [*by, "key"]
-    a, b = timelines_long(runs, by, C.TIMELINES_A), timelines_long(runs, by, C.TIMELINES_B)
-    parts = []
-    for long, table in ((a, C.AGG_MAP_A), (b, C.AGG_MAP_B)):
-        names = {(k, r): f"{k}_{r}" for k, rs in table.items() for r in rs}
-        parts.append(_pivot(timelines.aggregate_series(long, keyed), by, names))
-    parts.append(_pivot(timelines.stationarity(a, keyed), by, {(k, "stat_delta"): f"stat_delta_{k}" for k in C.TIMELINES_A}))
-    only = lambda ks: a.filter(F.col("key").isin(*ks))
-    parts.append(_pivot(timelines.pnn(only(C.PNN.values()), keyed), by, {(k, "pnn40"): f"ps_pnn40_{n}" for n, k in C.PNN.items()}))
-    parts.append(_pivot(timelines.first_minimum(only(C.AUTOCORRELATED.values()), keyed), by, {(k, "first_min_ac"): f"ps_first_min_ac_{n}" for n, k in C.AUTOCORRELATED.items()}))
-    temporal = only(C.TEMPORAL)
-    for f, column in ((timelines.iqr, "iqr"), (timelines.plateau, "plateau_frac"), (timelines.half_shift, "cusum_delta"), (timelines.changepoint, "changepoint_t_norm")):
-        parts.append(_pivot(f(temporal, keyed), by, {(k, column): f"temporal_{k}_{column}" for k in C.TEMPORAL}))
-    parts.append(timelines.slope(only(["shannon_comp"]), by, "f2_entropy_production_rate"))
-    masked = runs.withColumns({f"timeline_{k}": at_mask(F.col(f"timeline_{k}"), F.col("mask_t_indices")) for k in C.PHASIC.values() if k in C.TIMELINES_A})
-    masked = timelines_long(masked, by, tuple(C.PHASIC.values()))
-    names = {(k, c): f"phasic_{n}_{c}" for n, k in C.PHASIC.items() for c in ("n_reversals", "max_monotone_frac", "range_ratio")}
-    parts.append(_pivot(timelines.turns(masked, keyed), by, names))
-    wide = a.groupBy(*by, "t").agg(*[F.max(F.when(F.col("key") == k, F.col("v"))).alias(k) for k in dict.fromkeys(x for p in C.LAGGED_PAIRS.values() for x in p)])
-    lagged = [timelines.lagged_asymmetry(wide, by, x, y, n) for n, (x, y) in C.LAGGED_PAIRS.items()]
-    parts += lagged
-    out = reduce(lambda left, right: left.join(right, by, "left"), parts, runs)
+    runs = runs.repartition(*by)
+    masked = {f"{MASKED}{n}": at_mask(F.col(f"timeline_{k}"), F.col("mask_t_indices")) if k in C.TIMELINES_A else F.col(f"timeline_{k}") for n, k in C.PHASIC.items()}
+    long = timelines_long(runs.withColumns({f"timeline_{k}": c for k, c in masked.items()}), by, (*C.TIMELINES_A, *C.TIMELINES_B, *masked))
+    long = long.filter(~F.col("key").startswith(MASKED) | F.col("v").isNotNull())
+    made = timelines.first_minimum_of(timelines.everything(long, [*by, "key"], F.col("key").isin(*C.TEMPORAL)))
+    names = {(k, r): f"{k}_{r}" for table in (C.AGG_MAP_A, C.AGG_MAP_B) for k, rs in table.items() for r in rs}
+    names |= {(k, "stat_delta"): f"stat_delta_{k}" for k in C.TIMELINES_A}
+    names |= {(k, "pnn40"): f"ps_pnn40_{n}" for n, k in C.PNN.items()}
+    names |= {(k, "first_min_ac"): f"ps_first_min_ac_{n}" for n, k in C.AUTOCORRELATED.items()}
+    names |= {(k, c): f"temporal_{k}_{c}" for k in C.TEMPORAL for c in ("iqr", "plateau_frac", "cusum_delta", "changepoint_t_norm")}
+    names |= {("shannon_comp", "slope"): "f2_entropy_production_rate"}
+    names |= {(f"{MASKED}{n}", c): f"phasic_{n}_{c}" for n in C.PHASIC for c in ("n_reversals", "max_monotone_frac", "range_ratio")}
+    wide = made.groupBy(*by).agg(*[F.max(F.when(F.col("key") == k, F.col(c))).alias(n) for (k, c), n in names.items()])
+    values = lambda k: F.transform(f"timeline_{k}", lambda v: F.when(~F.isnan(v), v.cast("double")))
+    lagged = {n: timelines.lagged_asymmetry_of(values(x), values(y)) for n, (x, y) in C.LAGGED_PAIRS.items()}
+    out = runs.join(wide, by, "left").withColumns(lagged)
     out = out.withColumn("f6_causal_asymmetry_index", sum(F.abs(n) for n in C.LAGGED_PAIRS) / len(C.LAGGED_PAIRS))
     return runtime_null(out.withColumns(mask_features()))
 

@@ -101,6 +101,44 @@ def settling(obs: DataFrame, by: list[str], share: float = 0.2) -> DataFrame:
     )
 
 
+def everything(obs: DataFrame, by: list[str], temporal: Column, share: float = 0.2, wide: float = 0.4) -> DataFrame:
+    """One row per series with all of the features above and its values in order as ``x``, from one pass over its rows.
+
+    ``by`` names the series.  Spread, plateaus, shifts and changepoints are made
+    where ``temporal`` holds, else null.
+    """
+    whole, w = Window.partitionBy(*by), along(by)
+    size, v, t = F.abs(F.col("d")), F.col("v"), F.col("t")
+    rows = _steps(obs, by).withColumns({"__n": F.count("*").over(whole), "__sd": F.stddev_pop("v").over(whole), "__next": F.abs(F.lead("v").over(w) - v), "__c": F.count("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__nv": F.count("v").over(whole), "__temporal": temporal})
+    sign = F.when(size < EPS, 0.0).otherwise(F.signum("d"))
+    middle = F.percentile(F.when(F.col("__temporal"), size), 0.5).over(whole)
+    rows = rows.withColumns({"__tail": F.greatest((F.col("__n") * F.lit(share)).cast("int"), F.lit(1)), "__m": middle, "__split": F.min(F.when(F.col("__c") >= F.floor(F.col("__nv") / 2), t)).over(whole), "__s": sign})
+    before = F.lag("__s").over(w)
+    rows = rows.withColumns({"__turn": (F.abs(F.col("__s") - before) > 0).cast("int"), "__run": F.sum(F.coalesce((F.col("__s") != before).cast("int"), F.lit(1))).over(w)})
+    rows = rows.withColumn("__in", F.when(F.coalesce(F.col("__s"), F.lit(0.0)) != 0, F.count("*").over(Window.partitionBy(*by, "__run"))).otherwise(0))
+    made, n = reducers(), F.count("*")
+    q = F.percentile(F.when(F.col("__temporal"), v), F.array(F.lit(0.25), F.lit(0.75)))
+    gap = F.abs(F.avg(F.when(t >= F.col("__n") - F.col("__tail"), v)) - F.avg(F.when(t < F.col("__tail"), v)))
+    half = lambda test: F.coalesce(F.avg(F.when(test, v)), F.lit(0.0))
+    at = F.min_by("t", F.when(F.col("__next").isNotNull(), F.struct(-F.col("__next"), t)))
+    small = size < F.greatest(F.col("__m") * 0.1, F.lit(1e-10))
+    only = lambda c: F.when(F.first("__temporal"), c)
+    return rows.groupBy(*by).agg(
+        *[made[c].alias(c) for c in REDUCERS],
+        F.when(F.max("__n") >= 10, gap / (F.stddev_pop("v") + EPS)).alias("stat_delta"),
+        F.when((F.count("v") >= 3) & (F.var_pop(F.when(v.isNotNull(), t)) > EPS), F.regr_slope("v", "t")).alias("slope"),
+        F.when(n > 1, F.sum(F.coalesce((size > F.lit(wide) * F.col("__sd")).cast("int"), F.lit(0))) / (n - 1)).alias("pnn40"),
+        (q[1] - q[0]).alias("iqr"),
+        only(F.sum(small.cast("int")) / F.greatest(F.count("d"), F.lit(1))).alias("plateau_frac"),
+        only(half(t > F.col("__split")) - half(t <= F.col("__split"))).alias("cusum_delta"),
+        only(F.when(F.count("v") >= 3, at / F.greatest(n, F.lit(1)))).alias("changepoint_t_norm"),
+        F.when(n >= 2, F.coalesce(F.sum("__turn"), F.lit(0))).alias("n_reversals"),
+        F.when(n == 2, F.lit(1.0)).when(n > 2, (F.greatest(F.max("__in"), F.lit(1)) + 1) / n).alias("max_monotone_frac"),
+        F.when(n >= 2, (F.max("v") - F.min("v")) / (F.avg(F.abs("v")) + EPS)).alias("range_ratio"),
+        F.transform(F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("t", "v")))), lambda p: p["v"]).alias("x"),
+    )
+
+
 def pnn(obs: DataFrame, by: list[str], share: float = 0.4) -> DataFrame:
     """``pnn40``: steps wider than 0.4 standard deviations among all length - 1 steps."""
     steps = _steps(obs, by).withColumn("__s", F.stddev_pop("v").over(Window.partitionBy(*by)))
@@ -151,6 +189,21 @@ def lagged_asymmetry(obs: DataFrame, by: list[str], a: str, b: str, name: str =
     return centred.groupBy(*by).agg(F.when(F.count("*") >= 2, F.abs(corr("__c0", "__c1")) - F.abs(corr("__c2", "__c3"))).alias(name))
 
 
+def lagged_asymmetry_of(a: Column, b: Column) -> Column:
+    """:func:`lagged_asymmetry` of two arrays of equal length, whose missing values are null."""
+    n = F.size(a) - 1
+
+    def corr(x: Column, y: Column) -> Column:
+        now, ahead = F.slice(x, 1, F.greatest(n, F.lit(0))), F.slice(y, 2, F.greatest(n, F.lit(0)))
+        total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda s, e: s + F.coalesce(f(e), F.lit(0.0)))
+        centred = lambda v: F.transform(v, lambda e: e - F.try_divide(total(v, lambda q: q), total(v, lambda q: F.when(q.isNotNull(), 1.0))))
+        p, q = centred(now), centred(ahead)
+        both = total(F.zip_with(p, q, lambda s, t: s * t), lambda e: e)
+        return both / (F.sqrt(total(p, lambda e: e * e) * total(q, lambda e: e * e)) + EPS)
+
+    return F.when(n >= 2, F.abs(corr(a, b)) - F.abs(corr(b, a)))
+
+
 def values_in_order(obs: DataFrame, by: list[str]) -> DataFrame:
     """One row per run with its values as an array ``x``, in order, nulls left out."""
     kept = obs.filter(F.col("v").isNotNull())
@@ -176,14 +229,18 @@ def first_minimum(obs: DataFrame, by: list[str]) -> DataFrame:
 
     Null under six values or without energy.
     """
-    rows = values_in_order(obs, by)
+    return first_minimum_of(values_in_order(obs, by)).select(*by, "first_min_ac")
+
+
+def first_minimum_of(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``first_min_ac`` of the values in their array ``x``; what the search needs goes."""
     half = F.floor(F.size("x") / 2).cast("int")
     made = autocorrelation(rows, F.when(half >= 3, F.sequence(F.lit(1), half - 1)))
     lag = lambda test: F.transform(F.filter(F.sequence(F.lit(1), F.size("ac")), test), lambda i: i)
     negative = F.get(lag(lambda i: F.element_at("ac", i) < 0), 0)
     upturn = F.get(lag(lambda i: (i < F.size("ac")) & (F.get("ac", i) > F.element_at("ac", i))), 0)
     least = F.least(F.coalesce(negative, half), F.coalesce(upturn, half))
-    return made.select(*by, F.when((half >= 3) & (F.col("energy") >= EPS), least).alias("first_min_ac"))
+    return made.select(*rows.columns, F.when((half >= 3) & (F.col("energy") >= EPS), least).alias("first_min_ac"))
 
 
 def period(obs: DataFrame, by: list[str], least_correlation: float = 0.3) -> DataFrame:

@@ -31,6 +31,8 @@ MOST = 50
 ITEM_BYTES = 4 << 20
 #: Postings whose treaps are built together, and intervals that are looked at together.
 POSTINGS, FRONTIER = 1 << 20, 1 << 14
+#: Pairs of an item and a document that a task looks at: the index is small, so its files alone would make few, long tasks.
+PAIRS = 4 << 20
 #: Parts of an item's candidates that are ranked apart first.
 SALTS = 16
 #: Stands for a null document id in comparisons: such documents come last among equal scores.
@@ -277,7 +279,8 @@ def _search_block(docs: DataFrame, block: Asked, k: int, doc_id: str, text: str)
             yield {"item_id": ids.take(pa.array(best.item)), "doc_id": pa.array(best.doc, mask=best.doc == LAST), "score": pa.array(best.score)}
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "doc_id", "score")])
-    rows = rows_to_rows(index, schema, step).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    tasks = -(-n_docs * len(block.ids) // PAIRS)
+    rows = rows_to_rows(index.repartition(tasks) if tasks > 1 else index, schema, step).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     order = [F.desc("score"), F.asc_nulls_last("doc_id")]
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "__salt").orderBy(*order))).filter(F.col("rank") <= k)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)).cast("int")).filter(F.col("rank") <= k)

@@ -229,7 +229,7 @@ ITEMS = [(1, "Term1, term2; TERM17"), (2, "term5"), (3, None), (4, "nothing of t
 @pytest.mark.parametrize(("k", "block", "postings", "frontier"), [(50, 4 << 20, 1 << 20, 1 << 14), (7, 64, 300, 5), (1, 4 << 20, 50, 64)])
 def test_search_against_scores_of_all(spark, docs, corpus, monkeypatch, k, block, postings, frontier):
     """Also with many blocks of items, small treaps and small frontiers."""
-    for name, value in (("ITEM_BYTES", block), ("POSTINGS", postings), ("FRONTIER", frontier)):
+    for name, value in (("ITEM_BYTES", block), ("POSTINGS", postings), ("FRONTIER", frontier), ("PAIRS", 500 if k == 7 else 4 << 20)):
         monkeypatch.setattr(ranked_search, name, value)
     items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, rank long")
     got = [tuple(r) for r in ranked_search.ranked_search(docs, items, k).collect()]

@@ -3,7 +3,9 @@
 The documents of a block share one suffix array: the first symbol of a word
 includes its document, so suffixes of different documents never share a prefix.
 Ranks are refined by prefix doubling on the suffixes that are still tied, and
-longest common prefixes of neighbours come from the ranks of every level.
+longest common prefixes of neighbours come from the ranks of every level; of a
+text of more than MOST_LEVELLED words, whose levels would fill the memory, from
+one walk along the text (Kasai's), which needs the last ranks only.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ FEWEST_WORDS, BASE_WINDOW, BASE_PERCENT = 10, 5, 20
 SHORTEST, PERCENT, LONGEST = 4, 50, 40
 #: Bytes of a block: suffix arrays of about this much text at once.
 BLOCK_BYTES = 1 << 20
+#: Words up to which the ranks of all levels are kept (8 bytes a word and level, 20 levels at most).
+MOST_LEVELLED = 1 << 20
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def suffix_ranks(symbols: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the prefixes of 1, 2, 4, ... symbols of every suffix; equal prefixes have equal ranks, the last are all distinct.
+def suffix_ranks(symbols: np.ndarray, keep: bool = True) -> list[np.ndarray]:
+    """Ranks of the prefixes of 1, 2, 4, ... symbols of every suffix; equal prefixes have equal ranks, the last are all distinct.  Without ``keep`` only the last.
 
     A rank is the place of the group's first suffix in sorted order, so ranks
     that are settled stay as they are and only tied groups are sorted again.
@@ -55,14 +59,38 @@ def suffix_ranks(symbols: np.ndarray) -> list[np.ndarray]:
         new_part[1:] |= second[1:] != second[:-1]
         part = np.maximum.accumulate(np.where(new_part, index, 0))
         refined = group + part - np.maximum.accumulate(np.where(new_group, index, 0))
-        rank = rank.copy()
+        if keep:
+            rank = rank.copy()
+            levels.append(rank)
         rank[tied] = refined
-        levels.append(rank)
         tied = tied[np.bincount(part, minlength=len(tied))[part] > 1]
         step *= 2
     return levels
 
 
+def common_prefixes(symbols: np.ndarray, rank: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """For every place in the suffix array, what its suffix has in common with the one before it; one walk along the text.
+
+    The next suffix of the text has at most one symbol less in common with its
+    neighbour, so symbols are compared about twice each.
+    """
+    n, same = len(symbols), 0
+    found = np.zeros(n, np.int64)
+    text, place, order = memoryview(symbols), memoryview(rank), memoryview(suffixes)
+    for i in range(n):
+        r = place[i]
+        if not r:
+            same = 0
+            continue
+        j = order[r - 1]
+        most = n - max(i, j)
+        while same < most and text[i + same] == text[j + same]:
+            same += 1
+        found[r] = same
+        same = max(same - 1, 0)
+    return found
+
+
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     """For every position, the length of the longest substring from there that starts at another position too.
 
@@ -72,9 +100,14 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if n < 2:
         return np.zeros(n, np.int64)
-    levels = suffix_ranks(symbols)
+    levels = suffix_ranks(symbols, n <= MOST_LEVELLED)
     suffixes = np.empty(n, np.int64)
     suffixes[levels[-1]] = np.arange(n)
+    longest, lcp = np.empty(n, np.int64), np.zeros(n + 1, np.int64)
+    if n > MOST_LEVELLED:
+        lcp[:-1] = common_prefixes(symbols, levels[-1], suffixes)
+        longest[suffixes] = np.maximum(lcp[:-1], lcp[1:])
+        return longest
     a, b = suffixes[:-1], suffixes[1:]
     pairs = np.flatnonzero(levels[0][a] == levels[0][b])
     a, b = a[pairs].copy(), b[pairs].copy()
@@ -85,9 +118,7 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
         same = inside & (ranks[np.minimum(a, n - 1)] == ranks[np.minimum(b, n - 1)])
         moved = np.where(same, 1 << level, 0)
         a, b, common = a + moved, b + moved, common + moved
-    lcp = np.zeros(n + 1, np.int64)
     lcp[pairs + 1] = common
-    longest = np.empty(n, np.int64)
     longest[suffixes] = np.maximum(lcp[:-1], lcp[1:])
     return longest
 

@@ -199,6 +199,17 @@ def test_mix_of_few_long_documents(spark, monkeypatch):
     assert abs(due(7, 1, 0.375, offsets).mean() - 0.375) < 1e-3 and abs(due(11, 5, 0.375, offsets).mean() - 0.375) < 1e-3
 
 
+def test_repeats_without_levels(monkeypatch):
+    """The walk along the text gives what the levels give, on random, periodic and constant texts."""
+    rng = np.random.default_rng(21)
+    texts = [rng.integers(0, 3, 400), np.tile(rng.integers(0, 9, 7), 60), np.zeros(150, int), np.arange(50), np.concatenate([rng.integers(0, 5, 200)] * 3), np.array([4])]
+    for symbols in (t.astype(np.uint64) for t in texts):
+        monkeypatch.setattr(repetition, "MOST_LEVELLED", 1 << 20)
+        want = repetition.longest_repeats(symbols)
+        monkeypatch.setattr(repetition, "MOST_LEVELLED", 0)
+        assert (repetition.longest_repeats(symbols) == want).all()
+
+
 # 3
 
 

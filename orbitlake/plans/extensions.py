@@ -266,13 +266,14 @@ def split_jobs(spark, sf_dir):
 CONFORMED = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_mktsegment", T.StringType()), T.StructField("c_acctbal", T.FloatType()), T.StructField("seed_run", T.LongType()), T.StructField("phase", T.StringType()), T.StructField("timeline", T.ArrayType(T.FloatType()))])
 
 
-@query("conform_defaults", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment, round((CASE WHEN c_custkey % 5 = 0 THEN 'nan'::FLOAT ELSE c_acctbal::FLOAT END)::DOUBLE, 2) AS c_acctbal, -1::BIGINT AS seed_run, '' AS phase, 0::INT AS n FROM customer")
+@query("conform_defaults", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment, round((CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_acctbal::FLOAT END)::DOUBLE, 2) AS c_acctbal, c_custkey % 5 = 0 AS is_nan, -1::BIGINT AS seed_run, '' AS phase, 0::INT AS n FROM customer")
 def conform_defaults(spark, sf_dir):
     """Rows in a schema that asks for columns they lack: empty texts, -1, NaN and empty arrays."""
     key = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.when(key % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"))
     made = tables.conform(rows, CONFORMED, strict=False)
-    return made.select("c_custkey", "c_mktsegment", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "seed_run", "phase", F.size("timeline").alias("n"))
+    balance = F.col("c_acctbal").cast("double")
+    return made.select("c_custkey", "c_mktsegment", F.round(F.nanvl(balance, F.lit(0.0)), 2).alias("c_acctbal"), F.isnan(balance).alias("is_nan"), "seed_run", "phase", F.size("timeline").alias("n"))
 
 
 @query("conform_strict", "SELECT c_custkey::INT AS c_custkey, c_name, round(c_acctbal::FLOAT::DOUBLE, 2) AS c_acctbal FROM customer")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ def test_against_sql(spark, name):
     for f in os.listdir(DATA):
         db.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
     got, want = registry.queries()[name](spark, DATA).toPandas(), db.sql(registry.oracle_sql()[name]).df()
-    show = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    show = lambda df: sorted(tuple("null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and show(got) == show(want)
 
 

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,37 @@ def test_cases_reach_every_status_and_regime(spark):
     found = extensions.regime_cases(spark, path).collect()
     assert {r["run_status"] for r in found} == {"OK", "OK_TRUNCATED", "EXPLOSION", "COLLAPSED"}
     assert {r["p1_regime_class"] for r in found} == {"FLAT", "OSCILLATING", "TRANSITIONAL", "EXPLOSIVE", "MIXED"}
+
+
+def test_trees_of_blocks_are_those_of_all_rows(spark, monkeypatch):
+    """Strata that no task holds: the same spanning trees, and clusters, as of all rows at once."""
+    from orbitlake.operators import density
+
+    monkeypatch.setattr(density, "ROWS", 64)
+    monkeypatch.setattr(density, "TOGETHER", 2)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.4, (n, 4)) for c, n in ((0, 130), (4, 90), (9, 70))] + [rng.uniform(-4, 12, (40, 4))])
+    x[200] = x[10]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "place long, x array<double>").repartition(5)
+    for metric in ("euclidean", "cosine"):
+        space = clustering.Space(x, metric)
+        core = clustering.core_distances(space, 5)
+        got = density.spanning_tree(rows, len(x), 4, metric == "cosine", 5, clustering._turned(metric == "cosine", None, None)).first()
+        tree = np.stack([np.frombuffer(got["a"], np.int64), np.frombuffer(got["b"], np.int64), np.frombuffer(got["w"])], axis=1)
+        reach = np.maximum(space.of(slice(None)), np.maximum(core[:, None], core[None, :]))
+        a, b = np.triu_indices(len(x), 1)
+        whole = density.forest(a, b, reach[a, b])
+        assert len(tree) == len(x) - 1 and np.allclose(tree[:, 2], clustering.spanning_tree(space, core)[:, 2]) and np.allclose(tree[:, 2], whole[2])
+    mean, covariance = density.moments(rows, 4)
+    assert np.allclose((x - mean) @ density.axes(covariance, 2).T, clustering.pca(x, 2))
+
+    monkeypatch.setattr(clustering, "WHOLE", 100)
+    both = np.concatenate([x, x[:60] + 50])
+    df = spark.createDataFrame([("big" if i < len(x) else None, 1000 - i, *map(float, r)) for i, r in enumerate(both)], "strate string, id int, a double, b double, c double, d double").repartition(3)
+    got = clustering.peel_strata(df, "strate", ["a", "b", "c", "d"], "id").toPandas().sort_values("id")
+    assert len(got) == len(both) and got.id.is_unique
+    for big, part in ((True, both[: len(x)]), (False, both[len(x) :])):
+        mine, truth = got[(got.strate == "big") == big], clustering.peel(part[::-1])
+        pairs = pd.crosstab(mine.label.to_numpy(), truth.label.to_numpy())
+        assert pairs.max(axis=1).sum() > 0.97 * len(part) and pairs.max(axis=0).sum() > 0.97 * len(part)
+        assert sorted(set(mine.label) - {-1}) == list(range(mine.label.max() + 1)) and (mine.level >= 0).equals(mine.label >= 0)

@@ -256,3 +256,27 @@ def test_frontiers(spark):
     assert (g["direction"], g["threshold"], g["most"], g["least"], g["n"], g["n_values"]) == ("down", 40.0, 1.0, 0.0, 141, 8)
     assert got["h", "n_dof"]["threshold"] is None and got[None, "rate"]["n"] == 1
     assert comparison.frontiers(df.limit(0), "gamma", ["n_dof"], F.col("ok")).count() == 0
+
+
+def test_warping_drops_only_what_is_too_far():
+    """Warped together in single precision: every series within the bound stays, and what a far bound lets pass is little."""
+    rng = np.random.default_rng(29)
+    rows = np.stack([similarity.shaped(rng.normal(size=70) + (np.sin(np.arange(70) / 5) * 2 if k % 3 else 0), 64) for k in range(300)])
+    columns = np.ascontiguousarray(rows.T, np.float32)
+    for q in (0, 1, 7):
+        d = similarity.warped(rows[q], rows, 6)
+        for most in (0.0, *np.quantile(d, [0.01, 0.1, 0.5, 1.0]), np.inf):
+            near = np.flatnonzero(d <= most)
+            got, roughly = similarity.warped_within(rows[q], columns, 6, most)
+            assert set(near) <= set(got) and (d[got] <= most + 0.1).all() and (d[got] <= similarity.widened(roughly)).all()
+        assert np.allclose(similarity.lower_bounds_of(rows[q], columns, 6), similarity.lower_bounds(rows[q], rows, 6), atol=1e-5)
+        assert (d <= similarity.upper_bounds(rows[q : q + 1], rows)[0] + 1e-6).all()
+
+
+def test_bounds_of_all_runs_reach_every_task(spark):
+    """Copies of a run in other tasks bound the search in each: hardly any other run is warped (without the shared bound each task warped its nearest ones)."""
+    rng = np.random.default_rng(31)
+    base = {f"b{k:03d}": np.cumsum(rng.normal(size=60)) for k in range(160)}
+    runs = base | {f"c{c}": base["b000"] for c in range(3)}
+    got = similarity.nearest_runs(obs_of(spark, runs), "run", F.col("run") == "b000").collect()
+    assert sorted((r["rank"], r["run"]) for r in got) == [(1, "c0"), (2, "c1"), (3, "c2")] and all(r["distance"] == 0 and r["n_runs"] == 162 and r["n_warped"] < 10 for r in got)

@@ -259,3 +259,27 @@ def test_trees_of_blocks_are_those_of_all_rows(spark, monkeypatch):
         pairs = pd.crosstab(mine.label.to_numpy(), truth.label.to_numpy())
         assert pairs.max(axis=1).sum() > 0.97 * len(part) and pairs.max(axis=0).sum() > 0.97 * len(part)
         assert sorted(set(mine.label) - {-1}) == list(range(mine.label.max() + 1)) and (mine.level >= 0).equals(mine.label >= 0)
+
+
+def test_projection_of_drawn_rows(spark):
+    """Only drawn rows reach a stratum's task, with the coordinates that they have by themselves; steps hold four matrices of their pairs at most."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([("big" if i < 70 else None, 500 - i, *map(float, r)) for i, r in enumerate(x)], "strate string, id int, a double, b double, c double, d double").repartition(4)
+    made = clustering.project_strata(df, "strate", ["a", "b", "c", "d"], "id", most=40)
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.toPandas().sort_values("id").reset_index(drop=True)
+    big, small = got[got.strate == "big"], got[got.strate.isna()]
+    drawn = np.sort(np.random.RandomState(clustering.SEED).choice(70, 40, replace=False))
+    assert len(big) == 70 and np.flatnonzero(big.x.notna()).tolist() == drawn.tolist()
+    alone = lambda part: clustering.tsne(pd.DataFrame({c: part[:, i] for i, c in enumerate("abcd")}).sort_values("a").sort_index().to_numpy(float)[np.arange(len(part))])
+    assert np.allclose(big[["x", "y"]].to_numpy(float)[drawn], alone(x[:70][::-1][drawn]))
+    assert np.allclose(small[["x", "y"]].to_numpy(float), alone(x[70:][::-1]))
+    n = 400
+    tracemalloc.start()
+    clustering.tsne(rng.normal(size=(n, 4)), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.5 * n * n * 8

@@ -261,6 +261,31 @@ def test_trees_of_blocks_are_those_of_all_rows(spark, monkeypatch):
         assert sorted(set(mine.label) - {-1}) == list(range(mine.label.max() + 1)) and (mine.level >= 0).equals(mine.label >= 0)
 
 
+def test_attempts_on_the_same_rows_share_their_distances(spark, monkeypatch):
+    """Nearest rows are looked for once while no cluster is taken out; trees of fewer of them, of far groups too, are those of all pairs."""
+    from orbitlake.operators import density
+
+    monkeypatch.setattr(density, "ROWS", 128)
+    written = []
+    monkeypatch.setattr(density, "materialised", lambda df, name, f=density.materialised: (written.append(name), f(df, name))[1])
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 1, (n, 3)) for c, n in ((0, 180), (40, 90), (90, 60))])
+    x[5:30] = x[4]  # copies
+    rows = spark.createDataFrame([(i, i, r.tolist()) for i, r in enumerate(x)], "id long, place long, x array<double>").repartition(3)
+    plan = clustering.Peeling(levels=1, base=2.0, most=2.0, first=(("euclidean", "leaf", None),))
+    made = clustering._peel_large(rows, "id", len(x), 3, plan)
+    assert made.count() == len(x) and made.filter("label >= 0").count() == 0
+    assert written.count("blocks") == 1
+    near = density.Near(rows, len(x), 3, False, 12, clustering._turned(False, None, None))
+    space = clustering.Space(x)
+    for k in (3, 12):
+        tree = near.tree(k).first()
+        a, b, w = np.frombuffer(tree["a"], np.int64), np.frombuffer(tree["b"], np.int64), np.frombuffer(tree["w"])
+        core = clustering.core_distances(space, k)
+        reach = np.maximum(np.sqrt(((x[a] - x[b]) ** 2).sum(axis=1)), np.maximum(core[a], core[b]))
+        assert len(w) == len(x) - 1 == len(density.forest(a, b, w)[0]) and np.allclose(w, reach, atol=1e-6) and np.allclose(w, clustering.spanning_tree(space, core)[:, 2], atol=1e-6)
+
+
 def test_projection_of_drawn_rows(spark):
     """Only drawn rows reach a stratum's task, with the coordinates that they have by themselves; steps hold four matrices of their pairs at most."""
     import tracemalloc

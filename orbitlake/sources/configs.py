@@ -33,7 +33,7 @@ def load_pool(path: str | Path | None, spark: SparkSession | None = None) -> dic
 
 
 def load_analysis(path: str | Path | None, spark: SparkSession | None = None) -> dict[str, Any]:
-    """What an analysis sets: ``scope``, ``protected`` features and ``correlation`` limit, ``log_limit``, ``peeling``, ``outliers`` share, ``projection`` rows.
+    """What an analysis sets: ``scope``, ``protected`` features and ``correlation`` limit, ``log_limit``, ``peeling``, ``outliers`` share, ``projection`` rows (all, unless the file says how many).
 
     What the file leaves out has its default; a path of None gives the defaults
     alone.  Keys are those of the analysis files: scope, orthogonalization,
@@ -62,7 +62,7 @@ def load_analysis(path: str | Path | None, spark: SparkSession | None = None) ->
         "log_limit": float(raw.get("log_dynamic_threshold", 1e6)),
         "peeling": {k: v for k, v in plan.items() if v is not None},
         "outliers": float((raw.get("outliers") or {}).get("contamination", 0.10)),
-        "projection": int((raw.get("projection") or {}).get("max_projection_samples", 5000)),
+        "projection": (raw.get("projection") or {}).get("max_projection_samples"),
     }
 
 

@@ -308,3 +308,48 @@ def test_projection_of_drawn_rows(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4.5 * n * n * 8
+
+
+def test_large_strata_are_projected_whole(spark, monkeypatch):
+    """Every row of a stratum that no task holds has coordinates, near rows near; forces are those of all pairs."""
+    from orbitlake.operators import density, embedding
+
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(400, 2)) * 12
+    d = z[:, None] - z[None]
+    q = 1 / (1 + (d * d).sum(axis=2))
+    np.fill_diagonal(q, 0)
+    force, total = embedding.push(z)
+    whole = ((q * q)[:, :, None] * d).sum(axis=1)
+    assert total == pytest.approx(q.sum(), rel=1e-3) and np.abs(force - whole).max() < 0.05 * np.abs(whole).max()
+    p = embedding.affinities((rng.normal(size=(50, 30)) * np.logspace(-3, 3, 50)[:, None]) ** 2, np.log(6))
+    assert np.allclose(-(p * np.log(np.maximum(p, 1e-300))).sum(axis=1), np.log(6), atol=1e-4)
+
+    monkeypatch.setattr(clustering, "TSNE_ROWS", 100)
+    monkeypatch.setattr(density, "ROWS", 64)
+    monkeypatch.setattr(embedding, "ROWS", 90)
+    monkeypatch.setattr(embedding, "STEPS", 3)
+    monkeypatch.setattr(embedding, "EARLY", 2)
+    x = rng.normal(size=(240, 4)) + 6 * np.eye(4)[np.repeat([0, 1, 2], [100, 60, 80])]
+    df = spark.createDataFrame([("big" if i < 240 else None, 900 - i, *map(float, r)) for i, r in enumerate(np.concatenate([x, x[:50] + 1]))], "strate string, id int, a double, b double, c double, d double").repartition(3)
+    got = clustering.project_strata(df, "strate", ["a", "b", "c", "d"], "id").toPandas().sort_values("id")
+    assert len(got) == 290 and got.id.is_unique and np.isfinite(got[["x", "y"]].to_numpy(float)).all()
+
+    n, k = 240, 15  # the same steps with matrices of all pairs
+    near = clustering.distances(clustering.pca(x[::-1], 4))
+    np.fill_diagonal(near, -1)
+    ids = np.argsort(near, axis=1)[:, 1 : k + 1]
+    p = np.zeros((n, n))
+    np.put_along_axis(p, ids, embedding.affinities(np.take_along_axis(near, ids, axis=1) ** 2, np.log(5)), axis=1)
+    p = (p + p.T) / (2 * n)
+    z = np.concatenate([np.random.default_rng([42, b]).standard_normal((m, 2)) for b, m in ((0, 90), (1, 90), (2, 60))]) * 1e-4
+    speed = np.zeros_like(z)
+    for i in range(3):
+        d = z[:, None] - z[None]
+        q = 1 / (1 + (d * d).sum(axis=2))
+        np.fill_diagonal(q, 0)
+        weight = ((12 if i < 2 else 1) * p - q / q.sum()) * q
+        speed = (0.5 if i < 2 else 0.8) * speed - 50 * 4 * (weight[:, :, None] * d).sum(axis=1)
+        z = z + speed
+        z -= z.mean(axis=0)
+    assert np.allclose(got[got.strate == "big"][["x", "y"]].to_numpy(float), z, rtol=1e-3, atol=1e-3 * np.abs(z).max())
